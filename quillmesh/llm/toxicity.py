@@ -2,8 +2,9 @@
 
 Two models, toxic and ordinary, have counts of their own at the highest order only; below, both share one Kneser-Ney
 chain of continuation counts over both classes. So what neither class has evidence for cancels in the ratio, and a rare
-or unseen word is judged by its parts. A text's score is the mean log ratio over its words, calibrated by a logistic curve
-on the training rows. Training rows are a bounded sample (``max_per_class`` of each class); their words are counted in
+or unseen word is judged by its parts. A text's score is the mean over its words of what their log ratios have beyond
+``noise`` nats (nearly all words of ordinary texts lie within, so differences between languages cancel), calibrated by a
+logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class); their words are counted in
 Spark, and the fitted model, bounded by the sample, is broadcast.
 """
 
@@ -45,8 +46,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """``ratio[h + c]``: log ratio of toxic over ordinary for character c after h; ``shift[h]`` where c was never seen after h."""
 
-    def __init__(self, counts: list[tuple[bytes, int, int]], order: int = 5, discount: float = 0.75):
-        self.order, self.ratio, self.shift = order, {}, {}
+    def __init__(self, counts: list[tuple[bytes, int, int]], order: int = 5, discount: float = 0.75, noise: float = 3.0):
+        self.order, self.noise, self.ratio, self.shift = order, noise, {}, {}
         self.slope, self.bias = 0.0, 0.0
         top = (Counter(), Counter())
         for word, *n in counts:
@@ -112,7 +113,7 @@ class Model:
         return total
 
     def mean(self, ws: list[bytes]) -> float:
-        """Length-normalised log ratio of a text; 0 without words."""
+        """Length-normalised log ratio of a text beyond the noise of each word; 0 without words."""
         if not ws:
             return 0.0
         cache, got = self.words, []
@@ -121,7 +122,8 @@ class Model:
             if r is None:
                 if len(cache) > CACHE:
                     cache.clear()
-                r = cache[w] = self.word(w)
+                r = self.word(w)
+                r = cache[w] = math.copysign(max(abs(r) - self.noise, 0.0), r)
             got.append(r)
         return math.fsum(got) / len(got)
 
