@@ -219,8 +219,11 @@ def _cut(text: str, automata: list[Automaton], max_coverage: float) -> str | Non
         text = b"".join(keep).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
-    """The documents without benchmark spans; those with more than ``max_coverage`` of their words in spans go. Clean rows stay as they are, null texts too."""
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = None, item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
+    """The documents without benchmark spans; those with more than ``max_coverage`` of their words in spans go. Clean rows stay as they are, null texts too.
+
+    ``length_col`` names a column with the text's length in code points, which follows where a text was cut.
+    """
     spark = docs.sparkSession
     automata = [spark.sparkContext.broadcast(a) for a in item_blocks(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)]
 
@@ -231,7 +234,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             texts = [None if t is None else (t, _cut(t, built, max_coverage)) for t in batch.column(at).to_pylist()]
             stay = pa.array([t is None or t[1] is not None for t in texts])
             fresh = pa.array([None if t is None else t[1] for t in texts], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([fresh if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema).filter(stay)
+            columns = [fresh if i == at else c for i, c in enumerate(batch.columns)]
+            if length_col is not None:
+                k = batch.schema.get_field_index(length_col)
+                lengths = [n if t is None or t[0] == t[1] or t[1] is None else len(t[1]) for n, t in zip(columns[k].to_pylist(), texts, strict=True)]
+                columns[k] = pa.array(lengths, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(stay)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, packing, toxicity, warc
+from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, toxicity, warc
 from quillmesh.llm import exact_dedup as dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -112,9 +116,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
-        "op1_html_text": op1_html_text, "op3_chat_formatting": op3_chat_formatting, "op4_warc": op4_warc, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity,
+        "pipeline": pipeline,
+        "op1_html_text": op1_html_text, "op2_ngram_join": op2_ngram_join, "op3_chat_formatting": op3_chat_formatting, "op4_warc": op4_warc, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity,
         "op7_lm_score": op7_lm_score, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_license_scan": op10_license_scan,
     }
 
