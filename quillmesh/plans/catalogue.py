@@ -1,15 +1,439 @@
-"""Registry of the engine's own queries and of their oracle SQL."""
+"""Registry of the engine's own queries; their oracle SQL is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as w
 
+from quillmesh.functions import expr
+from quillmesh.functions.expr import half_even
+from quillmesh.operators import analysis, federate, frames, metrics, partition, power, weights
+from quillmesh.plans import oracle
+from quillmesh.plans import stand_ins as data
+from quillmesh.sources.shared import shared_folder, stored
+from quillmesh.sources.tables import table
+from quillmesh.streaming import streams
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def r6(c) -> F.Column:
+    return half_even(c, 6)
+
+
+# --- inventory and partitioning -------------------------------------------------------------------------------------
+
+
+@query
+def q01_image_inventory(s, d):
+    return data.toxic_samples(s, d).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query
+def q02_iid_partition(s, d):
+    return partition.iid(data.samples(s, d))
+
+
+@query
+def q03_split_stats_iid(s, d):
+    return partition.statistics(partition.split(partition.iid(data.samples(s, d))).withColumn("dist", F.lit("iid")))
+
+
+@query
+def q04_noniid_partition_2(s, d):
+    return partition.label_skew(data.samples(s, d), 2)
+
+
+@query
+def q05_noniid_partition_3(s, d):
+    return partition.label_skew(data.samples(s, d), 3)
+
+
+@query
+def q06_noniid_toxic_clamped(s, d):
+    return partition.label_skew(data.toxic_samples(s, d), 3).groupBy("node", "class").agg(F.count("*").alias("n"))
+
+
+@query
+def q07_split_rollup(s, d):
+    iid = partition.split(partition.iid(data.samples(s, d))).withColumn("dist", F.lit("iid"))
+    skew = partition.split(partition.label_skew(data.samples(s, d), 3)).withColumn("dist", F.lit("non_iid"))
+    return iid.unionByName(skew).rollup("dist", "node", "split").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+@query
+def q08_split_leak_check(s, d):
+    splits = partition.split(partition.iid(data.samples(s, d)))
+    ids = lambda name: splits.filter(F.col("split") == name).select("id")
+    both = ids("train").intersect(ids("test")).agg(F.count("*").alias("n_leaked"))
+    sizes = splits.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    return both.crossJoin(sizes)  # one row each
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def q09_weighted_accuracy(s, d):
+    m = metrics.aggregate_round(data.client_metrics(s, d), "round")
+    return m.select("round", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("loss")).alias("loss"), "num_examples")
+
+
+@query
+def q10_positional_rounds(s, d):
+    m = data.client_metrics(s, d).filter("round % 2 = 1")
+    m = metrics.aggregate_round(m, "round").join(metrics.ready(m, 3), "round")
+    return m.select("round", F.row_number().over(w.Window.orderBy("round")).cast("long").alias("position"), r6(F.col("loss")).alias("loss"))
+
+
+@query
+def q11_epoch_loss_partial(s, d):
+    batches = data.client_metrics(s, d).groupBy("node", "round").agg(F.sum(F.col("loss") * F.col("num_examples")).alias("part"), F.sum("num_examples").alias("n"))
+    return batches.groupBy("node").agg(r6(F.sum("part") / F.greatest(F.sum("n"), F.lit(1.0))).alias("epoch_loss"))
+
+
+@query
+def q12_eval_argmax(s, d):
+    e = table(s, d, "embeddings").select(F.when(F.col("label") < 5, 1).otherwise(0).alias("label"), expr.argmax(F.slice("embedding", 1, 2)).alias("pred"))
+    return metrics.evaluation(e).select("num_examples", "correct", r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query
+def q12b_cross_entropy(s, d):
+    e = table(s, d, "embeddings").select((F.col("label") % 2).alias("y"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("z"))
+    return e.groupBy("y").agg(r6(F.avg(expr.cross_entropy(F.col("z"), F.col("y")))).alias("loss"), F.count("*").alias("n"))
+
+
+@query
+def q13_node_mean_unweighted(s, d):
+    per_node = data.client_metrics(s, d).groupBy("node").agg(F.avg("accuracy").alias("a"))
+    return per_node.agg(r6(F.avg("a")).alias("mean_accuracy"), F.count("*").alias("n_nodes"))
+
+
+# --- parameters -------------------------------------------------------------------------------------------------------
+
+
+@query
+def q14_fedavg_arrays(s, d):
+    return weights.fedavg(data.params(s, d)).select("layer", "pos", r6(F.col("value")).alias("value"))
+
+
+@query
+def q15_fedbn_arrays(s, d):
+    return weights.fedbn(data.params(s, d), data.bn_layers(s, d)).select("layer", "pos", r6(F.col("value")).alias("value"))
+
+
+@query
+def q16_prox_term(s, d):
+    p = data.params(s, d)
+    local = p.select("node", "layer", F.transform("w", lambda x: x.cast("double")).alias("w"))
+    return weights.proximal(local, weights.assemble(weights.fedavg(p)), 0.01).select("node", r6(F.col("prox")).alias("prox"))
+
+
+@query
+def q17_bn_semi(s, d):
+    return data.params(s, d).join(F.broadcast(data.bn_layers(s, d)), "layer", "left_semi").groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query
+def q17b_bn_anti(s, d):
+    return data.params(s, d).join(F.broadcast(data.bn_layers(s, d)), "layer", "left_anti").groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query
+def q18_load_keep_local(s, d):
+    p = data.params(s, d).withColumn("w", F.transform("w", lambda x: x.cast("double")))
+    got = weights.load(p, weights.assemble(weights.fedavg(p)), data.bn_layers(s, d))
+    return got.select("node", "layer", r6(F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query
+def q19_param_size(s, d):
+    return weights.footprint(data.params(s, d))
+
+
+@query
+def q20_channel_widen(s, d):
+    w5 = expr.widen_channels(F.transform("embedding", lambda x: x.cast("double")), 3, 5)
+    return table(s, d, "embeddings").select("vec_id", F.posexplode(w5).alias("channel", "v")).select("vec_id", "channel", r6(F.col("v")).alias("value"))
+
+
+# --- training ---------------------------------------------------------------------------------------------------------
+
+
+def _local(s, d, placed):
+    return federate.centroids(placed.filter("split = 'train'"), "node")
+
+
+@query
+def q21_local_centroids(s, d):
+    return _local(s, d, data.placed(s, d)).select("node", "label", "pos", r6(F.col("value")).alias("value"), "n")
+
+
+@query
+def q22_fedavg_centroid_round(s, d):
+    placed = data.placed(s, d)
+    model = federate.as_vectors(federate.average_centroids(_local(s, d, placed)))
+    scored = federate.predict(placed.filter("split = 'val'"), model)
+    out = scored.rollup("node").agg(F.count("*").alias("num_examples"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
+    return out.select(F.coalesce("node", F.lit("all")).alias("node"), "num_examples", "correct", r6(F.col("correct") / F.col("num_examples")).alias("accuracy"))
+
+
+@query
+def q23_fedprox_centroid(s, d):
+    local = _local(s, d, data.placed(s, d))
+    shared = federate.average_centroids(local)
+    out = None
+    for mu in (0.0, 0.01, 0.1):
+        part = federate.proximal_centroids(local, shared, mu).groupBy("node").agg(F.sum(F.col("value") * F.col("value")).alias("q")).select(F.lit(mu).alias("mu"), "node", r6(F.col("q")).alias("norm2"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def q24_centralized_centroid(s, d):
+    placed = data.placed(s, d)
+    model = federate.as_vectors(federate.centroids(placed.filter("split = 'train'")))
+    scored = federate.predict(placed.filter("split = 'test'"), model)
+    out = scored.rollup("node").agg(F.count("*").alias("num_examples"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
+    return out.select(F.coalesce("node", F.lit("all")).alias("node"), "num_examples", "correct")
+
+
+@query
+def q25_cross_eval(s, d):
+    placed = data.placed(s, d)
+    models = federate.as_vectors(_local(s, d, placed), "node").withColumnRenamed("node", "train_node")
+    scored = federate.predict(placed.filter("split = 'test'"), models).filter(F.col("train_node") != F.col("node"))
+    return scored.groupBy("train_node", F.col("node").alias("test_node")).agg(F.count("*").alias("num_examples"), F.count_if(F.col("pred") == F.col("label")).alias("correct"))
+
+
+# --- power logs -------------------------------------------------------------------------------------------------------
+
+
+@query
+def q26_power_parse(s, d):
+    p = power.parse(data.log_lines(s, d))
+    return p.select("event_id", "ram_used_mb", "ram_total_mb", "swap_used_mb", "gpu_freq_percent", "power_gpu_mw", "power_gpu_avg_mw", "power_cpu_mw", "power_soc_mw", "power_cv_mw", "temp_cpu_c", "temp_gpu_c", "temp_soc_c", "temp_tj_c")
+
+
+@query
+def q27_power_cores(s, d):
+    p = power.parse(data.log_lines(s, d))
+    return p.select("event_id", r6(F.col("cpu_usage_percent")).alias("usage"), r6(F.col("cpu_freq_mhz")).alias("freq"), F.col("cpu_num_active").cast("long").alias("active"))
+
+
+@query
+def q28_power_total(s, d):
+    return power.parse(data.log_lines(s, d)).select("event_id", F.col("power_total_mw").cast("long").alias("total_mw"), "power_total_w")
+
+
+@query
+def q29_power_summary(s, d):
+    return power.summary(power.parse(data.log_lines(s, d))).select("num_samples", "duration_s", "power_max_w", "power_min_w", "gpu_power_max_w", "ram_peak_mb", r6(F.col("power_avg_w")).alias("power_avg_w"), "energy_total_wh", "power_std_w", "temp_cpu_c_max")
+
+
+@query
+def q30_power_by_round(s, d):
+    lines = power.parse(data.log_lines(s, d))
+    day = F.date_trunc("day", "ts")
+    rounds = table(s, d, "events").select(day.alias("start")).distinct().select(F.dayofyear("start").alias("round"), "start", (F.col("start") + F.expr("interval 1 day")).alias("end"))
+    return power.by_round(lines, rounds).select("round", "num_samples", "duration_s", "wall_s", "power_max_w", "power_avg_w")
+
+
+@query
+def q31_power_line_numbers(s, d):
+    lines = data.log_lines(s, d).withColumn("log", F.date_format("ts", "yyyy-MM-dd"))
+    files = lines.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("a")).select("log", F.array_join(F.transform("a", lambda x: x["value"]), "\n").alias("value"))
+    return power.numbered_lines(files, "value", "log").select("log", "line_num", F.md5("value").alias("line_md5"))
+
+
+# --- frames -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def q32_frame_complete(s, d):
+    return frames.assemble(data.frame_events(s, d), "frame").select("frame", "color_ts", "depth_ts", "ir_ts", "n_events")
+
+
+@query
+def q33_frame_warmup(s, d):
+    return frames.after_warm_up(frames.assemble(data.frame_events(s, d), "frame"), "frame").select("frame", "frame_id")
+
+
+@query
+def q34_depth_stats(s, d):
+    e = table(s, d, "events").select("event_type", "ts", (F.col("value") - 10).alias("depth"))
+    low, high = frames.depth_range(F.col("depth"))
+    span = (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6
+    return e.groupBy("event_type").agg(r6(low).alias("depth_min"), r6(high).alias("depth_max"), r6(F.try_divide(F.count("*"), span)).alias("fps"))
+
+
+@query
+def q35_frame_metadata_json(s, d):
+    e = table(s, d, "events").withColumn("j", F.from_json("props", "k int"))
+    return e.select("event_id", F.lpad(F.col("event_id").cast("string"), 8, "0").alias("frame_id"), F.col("j.k").alias("k"), F.to_json(F.struct(F.col("j.k").alias("fx"), (F.col("j.k") * 2).alias("fy"))).alias("intrinsics"))
+
+
+# --- analysis ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def q36_experiment_matrix(s, d):
+    o = table(s, d, "orders")
+    strategies, seeds = o.select(F.col("o_orderpriority").alias("strategy")).distinct(), o.select((F.col("o_custkey") % 3).alias("seed")).distinct()
+    dists = o.select(F.col("o_orderstatus").alias("dist")).distinct()
+    done = o.filter("o_totalprice > 499000").select(F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("dist"), (F.col("o_custkey") % 3).alias("seed")).distinct()
+    return analysis.open_runs(strategies, dists, seeds, done)
+
+
+@query
+def q37_fl_round_equivalents(s, d):
+    m = data.client_metrics(s, d).groupBy("node", (F.col("round") * 5).alias("epoch")).agg(F.avg("loss").alias("loss"))
+    at = lambda e: r6(F.max(F.when(F.col("epoch") == e, F.col("loss"))))
+    return m.groupBy("node").agg(at(5).alias("epoch_5"), at(10).alias("epoch_10"), at(15).alias("epoch_15"), at(50).alias("epoch_50"))
+
+
+@query
+def q38_convergence_table(s, d):
+    per = data.runs(s, d).groupBy("run", "round").agg(F.avg("accuracy").alias("accuracy"))
+    t = analysis.convergence(per)
+    return t.select("run", *[r6(F.col(c)).alias(c) for c in ("r1", "r2", "r3", "first_acc", "last_acc", "gain")])
+
+
+def _finals(s, d):
+    return data.runs(s, d).filter("round = 3").groupBy("run").agg(F.avg("accuracy").alias("accuracy"), F.avg("minutes").alias("minutes"))
+
+
+@query
+def q39_findings(s, d):
+    return analysis.differences(_finals(s, d)).select("run_a", "run_b", r6(F.col("diff_pp")).alias("diff_pp"), r6(F.col("diff_minutes")).alias("diff_minutes"))
+
+
+@query
+def q40_mean_std_over_seeds(s, d):
+    t = analysis.over_seeds(data.runs(s, d).filter("round = 3"))
+    return t.select("run", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "std", "ci95")])
+
+
+def _rounds(s, d, name):
+    plan = federate.strategy(name)
+    out = federate.run_rounds(data.placed(s, d), plan, written=stored)
+    return out.select("round", "node", "num_examples", *[r6(F.col(c)).alias(c) for c in ("train_loss", "loss", "accuracy")])
+
+
+@query
+def q41_softmax_fedavg(s, d):
+    return _rounds(s, d, "fedavg")
+
+
+@query
+def q42_softmax_fedprox(s, d):
+    return _rounds(s, d, "fedprox_0.1")
+
+
+@query
+def q42b_softmax_fedbn(s, d):
+    return _rounds(s, d, "fedbn")
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _micros(df, *names):
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+@query
+def q43_stream_tumbling(s, d):
+    out = streams.finished(streams.windowed(streams.events(s, d), "1 hour"), shared_folder(s))
+    return _micros(out, "start").select("start", "event_type", "n", r6(F.col("total")).alias("total"))
+
+
+@query
+def q44_stream_sliding(s, d):
+    out = streams.finished(streams.windowed(streams.events(s, d), "2 hours", "1 hour"), shared_folder(s))
+    return _micros(out, "start").select("start", "event_type", "n", r6(F.col("total")).alias("total"))
+
+
+@query
+def q45_stream_session(s, d):
+    return _micros(streams.finished(streams.sessions(streams.events(s, d)), shared_folder(s)), "start", "stop").select("start", "stop", "user_id", "n")
+
+
+@query
+def q46_stream_stateful(s, d):
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = streams.finished(streams.running_means(streams.events(s, d)), shared_folder(s), "update")
+    last = out.groupBy("event_type").agg(F.max_by(F.struct("n", "mean"), "n").alias("x"))
+    return last.select("event_type", "x.n", r6(F.col("x.mean")).alias("mean"))
+
+
+# --- extensions: planned by the recorded experiments, or standard coverage ---------------------------------------------
+
+
+@query
+def q47_friedman_ranks(s, d):
+    return analysis.friedman(data.runs(s, d).filter("round = 3")).select("run", r6(F.col("mean_rank")).alias("mean_rank"), "statistic")
+
+
+@query
+def q48_cohens_d(s, d):
+    return analysis.cohens_d(data.runs(s, d).filter("round = 3")).select("run_a", "run_b", r6(F.col("d")).alias("d"))
+
+
+@query
+def q49_transfer_time(s, d):
+    rate, loss = F.col("l_quantity") * 1e6, F.col("l_discount")
+    t = table(s, d, "lineitem").withColumn("seconds", F.try_divide(F.col("l_extendedprice") * 8, rate * (1 - loss)))
+    return t.groupBy("l_returnflag").agg(r6(F.avg("seconds")).alias("mean_seconds"), r6(F.max("seconds")).alias("max_seconds"))
+
+
+@query
+def q50_modality_channels(s, d):
+    m = F.create_map(F.lit("rgb"), F.slice("embedding", 1, 3), F.lit("depth"), F.slice("embedding", 4, 1), F.lit("ir"), F.slice("embedding", 5, 1))
+    e = table(s, d, "embeddings").select(F.explode(m).alias("modality", "v")).select("modality", F.size("v").alias("channels"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("t"))
+    return e.groupBy("modality").agg(F.sum("channels").alias("channels"), r6(F.avg("t")).alias("mean_total"))
+
+
+@query
+def q51_as_of_join(s, d):
+    e = table(s, d, "events")
+    left = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    right = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("seen"))
+    return frames.as_of(left, right, "user_id", "ts", "seen").select("event_id", "user_id", "seen")
+
+
+@query
+def q52_cube_and_sets(s, d):
+    return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+@query
+def q53_round_change(s, d):
+    m = metrics.aggregate_round(data.client_metrics(s, d), "node", "round")
+    by = w.Window.partitionBy("node").orderBy("round")
+    return m.select("node", "round", r6(F.col("loss") - F.lag("loss").over(by)).alias("change"), r6(F.avg("accuracy").over(by.rowsBetween(-2, 0))).alias("moving"))
+
+
+@query
+def q54_full_outer_nodes(s, d):
+    c = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("clients"))
+    p = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("servers"))
+    return c.join(p, "nation", "full_outer").select("nation", "clients", "servers")
+
+
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in REGISTRY}
