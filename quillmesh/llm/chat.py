@@ -18,7 +18,6 @@ from pyspark.sql import window as w
 from quillmesh.llm.common import written
 
 OPEN, CLOSE = "###", "</turn>"
-EVERY = 4  # levels of a tree between written tables: bounds the length of a plan
 
 
 def chain(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -32,38 +31,34 @@ def chain(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """tree_id, path (node ids from the root to a leaf), score (mean over the path), one row for each leaf.
+    """tree_id, leaf, node_id, up (steps from the leaf), score (mean over the path): one row for each node of each root-to-leaf path.
 
-    One self-join for each level: the frontier joins its children. A node whose parent does not exist is a root; nodes on
-    a cycle have no root and so no path. A null tree_id is a tree of its own.
+    Self-joins double the reach of every node's link to an ancestor, so a tree of depth d takes log2(d) rounds, and a path
+    is rows, never one long array. A node whose parent does not exist is a root; what hangs on a cycle has no root and so
+    no path. A null tree_id is a tree of its own.
     """
     links = written(nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).distinct(), "chat-links")
     ids = links.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).distinct()
-    same = F.col("tree_id").eqNullSafe(F.col("t")) & F.col("parent_id").eqNullSafe(F.col("p"))
-    inner = links.filter("parent_id IS NOT NULL").join(ids, same, "left_semi")
-    roots = links.filter("parent_id IS NULL").unionByName(links.filter("parent_id IS NOT NULL").join(ids, same, "left_anti"))
-    parents = inner.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
-    here = F.col("tree_id").eqNullSafe(F.col("t")) & F.col("node_id").eqNullSafe(F.col("p"))
-    at_leaf = links.join(parents, here, "left_anti").select(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).withColumn("leaf", F.lit(True)).distinct()
-    leaves = written(at_leaf, "chat-leaves")
-    children = written(inner.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p"), F.col("node_id").alias("child"), F.col("score").alias("more")), "chat-children")
-    frontier = roots.select("tree_id", "node_id", F.array("node_id").alias("path"), F.col("score").alias("total"))
-    found, level = [], 0
-    while True:
-        if level % EVERY == 0:
-            frontier = written(frontier, "chat-frontier")
-            if frontier.isEmpty():
-                break
-        done = frontier.join(leaves, here, "left_semi")
-        found.append(done.select("tree_id", "path", (F.col("total") / F.size("path")).alias("score")))
-        frontier = frontier.join(children, here).select("tree_id", F.col("child").alias("node_id"), F.concat("path", F.array("child")).alias("path"), (F.col("total") + F.col("more")).alias("total"))
-        level += 1
-    if not found:
-        return frontier.select("tree_id", "path", F.col("total").alias("score"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return written(out, "chat-paths")
+    jumps = written(
+        links.filter("parent_id IS NOT NULL").join(ids, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left_semi")
+        .select(F.col("tree_id").alias("t"), F.col("node_id").alias("below"), F.col("parent_id").alias("above")).distinct(), "chat-jumps",
+    )
+    is_ = lambda name: F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col(name))
+    parents, children = jumps.select("t", F.col("above").alias("p")).distinct(), jumps.select("t", F.col("below").alias("p")).distinct()
+    found = links.select("tree_id", "node_id").distinct().join(parents, is_("p"), "left_anti").select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
+    found = written(found, "chat-paths")
+    most = links.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach < 2 * most and not jumps.isEmpty():
+        further = found.join(jumps, is_("below")).select("tree_id", "leaf", F.col("above").alias("node_id"), (F.col("up") + reach).alias("up"))
+        found = written(found.unionByName(further), "chat-paths")
+        on = jumps.select(F.col("t").alias("t2"), F.col("below").alias("middle"), F.col("above").alias("top"))
+        jumps = written(jumps.join(on, F.col("t").eqNullSafe(F.col("t2")) & (F.col("above") == F.col("middle"))).select("t", "below", F.col("top").alias("above")), "chat-jumps")
+        reach *= 2
+    rooted = found.join(children, is_("p"), "left_anti").select(F.col("tree_id").alias("t"), F.col("leaf").alias("p")).distinct()
+    kept = found.join(rooted, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("p")), "left_semi")
+    scores = links.groupBy(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).agg(F.max("score").alias("score"))
+    return written(kept.join(scores, is_("p")).select("tree_id", "leaf", "node_id", "up", "score"), "chat-paths")
 
 
 def escape(col: Column) -> Column:
@@ -76,15 +71,17 @@ def escape(col: Column) -> Column:
 def conversations(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
     """The ``top_paths`` best paths of each tree, formatted: tree_id, rank, n_turns, formatted, loss_spans (code points [start, end) of assistant texts, still escaped).
 
-    Ties in score go to the longer path, then the smaller ids. Null texts and roles are empty. Of nodes repeated with one
+    Ties in score go to the longer path, then the smaller leaf. Null texts and roles are empty. Of nodes repeated with one
     id, each is a turn.
     """
-    best = w.Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc(F.size("path")), "path")
-    chosen = paths(nodes).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_paths)
-    steps = chosen.select(F.col("tree_id").alias("t"), "rank", F.posexplode("path").alias("pos", "n"))
+    steps = paths(nodes)
+    best = w.Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("n"), "leaf")
+    ranked = steps.groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_paths)
+    chosen = ranked.select(F.col("tree_id").alias("t"), F.col("leaf").alias("l"), "rank")
+    steps = steps.join(chosen, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("t", "rank", F.col("node_id").alias("n"), (-F.col("up")).alias("pos"))
     text, role = escape(F.col("text")), F.replace(F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit("\n"), F.lit("\\\n"))
     head = F.concat(F.lit(OPEN + " "), role, F.lit(":\n"))
-    turns = steps.join(nodes, F.col("tree_id").eqNullSafe(F.col("t")) & F.col("node_id").eqNullSafe(F.col("n"))).select(
+    turns = steps.join(nodes, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select(
         "tree_id", "rank", F.struct("pos", F.coalesce("role", F.lit("")).alias("role"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"), F.concat(head, text, F.lit(f"\n{CLOSE}\n")).alias("turn")).alias("s")
     )
     formed = turns.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list("s")).alias("s"))
