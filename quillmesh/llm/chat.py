@@ -74,6 +74,7 @@ def conversations(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
     Ties in score go to the longer path, then the smaller leaf. Null texts and roles are empty. Of nodes repeated with one
     id, each is a turn.
     """
+    nodes = nodes.select("tree_id", "node_id", "parent_id", "role", "text", "score")
     steps = paths(nodes)
     best = w.Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("n"), "leaf")
     ranked = steps.groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_paths)
