@@ -63,10 +63,12 @@ class Strategy:
 
 
 def strategy(name: str, min_clients: int = 3, keep_local: tuple[int, ...] = (1,)) -> Strategy:
-    """fedavg, fedbn, fedprox (0.01) or fedprox_<mu>; unknown names are fedavg."""
+    """fedavg, fedbn, fedprox (0.01), fedprox_<mu> or local (nothing leaves a node); unknown names are fedavg."""
     if name.startswith("fedprox"):
         tail = name.rsplit("_", 1)[-1]
         return Strategy(name, mu=float(tail) if tail != name else 0.01, min_clients=min_clients)
+    if name == "local":
+        return Strategy(name, keep_local=(0, 1), min_clients=1)
     if name == "fedbn":
         return Strategy(name, keep_local=keep_local, min_clients=min_clients)
     return Strategy("fedavg", min_clients=min_clients)
@@ -141,3 +143,15 @@ def run_rounds(samples: DataFrame, plan: Strategy, *, written: Callable[[DataFra
 def summary(per_node: DataFrame) -> DataFrame:
     """Round metrics over all nodes, weighted by examples."""
     return metrics.aggregate_round(per_node, "round")
+
+
+def centralized(samples: DataFrame) -> DataFrame:
+    """All nodes' samples as one node's, duplicates kept."""
+    return samples.withColumn("node", F.lit("all"))
+
+
+def train_test_pairs(tests: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(train, test) pairs of a configuration, where a train name of ``fl_all`` stands for every node with a test set."""
+    nodes = tests.select(F.col("node").alias("test")).distinct()
+    named = pairs.filter("test IS NOT NULL").join(nodes, "test", "left_semi").select("train", "test")
+    return named.unionByName(pairs.filter("train = 'fl_all' AND test IS NULL").select("train").crossJoin(F.broadcast(nodes))).distinct()

@@ -10,9 +10,10 @@ from pyspark.sql import window as w
 
 from quillmesh.functions import expr
 from quillmesh.functions.expr import half_even
-from quillmesh.operators import analysis, federate, frames, metrics, partition, power, weights
+from quillmesh.operators import analysis, federate, frames, images, metrics, partition, power, weights
 from quillmesh.plans import oracle
 from quillmesh.plans import stand_ins as data
+from quillmesh.sources import export
 from quillmesh.sources.shared import shared_folder, stored
 from quillmesh.sources.tables import table
 from quillmesh.streaming import streams
@@ -345,6 +346,17 @@ def q42b_softmax_fedbn(s, d):
     return _rounds(s, d, "fedbn")
 
 
+@query
+def q41b_softmax_centralized(s, d):
+    out = federate.run_rounds(federate.centralized(data.placed(s, d)), federate.strategy("fedavg", min_clients=1), written=stored)
+    return out.select("round", "node", "num_examples", *[r6(F.col(c)).alias(c) for c in ("train_loss", "loss", "accuracy")])
+
+
+@query
+def q41c_softmax_local_only(s, d):
+    return _rounds(s, d, "local")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +389,11 @@ def q46_stream_stateful(s, d):
     return last.select("event_type", "x.n", r6(F.col("x.mean")).alias("mean"))
 
 
+@query
+def q46b_stream_frames(s, d):
+    return _micros(streams.finished(streams.frame_sets(streams.events(s, d)), shared_folder(s)), "start").select("start", "n_events")
+
+
 # --- extensions: planned by the recorded experiments, or standard coverage ---------------------------------------------
 
 
@@ -431,6 +448,27 @@ def q54_full_outer_nodes(s, d):
     return c.join(p, "nation", "full_outer").select("nation", "clients", "servers")
 
 
+@query
+def q55_normalised_channels(s, d):
+    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    e = table(s, d, "embeddings").select("vec_id", F.aggregate(images.normalised(x, F.col("label") % 3), F.lit(0.0), lambda a, v: a + v).alias("t"))
+    return e.select("vec_id", r6(F.col("t")).alias("total"))
+
+
+@query
+def q56_results_document(s, d):
+    per = data.runs(s, d).groupBy("run", "round").agg(r6(F.avg("accuracy")).alias("accuracy"), r6(F.avg("minutes")).alias("loss"))
+    doc = export.run_document(per)
+    return doc.select("run", F.explode("losses_distributed").alias("l")).select("run", F.col("l.round").cast("long").alias("position"), F.col("l.loss").alias("loss"))
+
+
+@query
+def q57_nested_statistics(s, d):
+    doc = export.nested_statistics(partition.statistics(partition.split(partition.iid(data.samples(s, d))).withColumn("dist", F.lit("iid"))))
+    nodes = doc.select(F.explode(F.try_element_at("split_stats", F.lit("iid"))).alias("node", "m"))
+    return nodes.select("node", F.explode("m").alias("split", "v")).select("node", "split", "v.total")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

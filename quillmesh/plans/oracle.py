@@ -157,4 +157,9 @@ SQL = {
       SELECT node, round, {r('loss - lag(loss) OVER (PARTITION BY node ORDER BY round)')} AS change, {r('avg(accuracy) OVER (PARTITION BY node ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS moving FROM g""",
     "q54_full_outer_nodes": """WITH c AS (SELECT c_nationkey AS nation, count(*) AS clients FROM customer GROUP BY 1), p AS (SELECT s_nationkey AS nation, count(*) AS servers FROM supplier GROUP BY 1)
       SELECT nation, clients, servers FROM c FULL OUTER JOIN p USING (nation)""",
+    "q46b_stream_frames": f"WITH {FRAMES} SELECT frame AS start, n_events FROM fr",
+    "q55_normalised_channels": f"""WITH e AS (SELECT vec_id, [0.485, 0.456, 0.406][label % 3 + 1]::DOUBLE AS m, [0.229, 0.224, 0.225][label % 3 + 1]::DOUBLE AS s, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings)
+      SELECT vec_id, {r('sum((v / 255.0::DOUBLE - m) / s)')} AS total FROM e GROUP BY vec_id""",
+    "q56_results_document": f"WITH {RUNS} SELECT run, row_number() OVER (PARTITION BY run ORDER BY round) AS position, {r('avg(minutes)')} AS loss FROM runs GROUP BY run, round",
+    "q57_nested_statistics": f"WITH {IMG}, {IID}, {split('iid', 'sp')} SELECT node, split, count(*) AS total FROM sp GROUP BY ALL",
 }

@@ -56,6 +56,14 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return stream.withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "user_id", "n")
 
 
+def frame_sets(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Frames of a live stream with all of color, depth and ir, by event-time window: start, n_events."""
+    kind = F.when(F.col("event_type") == "view", "color").when(F.col("event_type") == "click", "depth").when(F.col("event_type") == "error", "ir")
+    have = [F.max((F.col("stream") == s).cast("int")).alias(s) for s in ("color", "depth", "ir")]
+    out = stream.withColumn("stream", kind).filter("stream IS NOT NULL").withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n_events"), *have)
+    return out.filter("color + depth + ir = 3").select(F.col("w.start").alias("start"), "n_events")
+
+
 class RoundState(StatefulProcessor):
     """Keeps a running weighted mean for each key across micro-batches, as a node keeps its own parameters across rounds."""
 

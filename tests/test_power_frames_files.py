@@ -67,3 +67,41 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).filter(F.col("node") == "all").count() == 1
+
+
+def test_measured_rounds():
+    records = []
+    with power.measured(records, 1, strategy="fedavg"):
+        pass
+    try:
+        with power.measured(records, 2):
+            raise ValueError("no log")
+    except ValueError:
+        pass
+    assert [(r["round"], "error" in r, r["wall_s"] >= 0) for r in records] == [(1, False, True), (2, True, True)]
+
+
+def test_images_become_tensors(spark, tmp_path):
+    import struct
+    import zlib
+
+    from quillmesh.operators import images
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\x00" + bytes([255, 0, 0] * 4) for _ in range(2))  # two rows of four red pixels
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (x,) = [r["x"] for r in images.tensors(images.decoded(spark, str(tmp_path)), size=3).collect()]
+    want = [(v - m) / s for v, m, s in zip((1.0, 0.0, 0.0), images.MEAN, images.STD, strict=True)]
+    assert len(x) == 27 and all(abs(x[9 * c + i] - want[c]) < 1e-5 for c in range(3) for i in range(9))
+    once, again = (images.tensors(images.decoded(spark, str(tmp_path)), size=3, train=True).first()["x"] for _ in range(2))
+    assert once == again
+
+
+def test_configured_pairs(spark):
+    from quillmesh.operators import federate
+
+    tests = spark.createDataFrame([("a",), ("b",)], "node string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "zzz"), ("fl_all", None)], "train string, test string")
+    assert sorted(map(tuple, federate.train_test_pairs(tests, pairs).collect())) == [("a", "b"), ("fl_all", "a"), ("fl_all", "b")]
