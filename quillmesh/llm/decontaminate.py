@@ -6,7 +6,6 @@ size; each block is one automaton, broadcast, and one pass over the documents, s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -242,7 +241,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(stay)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

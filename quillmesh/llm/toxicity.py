@@ -46,7 +46,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """``ratio[h + c]``: log ratio of toxic over ordinary for character c after h; ``shift[h]`` where c was never seen after h."""
 
-    def __init__(self, counts: list[tuple[bytes, int, int]], order: int = 5, discount: float = 0.75, noise: float = 3.0):
+    def __init__(self, counts: list[tuple[bytes, int, int]], order: int = 5, discount: float = 0.75, noise: float = 4.0):
         self.order, self.noise, self.ratio, self.shift = order, noise, {}, {}
         self.slope, self.bias = 0.0, 0.0
         top = (Counter(), Counter())
