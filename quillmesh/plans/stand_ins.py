@@ -59,7 +59,7 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 def frame_events(spark: SparkSession, d: str) -> DataFrame:
     """frame, stream, ts, value: an hour is a frame."""
     kind = F.when(F.col("event_type") == "view", "color").when(F.col("event_type") == "click", "depth").when(F.col("event_type") == "error", "ir")
-    return table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("frame"), kind.alias("stream"), "ts", "value").filter("stream IS NOT NULL")
+    return table(spark, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("frame"), kind.alias("stream"), "ts", "value").filter("stream IS NOT NULL")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
