@@ -52,7 +52,7 @@ def _directory(keys: DataFrame, capacity: int, hash_bits: int, start_depth: int
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, hash_bits: int = 64) -> DataFrame:
-    """The index: bucket, h, chain (position among the entries of one key), keep_id, group_size, text_sha256, text only where a key has a chain."""
+    """The index: bucket, depth, h, chain (position among the entries of one key), chained (the key has several), keep_id, group_size, text_sha256."""
     norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumn("h", _key(F.col("norm"), hash_bits))
     # Copies collapse in the map tasks already; bytes are compared where a key's texts meet.

@@ -117,7 +117,7 @@ class Lattice:
             b[i] = bi
 
 
-def _count_task(folds: int, held: int):
+def _count_task():
     schema = pa.schema([("word", pa.binary()), ("n_train", pa.int64()), ("n_other", pa.int64())])
 
     def flush(train: Counter, other: Counter) -> pa.RecordBatch:
@@ -199,7 +199,7 @@ def score(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text
     spark = docs.sparkSession
     part = F.coalesce(fold(F.col(f"`{id_col}`"), folds) == held_out, F.lit(True))
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), part.alias("held_out"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    counts = rows.select("text", "held_out").mapInArrow(_count_task(folds, held_out), "word binary, n_train long, n_other long")
+    counts = rows.select("text", "held_out").mapInArrow(_count_task(), "word binary, n_train long, n_other long")
     counts = written(counts.groupBy("word").agg(F.sum("n_train").alias("c"), (F.sum("n_train") + F.sum("n_other")).alias("n")), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("ends")).first()
     n_train, v_train, ends = total["n"] or 0, total["v"] or 0, total["ends"] or 0
