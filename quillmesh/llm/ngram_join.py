@@ -242,9 +242,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     members = written(narrow.join(rep, "fp", "left").select("doc_id", "n", "fp", "row", F.coalesce("rep", "row").alias("rep")), "ngram-members")
     copies = members.filter("row <> rep").select("row")
     sets = sketch.filter("n > 0").join(_checked(copies, copies.count()), "row", "left_anti")
-    early = sets.select("row", "n", "prefix", F.size("first").alias("had"), F.explode("first").alias("token"))
-    # The number of classes with a shingle. A shingle of a single class meets nobody and only fills up the prefix.
-    early = early.withColumn("df", F.count("*").over(w.Window.partitionBy("token"))).filter("df > 1")
+    # A shingle of a single class meets nobody and only fills up the prefix.
+    early = _frequencies(sets.select("row", "prefix", F.size("first").alias("had"), F.explode("first").alias("token"))).filter("df > 1")
     in_slice = F.col("token").bitwiseAND(SLICE_OF - 1) < SLICE
     key = F.struct((~in_slice).cast("int").alias("late"), F.when(in_slice, F.col("df")).otherwise(0).alias("df"), "token")
     found = early.select("row", "prefix", "had", key.alias("k")).groupBy("row", "prefix", "had").agg(F.array_sort(F.collect_list("k")).alias("ks"))
@@ -279,6 +278,23 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return members, links
 
 
+def _frequencies(early: DataFrame, part: int = 64, least: int = 64) -> DataFrame:
+    """Adds ``df``, the number of classes with a shingle, exactly.
+
+    Counting needs a shingle's rows together, but not those of a very common one: such shingles, found in every 64th class,
+    are counted with map-side sums and joined by a broadcast, so their rows never move. The guess only picks the way.
+    """
+    seen = early.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).groupBy("token").count().filter(F.col("count") >= least).select("token")
+    hot = written(seen, "ngram-hot")
+    n_hot = hot.count()
+    by_token = lambda df: df.withColumn("df", F.count("*").over(w.Window.partitionBy("token")))
+    if not 0 < n_hot <= BROADCAST_ROWS:
+        return by_token(early)
+    common = early.join(F.broadcast(hot), "token", "left_semi")
+    counts = common.groupBy("token").agg(F.count("*").alias("df"))
+    return by_token(early.join(F.broadcast(hot), "token", "left_anti")).unionByName(common.join(F.broadcast(counts), "token"))
+
+
 def _members_texts(rows: DataFrame, blocks: DataFrame, n_blocked: int) -> DataFrame:
     """Texts of the documents that represent a blocked class (by id; other rows of that id drop out by fingerprint)."""
     ids = blocks.select(F.col("doc_id").alias("wanted")).distinct()
@@ -295,7 +311,7 @@ def near_groups(docs: DataFrame, **options) -> DataFrame:
     roots = components(links).select(F.col("node").alias("rep"), "root")
     # An empty set is its own class and component: rep is its own row.
     whole = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-least")
     return whole.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
