@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import fresh_path, written
 
 MAGIC = b"\x1f\x8b\x08"
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -199,6 +200,8 @@ def read_archives(files: DataFrame, *, split_bytes: int = 4 << 20, with_payload:
     """The records of ``files`` (path, n_bytes), read in ranges of ``split_bytes``. A revisit's payload is null; its length and digest are the full payload's."""
     ranges = files.filter("n_bytes > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes))).alias("start"), "n_bytes")
     ranges = ranges.select("path", F.col("start").cast("long").alias("start"), F.least(F.col("start") + split_bytes, "n_bytes").cast("long").alias("stop"), "n_bytes")
-    ranges = ranges.repartition("path", "start")
+    # A number of tasks of its own: ranges are tiny rows, which adaptive execution would put in one task.
+    n = files.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), MOST_TASKS))
     out = ranges.mapInArrow(_reader(with_payload), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if with_payload else out.drop("payload")
