@@ -4,7 +4,7 @@ Two models, toxic and ordinary, have counts of their own at the highest order on
 chain of continuation counts over both classes. So what neither class has evidence for cancels in the ratio, and a rare
 or unseen word is judged by its parts. A text's score is the mean over its words of what their log ratios have beyond
 ``noise`` nats (nearly all words of ordinary texts lie within, so differences between languages cancel), calibrated by a
-logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class); their words are counted in
+logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class); their n-grams are counted in
 Spark, and the fitted model, bounded by the sample, is broadcast.
 """
 
@@ -23,7 +23,7 @@ from quillmesh.llm.common import fold, written
 from quillmesh.llm.decontaminate import words
 
 START, STOP = "\x02", "\x03"
-CACHE = 400_000
+CACHE = 150_000
 
 
 def sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000) -> DataFrame:
@@ -34,28 +34,36 @@ def sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic
     return first(0).unionByName(first(1))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = (Counter(), Counter())
-    for batch in batches:
-        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            seen[y].update(words(text.as_py()))
-    keys = list(seen[0].keys() | seen[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[0][k] for k in keys], pa.int64()), pa.array([seen[1][k] for k in keys], pa.int64())], names=["word", "n0", "n1"])
+def padded(word: str, order: int) -> str:
+    return START * (order - 1) + word + STOP
+
+
+def _count_task(order: int):
+    """Counts of the highest-order character n-grams of either class; words are counted first, so each is cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, grams = (Counter(), Counter()), (Counter(), Counter())
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen[y].update(words(text.as_py()))
+        for y in (0, 1):
+            for word, n in seen[y].items():
+                s = padded(word.decode(), order)
+                for i in range(order, len(s) + 1):
+                    grams[y][s[i - order : i]] += n
+        keys = list(grams[0].keys() | grams[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([grams[0][k] for k in keys], pa.int64()), pa.array([grams[1][k] for k in keys], pa.int64())], names=["gram", "n0", "n1"])
+
+    return run
 
 
 class Model:
     """``ratio[h + c]``: log ratio of toxic over ordinary for character c after h; ``shift[h]`` where c was never seen after h."""
 
-    def __init__(self, counts: list[tuple[bytes, int, int]], order: int = 5, discount: float = 0.75, noise: float = 4.0):
+    def __init__(self, counts: list[tuple[str, int, int]], order: int = 5, discount: float = 0.75, noise: float = 4.0):
         self.order, self.noise, self.ratio, self.shift = order, noise, {}, {}
         self.slope, self.bias = 0.0, 0.0
-        top = (Counter(), Counter())
-        for word, *n in counts:
-            s = self.padded(word.decode())
-            for i in range(order - 1, len(s)):
-                for y in (0, 1):
-                    if n[y]:
-                        top[y][s[i - order + 1 : i + 1]] += n[y]
+        top = tuple(Counter({c[0]: c[1 + y] for c in counts if c[1 + y]}) for y in (0, 1))
         shared = self._shared(set(top[0]) | set(top[1]), order, discount)
         sums, kinds = (Counter(), Counter()), (Counter(), Counter())
         for y in (0, 1):
@@ -100,12 +108,9 @@ class Model:
 
         return prob
 
-    def padded(self, word: str) -> str:
-        return START * (self.order - 1) + word + STOP
-
     def word(self, w: bytes) -> float:
         """Log ratio of a word."""
-        s, k, ratio, shift = self.padded(w.decode()), self.order, self.ratio, self.shift
+        s, k, ratio, shift = padded(w.decode(), self.order), self.order, self.ratio, self.shift
         total = 0.0
         for i in range(k - 1, len(s)):
             r = ratio.get(s[i - k + 1 : i + 1])
@@ -154,23 +159,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # At most 2 * max_per_class ids: small enough to broadcast by its bound.
     rows = written(text.join(F.broadcast(ids), "id").select("text", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("int").alias("half")), "toxicity-sample")
-    kind = "word binary, n0 long, n1 long"
+    kind = "gram string, n0 long, n1 long"
     halves = []
     for half in (0, 1):
-        counts = rows.filter(F.col("half") == half).select("text", "y").mapInArrow(_count, kind).groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        halves.append([(bytes(r["word"]), r["n0"], r["n1"]) for r in counts.toLocalIterator()])
-    both: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        counts = rows.filter(F.col("half") == half).select("text", "y").mapInArrow(_count_task(order), kind).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        halves.append([(r["gram"], r["n0"], r["n1"]) for r in counts.toLocalIterator()])
+    both: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for half in halves:
-        for w, a, b in half:
-            both[w][0] += a
-            both[w][1] += b
-    model = Model([(w, *n) for w, n in both.items()], order)
+        for g, a, b in half:
+            both[g][0] += a
+            both[g][1] += b
+    model = Model([(g, *n) for g, n in both.items()], order)
     other = [rows.sparkSession.sparkContext.broadcast(Model(halves[1 - half], order)) for half in (0, 1)]
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, y, h = (c.to_pylist() for c in batch.columns)
-            x = [other[half].value.mean(words(text)) for text, half in zip(t, h, strict=True)]
+            x = [other[half].value.mean(words(t.as_py())) for t, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
     pairs = rows.select("text", "y", "half").mapInArrow(means, "x double, y int").toPandas()
@@ -207,8 +211,8 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            stay = [not ws or own.probability(own.mean(ws)) < threshold for ws in map(words, texts)]
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            stay = [not ws or own.probability(own.mean(ws)) < threshold for ws in (words(t.as_py()) for t in texts)]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
