@@ -23,7 +23,7 @@ from quillmesh.llm.common import fold, written
 from quillmesh.llm.decontaminate import words
 
 START, STOP = "\x02", "\x03"
-CACHE = 150_000
+CACHE = 300_000
 
 
 def sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000) -> DataFrame:
