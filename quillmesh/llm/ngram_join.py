@@ -239,6 +239,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     narrow = sketch.select("row", "doc_id", "n", "fp")
     # Null ids sort last, so that a class with any id is represented by one.
     rep = narrow.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("row", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select("fp", F.col("r.row").alias("rep"))
+    rep = written(rep, "ngram-reps")  # joined afresh, so that a hot set's copies can be split over tasks
     members = written(narrow.join(rep, "fp", "left").select("doc_id", "n", "fp", "row", F.coalesce("rep", "row").alias("rep")), "ngram-members")
     copies = members.filter("row <> rep").select("row")
     sets = sketch.filter("n > 0").join(_checked(copies, copies.count()), "row", "left_anti")
