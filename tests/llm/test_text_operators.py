@@ -43,6 +43,21 @@ def test_template_is_counted_per_host(spark):
     assert all(text[20 + i].startswith("The same") for i in range(9))
 
 
+def test_articles_and_copies_keep_their_text(spark):
+    def text_of(pages):
+        rows = [(i, "https://a.example/", p) for i, p in enumerate(pages)]
+        return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    recipe = lambda i: f"<article><h1>Recipe {i}</h1><ul><li>2 eggs</li></ul><table><tr><td>Yes</td></tr></table><div>Serve</div><p>Story {i} goes on for a while.</p></article>"
+    assert text_of([recipe(i) for i in range(8)]) == {i: f"Recipe {i}\n2 eggs\nYes\nServe\nStory {i} goes on for a while." for i in range(8)}
+    copied = "<div>one</div><div>two</div><ul><li>six</li><li>ten</li></ul>"
+    assert set(text_of([copied] * 9).values()) == {"one\ntwo\nsix\nten"}
+    # On a host of 100 pages, 6 are no tenth and 20 are more.
+    page = lambda i: f"<p>Story {i} is long enough to be the main text of its page.</p>" + "<div>rare</div>" * (i < 6) + "<div>often</div>" * (i >= 80)
+    got = text_of([page(i) for i in range(100)])
+    assert all(got[i].endswith("\nrare") for i in range(6)) and not any("often" in got[i] for i in range(80, 100))
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract(none).count() == 0
