@@ -1,8 +1,10 @@
 """Licence recognition by sentences (built-in DataFrame operations only).
 
 Texts are cut into sentences, each normalised to lower-case ASCII words and other letters; known licence sentences become
-identifiers, and the identifier sequence of a text is matched against ordered rules. Everything happens inside a row, so
-there is no shuffle, and a row's work is in proportion to its text.
+identifiers, and the identifier sequence of a text is matched against ordered rules. A sentence begins and ends at the end
+of a sentence or line, and may run over single newlines with their comment signs, so wrapped licences are found as well as
+statements on a line of their own. Everything happens inside a row, so there is no shuffle, and a row's work is in
+proportion to its text.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ SENTENCES = [
     ("bsd.endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd.warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"),
 ]
+#: The sentences as the licences have them, in full. A sentence that says what two identifiers stand for gives both.
+FULL = [
+    ("mit.grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit.notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("mit.warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache2.licensed|apache2.comply", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("bsd.warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+]
 # Rule, licence, whether commercial use and closed derivatives are allowed, and the sentences in order. Longer rules come first.
 RULES = [
     ("mit-text", "MIT", True, ["mit.grant", "mit.notice", "mit.warranty"]),
@@ -58,16 +68,20 @@ def pattern(ids: list[str]) -> str:
     return "\\|" + "\\|(?:.*\\|)?".join(i.replace(".", "\\.") for i in ids) + "\\|"
 
 
-def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
+def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES + FULL) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    lines = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, "\n"), NOT_WORD, " ")
-    known = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
-    longest, shortest = max(len(s) for _, s in sentences), min(len(s) for _, s in sentences)
-    parts = F.filter(F.split(lines, "\n"), lambda x: F.length(x).between(shortest, longest + 2))
-    return F.filter(F.transform(parts, lambda x: F.try_element_at(known, F.trim(x))), lambda x: x.isNotNull())
+    # A blank line and the end of a sentence are two newlines, which no sentence runs over.
+    lines = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, "\n\n"), NOT_WORD, " ")
+    lines = F.trim(F.regexp_replace(lines, " ?\n ?", "\n"))
+    longest_first = sorted((s for _, s in sentences), key=len, reverse=True)
+    # A newline stands for one space of a sentence; the words are ASCII letters and digits.
+    known = "(?<![^\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?![^\n])"
+    names = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
+    found = F.transform(F.regexp_extract_all(lines, F.lit(known), F.lit(0)), lambda x: F.split(F.try_element_at(names, F.translate(x, "\n", " ")), "\\|"))
+    return F.flatten(found)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES + FULL, rules=RULES) -> DataFrame:
     """One row for each document: id, n_sentences (known ones, repeats counted), sentence_ids and rules (comma-joined), licences (sorted, comma-joined), n_licences, restricted.
 
     ``restricted`` is true if some licence found bars commercial use or closed derivatives, false otherwise. Null and empty
@@ -89,7 +103,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
 
 
 def scan_sql(sentences=SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``."""
+    """DuckDB SQL for ``scan`` over ``documents``, as far as each known sentence stands on one line and in its short form."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{q(s)}: {q(i)}" for i, s in sentences) + "}"
     hits = ", ".join(f"regexp_matches(seq, {q(pattern(ids))}) AS {q(n).replace(chr(39), chr(34))}" for n, _, _, ids in rules)
