@@ -4,8 +4,8 @@ Two models, toxic and ordinary, have counts of their own at the highest order on
 chain of continuation counts over both classes. So what neither class has evidence for cancels in the ratio, and a rare
 or unseen word is judged by its parts. A text's score is the mean over its words of what their log ratios have beyond
 ``noise`` nats (nearly all words of ordinary texts lie within, so differences between languages cancel), calibrated by a
-logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class); their n-grams are counted in
-Spark, and the fitted model, bounded by the sample, is broadcast.
+logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class), each weighted by how many
+labelled ids of its class it stands for; their n-grams are counted in Spark, and the fitted model, bounded by the sample, is broadcast.
 """
 
 from __future__ import annotations
@@ -26,12 +26,18 @@ START, STOP = "\x02", "\x03"
 CACHE = 300_000
 
 
-def sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000) -> DataFrame:
-    """At most ``max_per_class`` labelled ids of each class outside the held-out fold, by hash order. Of ids labelled twice, toxic wins; null ids and labels are left out."""
-    ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_out: int = 2) -> DataFrame:
+    """id, y: labelled ids outside the held-out fold that have a document. Of ids labelled twice, toxic wins; null ids and labels are left out."""
+    ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     ids = ids.filter(fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("y").alias("y"))
+    return ids.join(docs.select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct(), "id", "left_semi")
+
+
+def sample(ids: DataFrame, max_per_class: int = 10_000) -> tuple[DataFrame, dict[int, float]]:
+    """At most ``max_per_class`` of the ``labelled`` ids of each class, by hash order, and how many ids of its class each stands for."""
+    n = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     first = lambda y: ids.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
-    return first(0).unionByName(first(1))
+    return first(0).unionByName(first(1)), {y: n[y] / min(n[y], max_per_class) for y in n}
 
 
 def padded(word: str, order: int) -> str:
@@ -155,7 +161,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000, order: int = 5) -> Model:
     """A model from the labelled rows outside the held-out fold. Two halves of the sample score each other for the calibration."""
-    ids = sample(labels, id_col=id_col, label_col=label_col, folds=folds, held_out=held_out, max_per_class=max_per_class)
+    known = written(labelled(docs, labels, id_col=id_col, label_col=label_col, folds=folds, held_out=held_out), "toxicity-labelled")
+    ids, weights = sample(known, max_per_class)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # At most 2 * max_per_class ids: small enough to broadcast by its bound.
     rows = written(text.join(F.broadcast(ids), "id").select("text", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).cast("int").alias("half")), "toxicity-sample")
@@ -178,10 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
     pairs = rows.select("text", "y", "half").mapInArrow(means, "x double, y int").toPandas()
-    n = {r["y"]: r["n"] for r in labels.select(F.col(f"`{label_col}`").cast("int").alias("y")).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    took = pairs["y"].value_counts().to_dict()
+    took = set(pairs["y"])
     if len(took) == 2:
-        weight = pairs["y"].map(lambda v: n.get(v, 1) / took[v] if took[v] == max_per_class else 1.0).to_numpy()
+        weight = pairs["y"].map(weights).to_numpy(dtype=float)
         model.slope, model.bias = calibrate(pairs["x"].to_numpy(), pairs["y"].to_numpy().astype(float), weight)
     else:
         model.bias = -30.0 if 1 not in took else 30.0

@@ -110,6 +110,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_weights_stand_for_the_labelled_ids(spark, monkeypatch):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = toxic_rows()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, y) for i, _, y in rows[:50]] + [(i, 0) for i in range(9000, 9100)], "doc_id long, toxic int")
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, t) for i, t, _ in rows[:5]], "doc_id long, text string")
+    n = {y: sum(v == y and not held(i) for i, _, v in rows) for y in (0, 1)}
+    seen = []
+    own = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda x, y, weight: seen.append(dict(zip(y.tolist(), weight.tolist(), strict=True))) or own(x, y, weight))
+    for most in (n[1] - 10, n[1] + 1, n[0], 10_000):
+        toxicity.fit(texts, labels, max_per_class=most)
+        assert seen.pop() == {float(y): n[y] / min(n[y], most) for y in (0, 1)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
