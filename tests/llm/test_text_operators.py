@@ -31,6 +31,19 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='content has-sidebar'><article><p>x</p></article></div>", "x"), ("<div id='page-no-comments'><p>x</p></div>", "x"), ("<div class='layout menu-open'><main><p>x</p></main></div>", "x"),
+    ("<div class='with-cookie-notice'><div>x</div></div>", "x"), ("<div class='sidebar layout'><article><p>x</p><div class='share'>s</div></article><p>y</p></div>", "x"),
+    ("<div class='menu wrap'><div itemprop='articleBody'><p>x</p></div></div>", "x"), ("<div class='page widget'><p>most of the text</p></div><div>z</div>", "most of the text\nz"),
+    ("<main><p>x</p><div class='related'><article><p>teaser</p></article></div></main>", "x"), ("<article><p>x</p></article><div class='related'><article><p>teaser</p></article></div>", "x"),
+    ("<div><p>a long text</p></div><div class='related'><article><p>teaser</p></article></div>", "a long text"), ("<div>a</div><div id='comments'><p>a long thread</p></div>", "a"),
+    ("<article><p>x</p></article><div class='widget'><article><p>teaser</p></article></div>", "x"), ("<article><h1>T</h1><div class='entry share'><p>the body</p></div></article>", "T\nthe body"),
+    ("<div class='menu menu-open'>m</div><div>body</div>", "body"), ("<div class='cookie'>we use cookies</div><div>b</div>", "b"),
+])
+def test_wrappers_named_as_furniture(html, text):
+    assert main_text(html) == text
+
+
 def test_template_is_counted_per_host(spark):
     page = lambda i: f"<div class='x1'><p>Part of the Example network</p></div><div><p>Story {i} is long enough to be the main text of its page, whatever stands around.</p></div>"
     rows = [(i, f"https://a.example/{i}", page(i), 0) for i in range(6)] + [(10, "https://b.example/", page(10), 0), (11, None, page(11), 0), (12, "https://a.example/x", None, 0), (12, "https://a.example/x", None, 0)]
