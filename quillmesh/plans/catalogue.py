@@ -253,8 +253,7 @@ def q30_power_by_round(s, d):
 @query
 def q31_power_line_numbers(s, d):
     lines = data.log_lines(s, d).withColumn("log", F.date_format("ts", "yyyy-MM-dd"))
-    files = lines.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("a")).select("log", F.array_join(F.transform("a", lambda x: x["value"]), "\n").alias("value"))
-    return power.numbered_lines(files, "value", "log").select("log", "line_num", F.md5("value").alias("line_md5"))
+    return power.line_numbers(lines, "log", "event_id").select("log", "line_num", F.md5("value").alias("line_md5"))
 
 
 # --- frames -----------------------------------------------------------------------------------------------------------

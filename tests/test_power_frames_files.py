@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillmesh.operators import frames, power
+from quillmesh.plans import catalogue
 from quillmesh.sources import files
 
 SAMPLE = "RAM 2448/7620MB (lfb 4x4MB) SWAP 0/3810MB CPU [12%@1510,15%@1510,8%@1510,10%@1510,5%@1510,7%@1510] GR3D_FREQ 30% cpu@45.5C GPU 2500/15000 CPU 1800/10000 SOC 1200/8000 CV 0/0 VDDRQ 800/5000 SYS5V 3500/20000"
@@ -105,3 +106,14 @@ def test_configured_pairs(spark):
     tests = spark.createDataFrame([("a",), ("b",)], "node string")
     pairs = spark.createDataFrame([("a", "b"), ("a", "zzz"), ("fl_all", None)], "train string, test string")
     assert sorted(map(tuple, federate.train_test_pairs(tests, pairs).collect())) == [("a", "b"), ("fl_all", "a"), ("fl_all", "b")]
+
+
+def test_line_numbers_gather_no_log_in_one_row(spark, sf):
+    lines = spark.createDataFrame([("a" if i % 3 else "b", i * 7, f"line {i}") for i in range(-500, 1000)] + [("a", None, "first")], "log string, event_id long, value string")
+    got = {(r["log"], r["value"]): r["line_num"] for r in power.line_numbers(lines, "log", "event_id", bits=6).collect()}
+    want = {("a", "first"): 0}
+    for log in "ab":
+        want |= {(log, f"line {i}"): n + (log == "a") for n, i in enumerate(i for i in range(-500, 1000) if ("a" if i % 3 else "b") == log)}
+    assert got == want
+    plan = catalogue.queries()["q31_power_line_numbers"](spark, sf)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
