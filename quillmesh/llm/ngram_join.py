@@ -2,13 +2,17 @@
 
 1. A pass over the texts turns each into its set of shingle hashes. Equal sets are one class from here on.
 2. Blocks. Linked sets share a shingle among the first |A| - ceil(t |A|) + 1 in any order that is the same for all. The
-   order used here is by rarity: it starts with a fixed slice of all shingles, the rarest first, so a text that shares
-   little meets nobody. Classes that meet, directly or over others, form a block; no link leaves a block.
-3. A task joins a block with a signature tree: leaves of similar sets, nodes with the OR of their token bitmaps and their
-   range of set sizes. A dual traversal starts from the pair (root, root), drops node pairs whose sizes or greatest
-   possible overlap rule out a link, and node pairs that are one component already; sets that are left are compared.
-4. A block over the bounds is dealt in chunks: each chunk is joined in itself and with the block's first set. Then only what
-   is not in that set's component is joined, chunk by chunk, with all the block's chunks. No pair is given up.
+   order used here starts with a fixed slice of all shingles, the rarest first, so a text that shares little meets nobody;
+   shingles that a sample shows to be very common come last, so they are hardly ever looked up. Classes that meet, directly
+   or over others, form a block; no link leaves a block.
+3. A block over the bounds is cut by size into bands (a link never skips a band) and each band into chunks; a tile is a
+   chunk with itself, or with another chunk of its band or of the next.
+4. A task joins a tile with signature trees: leaves of similar sets, nodes with the OR of their token bitmaps and their
+   range of set sizes. A dual traversal starts from the pair (root, root) and drops node pairs whose sizes or greatest
+   possible overlap rule out a link; the sets of leaf pairs that are left are compared, all of them.
+
+Every link between different sets is found. A tile gives, for each set, how many documents it is linked with and one set of
+its component, so what leaves a task grows with its sets and not with their links.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
@@ -30,8 +34,9 @@ from quillmesh.llm.components import components
 SPACES = (9, 10, 11, 12, 13, 32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICE_OF, SLICE = 32, 12  # shingles whose hash modulo 32 is below 12 come first in the order
-FANOUT = 8
+FANOUT, LEAF = 8, 16
 BROADCAST_ROWS = 1_000_000
+SAMPLE, COMMON, MOST_COMMON = 64, 16, 1 << 20  # a shingle in 16 of the texts of every 64th is common; at most 2**20 are
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,35 +93,80 @@ def _fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _sketch_task(size: int, percent: int):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("prefix", pa.int32()), ("first", pa.list_(pa.int64()))])
+def _prefix(tokens: np.ndarray, p: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles among which the first ``p`` of the order are, and those of the first ``p`` that are common.
 
+    All of the slice, if these are enough; otherwise exactly the first ``p``, the common ones last.
+    """
+    often = np.zeros(len(tokens), dtype=bool)
+    if len(common):
+        at = np.searchsorted(common, tokens)
+        often = common[np.minimum(at, len(common) - 1)] == tokens
+    rare = tokens[~often]
+    sliced = rare % np.uint64(SLICE_OF) < SLICE
+    first = rare[sliced]
+    if len(first) < p:
+        first = np.concatenate((first, rare[~sliced][: p - len(first)]))
+    return first, tokens[often][: max(0, p - len(first))]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+SKETCH = "row long, doc_id long, text_key long, n long, fp binary, prefix int, first array<long>, common array<long>"
+
+
+def _sketch_task(size: int, percent: int, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ns, fps, prefixes, firsts, lengths = [], [], [], [], [0]
-            for text in batch.column(1):
+            if not batch.num_rows:
+                continue
+            ns, fps, prefixes, firsts, oftens = [], [], [], [], []
+            for text in batch.column(2):
                 t = shingle_set(text.as_py(), size)
                 n = len(t)
                 p = n - -(-percent * n // 100) + 1 if n else 0
-                ranked = t % np.uint64(SLICE_OF)
-                early = t[ranked < SLICE]
-                if len(early) < p:  # the order goes on with the other shingles, by hash
-                    early = np.concatenate((early, t[ranked >= SLICE][: p - len(early)]))
+                first, often = _prefix(t, p, common.value)
                 ns.append(n)
                 fps.append(_fingerprint(t))
                 prefixes.append(p)
-                firsts.append(early.view(np.int64))
-                lengths.append(lengths[-1] + len(early))
-            if not ns:
-                continue
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ns)), pa.int64()), batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(prefixes, pa.int32()), lists], schema=schema)
+                firsts.append(first)
+                oftens.append(often)
+            rows = pa.array(range(row, row + len(ns)), pa.int64())
+            arrays = [rows, batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(fps, pa.binary())]
+            arrays += [pa.array(prefixes, pa.int32()), _lists(firsts), _lists(oftens)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "text_key", "n", "fp", "prefix", "first", "common"])
             row += len(ns)
 
     return run
 
 
+def _token_task(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = shingle_set(text.as_py(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
+
+    return run
+
+
+def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that occur in ``COMMON`` or more of the distinct texts of a sample, ``MOST_COMMON`` at most.
+
+    They only shape the order, so which texts are in the sample changes no link. The bound holds by arithmetic: fewer than
+    2**20 shingles can have more than a 2**20th of all occurrences.
+    """
+    texts = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = written(texts.mapInArrow(_token_task(size), "token long").groupBy("token").count().filter(F.col("count") > 1), "ngram-sampled")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    found = counts.filter(F.col("count") >= max(COMMON, total // MOST_COMMON + 1)).select("token").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _set_task(size: int):
     schema = pa.schema([("fp", pa.binary()), ("tokens", pa.binary())])
 
@@ -130,98 +180,130 @@ def _set_task(size: int):
 
 
 class Tree:
-    """A signature tree over sets in order of size; a node is a range of them."""
-
-    def __init__(self, sets: list[np.ndarray], width: int):
-        self.sets = sets
-        self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
-        for i, s in enumerate(sets):
-            at = (s >> np.uint64(20)) & np.uint64(width - 1)
-            np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        self.bits = bits
-        # Tokens that share a bit with another of the same set: a common bit may stand for so many more common tokens.
-        self.slack = self.n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        edges = np.arange(0, len(sets), FANOUT)
-        self._level(edges, np.append(edges[1:], len(sets)), bits, self.n, self.n, self.slack, edges)
+    """A signature tree over sets, given as bitmaps and sizes in an order that keeps similar sets together; a node is a range of them."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        self.bits, self.n = bits, sizes
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        edges = np.arange(0, len(sizes), LEAF)
+        self._level(edges, np.append(edges[1:], len(sizes)), bits, sizes, sizes, edges)
         while len(self.levels[-1][0]) > 1:
-            first, last, ors, low, high, slack = self.levels[-1]
+            first, last, ors, low, high = self.levels[-1]
             cut = np.arange(0, len(first), FANOUT)
-            self._level(first[cut], last[np.minimum(cut + FANOUT, len(first)) - 1], ors, low, high, slack, cut)
-
-    def _level(self, first, last, ors, low, high, slack, cut):
-        self.levels.append((first, last, np.bitwise_or.reduceat(ors, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(slack, cut)))
+            self._level(first[cut], last[np.minimum(cut + FANOUT, len(first)) - 1], ors, low, high, cut)
 
+    def _level(self, first, last, ors, low, high, cut):
+        signature = np.bitwise_or.reduceat(ors, cut, axis=0)
+        self.levels.append((first, last, signature, np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    def children(self, level: int, node: int) -> range:
+        return range(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][0])))
 
 
-def dual_join(x: Tree, y: Tree, label_x: np.ndarray, label_y: np.ndarray, percent: int, same: bool) -> list[tuple[int, int]]:
-    """Links (i of x, j of y) that connect all components that any link connects. Labels are changed to the components found."""
-    out: list[tuple[int, int]] = []
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each token that lies in more than one of the sets: the bits two sets have in common are their overlap."""
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    bit = (np.cumsum(shared) - 1)[number]
+    width = max(1, -(-int(shared.sum()) // 64))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = shared[number]
+    at = owner[keep] * width + (bit[keep] >> 6)
+    out = np.zeros(len(sets) * width, dtype=np.uint64)
+    np.bitwise_or.at(out, at, np.uint64(1) << (bit[keep] & 63).astype(np.uint64))
+    return out.reshape(len(sets), width)
 
-    def one(lx, ly) -> bool:
-        return lx[0] == ly[0] and (lx == lx[0]).all() and (ly == lx[0]).all()
 
+def dual_join(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (i of x, j of y); of a tree with itself those with i < j."""
+    same, left, right = x is y, [], []
     stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while stack:
         lx, i, ly, j = stack.pop()
-        if same and lx == ly and i > j:
-            continue
-        fx, tx, ox, lowx, highx, slx = (c[i] for c in x.levels[lx])
-        fy, ty, oy, lowy, highy, sly = (c[j] for c in y.levels[ly])
-        if 100 * highx < percent * lowy or 100 * highy < percent * lowx or one(label_x[fx:tx], label_y[fy:ty]):
+        fx, tx, ox, lowx, highx = (c[i] for c in x.levels[lx])
+        fy, ty, oy, lowy, highy = (c[j] for c in y.levels[ly])
+        if 100 * highx < percent * lowy or 100 * highy < percent * lowx:
             continue
-        most = int(np.bitwise_count(ox & oy).sum()) + min(slx, sly)
-        if (100 + percent) * most < percent * (lowx + lowy):
+        if (100 + percent) * int(np.bitwise_count(ox & oy).sum()) < percent * int(lowx + lowy):
             continue
         if lx or ly:
-            # The higher node is opened; of a node with itself, both are.
-            kids_x = range(i * FANOUT, min((i + 1) * FANOUT, len(x.levels[lx - 1][0]))) if lx and lx >= ly else None
-            kids_y = range(j * FANOUT, min((j + 1) * FANOUT, len(y.levels[ly - 1][0]))) if ly and ly >= lx else None
-            stack += [(lx - (kids_x is not None), a, ly - (kids_y is not None), b) for a in (kids_x or [i]) for b in (kids_y or [j]) if not (same and lx == ly and a > b)]
+            # The higher node is opened; of two of one height, both are.
+            kids_x = x.children(lx, i) if lx and lx >= ly else None
+            kids_y = y.children(ly, j) if ly and ly >= lx else None
+            down = (lx - (kids_x is not None), ly - (kids_y is not None))
+            pairs = [(a, b) for a in (kids_x or [i]) for b in (kids_y or [j])]
+            stack += [(down[0], a, down[1], b) for a, b in pairs if not (same and a > b)]
             continue
-        for a in range(fx, tx):
-            rest = np.arange(max(fy, a + 1) if same else fy, ty)
-            if not len(rest):
-                continue
-            bound = np.bitwise_count(x.bits[a] & y.bits[rest]).sum(axis=1, dtype=np.int64) + np.minimum(x.slack[a], y.slack[rest])
-            for b in rest[(100 + percent) * bound >= percent * (x.n[a] + y.n[rest])]:
-                if label_x[a] != label_y[b] and linked(x.sets[a], y.sets[b], percent):
-                    out.append((a, b))
-                    old, new = max(label_x[a], label_y[b]), min(label_x[a], label_y[b])
-                    label_x[label_x == old] = new
-                    label_y[label_y == old] = new
-    return out
-
-
-def _width(sizes: np.ndarray) -> int:
-    return 1 << int(np.clip(np.ceil(np.log2(max(1, 4 * float(np.median(sizes))))), 8, 16))
-
-
-def _block_task(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """``side`` 0: join in itself; sides 1 and 2 in one group: join these with each other."""
-        pdf = pdf.drop_duplicates(["row", "side"])
-        sets = [np.frombuffer(t, dtype=np.uint64) for t in pdf["tokens"]]
-        sizes = np.array([len(s) for s in sets])
-        # Sets alike in size and in their smallest hashes become neighbours in a leaf.
-        order = np.lexsort(([int(s[0]) for s in sets], np.log(np.maximum(sizes, 1)) // 0.15))
-        side, rows, label = pdf["side"].to_numpy()[order], pdf["row"].to_numpy()[order], pdf["label"].to_numpy()[order].copy()
-        width = _width(sizes)
-        pick = lambda s: [sets[i] for i in order[side == s]]
-        if (side == 0).all():
-            tree = Tree(pick(0), width)
-            got = [(rows[a], rows[b]) for a, b in dual_join(tree, tree, label, label, percent, True)]
-        elif (side == 1).any() and (side == 2).any():
-            rx, ry = rows[side == 1], rows[side == 2]
-            got = [(rx[a], ry[b]) for a, b in dual_join(Tree(pick(1), width), Tree(pick(2), width), label[side == 1].copy(), label[side == 2].copy(), percent, False)]
-        else:
-            got = []
-        return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+        overlap = np.bitwise_count(x.bits[fx:tx, None] & y.bits[None, fy:ty]).sum(axis=2, dtype=np.int64)
+        link = (100 + percent) * overlap >= percent * (x.n[fx:tx, None] + y.n[None, fy:ty])
+        a, b = np.nonzero(np.triu(link, 1) if same and i == j else link)
+        left.append(a + fx)
+        right.append(b + fy)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _leads(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` sets the first one of its component under the links (i, j)."""
+    lead = np.arange(n)
+    while True:
+        least = np.minimum(lead[i], lead[j])
+        new = lead.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == lead).all():
+            return lead
+        lead = new
+
+
+def join_tile(sets: list[np.ndarray], docs: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a tile: the documents of the sets it is linked with, and the place of a set of its component.
+
+    Sets of side 0 are joined in themselves, those of side 1 with those of side 2. ``docs``: documents of each set's class.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    # Sets alike in size and in their smallest hashes become neighbours in a leaf.
+    order = np.lexsort((np.array([s[0] for s in sets], dtype=np.uint64), np.log(sizes) // 0.15))
+    bits = bitmaps(sets)
+    parts = [order[side[order] == k] for k in (0, 1, 2)]
+    trees = [Tree(bits[part], sizes[part]) if len(part) else None for part in parts]
+    links, lead = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
+    if trees[0] is not None:
+        x, y, at_x, at_y = trees[0], trees[0], parts[0], parts[0]
+    elif trees[1] is not None and trees[2] is not None:
+        x, y, at_x, at_y = trees[1], trees[2], parts[1], parts[2]
+    else:
+        return links, lead
+    i, j = dual_join(x, y, percent)
+    i, j = at_x[i], at_y[j]
+    np.add.at(links, i, docs[j])
+    np.add.at(links, j, docs[i])
+    return links, _leads(len(sets), i, j)
+
+
+def _tile_task(percent: int):
+    """Joins the tiles of a partition one after the other; rows come sorted by tile."""
+
+    def joined(tile: dict[int, tuple]) -> pa.RecordBatch:
+        rows = np.array(list(tile), dtype=np.int64)
+        side, docs = (np.array([v[k] for v in tile.values()], dtype=np.int64) for k in (0, 1))
+        links, lead = join_tile([np.frombuffer(v[2], dtype=np.uint64) for v in tile.values()], docs, side, percent)
+        hit = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(links[hit]), pa.array(rows[lead][hit])], names=["row", "links", "lead"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tile = None, {}
+        for batch in batches:
+            names, rows, sides, docs = (batch.column(k).to_pylist() for k in range(4))
+            for k, tokens in enumerate(batch.column(4)):
+                if names[k] != name:
+                    if tile:
+                        yield joined(tile)
+                    name, tile = names[k], {}
+                tile[rows[k]] = (sides[k], docs[k], tokens.as_py())
+        if tile:
+            yield joined(tile)
 
     return run
 
@@ -231,69 +313,89 @@ def _checked(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk_docs: int = 3000, chunk_tokens: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, row, rep; links: a, b between rows of class representatives)."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = "row long, doc_id long, n long, fp binary, prefix int, first array<long>"
-    sketch = written(rows.mapInArrow(_sketch_task(size, percent), kind), "ngram-sketch")
-    narrow = sketch.select("row", "doc_id", "n", "fp")
+def _tiles(held: DataFrame, percent: int, chunk_docs: int, chunk_tokens: int) -> DataFrame:
+    """``held`` (row, root, n, docs, tokens), each set once for each tile that it is in: adds tile and side."""
+    load = lambda: F.greatest(F.sum("n") / chunk_tokens, F.count("*") / chunk_docs)
+    large = held.groupBy("root").agg(load().alias("load")).filter("load > 1").select("root")
+    large = written(large, "ngram-large")
+    n_large = large.count()
+    whole = held.join(_checked(large, n_large), "root", "left_anti").withColumn("tile", F.col("root").cast("string")).withColumn("side", F.lit(0))
+    names = ("tile", "row", "side", "docs", "tokens")
+    if not n_large:
+        return whole.select(*names)
+    # Sizes that can link differ by at most one band; bands are a trifle wider than that, beyond any rounding.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    split = written(held.join(_checked(large, n_large), "root", "left_semi").withColumn("band", band.cast("long")), "ngram-bands")
+    chunks = written(split.groupBy("root", "band").agg(F.ceil(load()).cast("int").alias("k")), "ngram-chunks")
+    n_bands = chunks.count()
+    beside = lambda d, name: _checked(chunks.select("root", (F.col("band") - d).alias("band"), F.col("k").alias(name)), n_bands)
+    split = split.join(beside(0, "k"), ["root", "band"]).join(beside(1, "above"), ["root", "band"], "left").join(beside(-1, "below"), ["root", "band"], "left")
+    chunk = F.pmod(F.xxhash64("row"), F.col("k")).cast("int")
+
+    def tile(lower: Column, kind: str, one: Column, other: Column) -> Column:
+        return F.concat_ws(":", "root", lower, F.lit(kind), one, other)
+
+    def others(k: Column):
+        return F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+
+    split = split.withColumn("chunk", chunk)
+    c = F.col("chunk")
+    own = F.transform(
+        others(F.col("k")),
+        lambda j: F.struct(tile(F.col("band"), "in", F.least(c, j), F.greatest(c, j)).alias("tile"), F.when(c == j, 0).when(c < j, 1).otherwise(2).alias("side")),
+    )
+    up = F.transform(others(F.coalesce("above", F.lit(0))), lambda j: F.struct(tile(F.col("band"), "up", c, j).alias("tile"), F.lit(1).alias("side")))
+    down = F.transform(others(F.coalesce("below", F.lit(0))), lambda j: F.struct(tile(F.col("band") - 1, "up", j, c).alias("tile"), F.lit(2).alias("side")))
+    dealt = split.select("row", "docs", "tokens", F.explode(F.concat(own, up, down)).alias("t"))
+    return whole.select(*names).unionByName(dealt.select("t.tile", "row", "t.side", "docs", "tokens"))
+
+
+def classes(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk_docs: int = 128, chunk_tokens: int = 1_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, text_key, n, row, rep; links: row, links, lead: the documents of linked classes and a class of the component)."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), text.alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, size))
+    sketch = written(rows.mapInArrow(_sketch_task(size, percent, common), SKETCH), "ngram-sketch")
+    narrow = sketch.select("row", "doc_id", "text_key", "n", "fp")
     # Null ids sort last, so that a class with any id is represented by one.
-    rep = narrow.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("row", "doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r")).select("fp", F.col("r.row").alias("rep"))
-    rep = written(rep, "ngram-reps")  # joined afresh, so that a hot set's copies can be split over tasks
-    members = written(narrow.join(rep, "fp", "left").select("doc_id", "n", "fp", "row", F.coalesce("rep", "row").alias("rep")), "ngram-members")
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    rep = narrow.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("row", "doc_id"), least).alias("r"), F.count("*").alias("docs"))
+    rep = written(rep.select("fp", F.col("r.row").alias("rep"), "docs"), "ngram-reps")  # joined afresh, so that a hot set's copies can be split over tasks
+    members = narrow.join(rep, "fp", "left").select("doc_id", "text_key", "n", "fp", "row", F.coalesce("rep", "row").alias("rep"), F.coalesce("docs", F.lit(1)).alias("docs"))
+    members = written(members, "ngram-members")
     copies = members.filter("row <> rep").select("row")
     sets = sketch.filter("n > 0").join(_checked(copies, copies.count()), "row", "left_anti")
     # A shingle of a single class meets nobody and only fills up the prefix.
-    early = _frequencies(sets.select("row", "prefix", F.size("first").alias("had"), F.explode("first").alias("token"))).filter("df > 1")
-    in_slice = F.col("token").bitwiseAND(SLICE_OF - 1) < SLICE
-    key = F.struct((~in_slice).cast("int").alias("late"), F.when(in_slice, F.col("df")).otherwise(0).alias("df"), "token")
-    found = early.select("row", "prefix", "had", key.alias("k")).groupBy("row", "prefix", "had").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    room = F.col("prefix") - (F.col("had") - F.size("ks"))
-    meets = written(found.filter(room > 0).select("row", F.explode(F.slice("ks", 1, F.greatest(room, F.lit(0)))).alias("k")).select("row", "k.token"), "ngram-meets")
+    df = F.count("*").over(w.Window.partitionBy("token"))
+    room = F.col("prefix") - F.size("first") - F.size("common")
+    early = sets.select("row", room.alias("room"), F.explode("first").alias("token")).withColumn("df", df).filter("df > 1")
+    late = F.col("token").bitwiseAND(SLICE_OF - 1) >= SLICE
+    key = F.struct(late.cast("int").alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), "token")
+    found = early.select("row", "room", key.alias("k")).groupBy("row", "room").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    taken = F.slice("ks", 1, F.greatest(F.col("room") + F.size("ks"), F.lit(0)))
+    meets = found.select("row", F.explode(taken).alias("k")).select("row", "k.token").unionByName(sets.select("row", F.explode("common").alias("token")))
+    meets = written(meets, "ngram-meets")
     lead = meets.groupBy("token").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1").select("token", "a")
     stars = meets.join(lead, "token").filter("a <> row").select("a", F.col("row").alias("b")).distinct()
-    blocks = written(components(stars).join(members.select(F.col("row").alias("node"), "n", "doc_id", "fp"), "node"), "ngram-blocks")
+    found = members.select(F.col("row").alias("node"), "n", "doc_id", "fp", "docs")
+    blocks = written(components(stars).join(found, "node"), "ngram-blocks")
     n_blocked = blocks.count()
     if not n_blocked:
-        return members, blocks.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
-    texts = _members_texts(rows, blocks, n_blocked)
-    made = texts.mapInArrow(_set_task(size), "fp binary, tokens binary").dropDuplicates(["fp"])
-    weights = blocks.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / chunk_tokens, F.count("*") / chunk_docs)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    held = written(made.join(blocks.join(weights, "root").select("fp", "node", "root", "chunks", chunk.alias("chunk")), "fp").select(F.col("node").alias("row"), "root", "chunks", "chunk", "tokens", F.col("node").alias("label")), "ngram-sets")
-    join = lambda df: df.groupBy("root", "chunk", "other").applyInPandas(_block_task(percent), "a long, b long")
-    base = held.select("root", "chunk", F.lit(-1).alias("other"), "row", "tokens", "label", F.lit(0).alias("side"))
-    first = held.filter("row = root AND chunks > 1").select("root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(-1).alias("other"), "row", "tokens", "label", F.lit(0).alias("side"))
-    links = written(join(base.unionByName(first)), "ngram-links")
-    big = held.filter("chunks > 1")
-    if not big.isEmpty():
-        done = components(links)
-        big = big.drop("label").join(done.select(F.col("node").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        big = written(big, "ngram-big")
-        of_first = big.filter("row = root").select("root", F.col("label").alias("main"))
-        apart = big.join(of_first, "root").filter("label <> main").drop("main")
-        right = apart.select("root", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "row", "tokens", "label", F.lit(1).alias("side"))
-        pairs = right.select("root", "chunk", "other").distinct()
-        left = big.select("root", F.col("chunk").alias("other"), "row", "tokens", "label").join(pairs, ["root", "other"]).select("root", "chunk", "other", "row", "tokens", "label", F.lit(2).alias("side"))
-        links = written(links.unionByName(join(right.unionByName(left))), "ngram-links")
-    return members, links
-
-
-def _frequencies(early: DataFrame, part: int = 64, least: int = 64) -> DataFrame:
-    """Adds ``df``, the number of classes with a shingle, exactly.
-
-    Counting needs a shingle's rows together, but not those of a very common one: such shingles, found in every 64th class,
-    are counted with map-side sums and joined by a broadcast, so their rows never move. The guess only picks the way.
-    """
-    seen = early.filter(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).groupBy("token").count().filter(F.col("count") >= least).select("token")
-    hot = written(seen, "ngram-hot")
-    n_hot = hot.count()
-    by_token = lambda df: df.withColumn("df", F.count("*").over(w.Window.partitionBy("token")))
-    if not 0 < n_hot <= BROADCAST_ROWS:
-        return by_token(early)
-    common = early.join(F.broadcast(hot), "token", "left_semi")
-    counts = common.groupBy("token").agg(F.count("*").alias("df"))
-    return by_token(early.join(F.broadcast(hot), "token", "left_anti")).unionByName(common.join(F.broadcast(counts), "token"))
+        return members, blocks.select(F.col("node").alias("row"), F.col("docs").alias("links"), F.col("root").alias("lead")).limit(0)
+    made = _members_texts(rows, blocks, n_blocked).mapInArrow(_set_task(size), "fp binary, tokens binary").dropDuplicates(["fp"])
+    held = written(made.join(blocks, "fp").select(F.col("node").alias("row"), "root", "n", "docs", "tokens"), "ngram-sets")
+    tiles = _tiles(held, percent, chunk_docs, chunk_tokens)
+    loads = blocks.agg(F.sum("n")).first()[0] or 0
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-loads // chunk_tokens))
+    tiles = tiles.repartition(tasks, "tile").sortWithinPartitions("tile")
+    return members, written(tiles.mapInArrow(_tile_task(percent), "row long, links long, lead long"), "ngram-links")
+
+
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
 def _members_texts(rows: DataFrame, blocks: DataFrame, n_blocked: int) -> DataFrame:
@@ -302,22 +404,46 @@ def _members_texts(rows: DataFrame, blocks: DataFrame, n_blocked: int) -> DataFr
     return rows.join(_checked(ids, n_blocked), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
 
+def _grouped(docs: DataFrame, **options) -> DataFrame:
+    members, links = classes(docs, **options)
+    # The edges of all tiles; a class in no tile with a link is alone.
+    roots = components(links.select(F.col("row").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "root")
+    partners = links.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"))
+    whole = members.join(roots, "rep", "left").join(partners, "rep", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("docs") - 1
+    # An empty set is its own class and component: rep is its own row.
+    return whole.select("doc_id", "text_key", "n", F.coalesce("root", "rep").alias("root"), F.when(F.col("n") > 0, n_links).otherwise(0).alias("n_links"))
+
+
 def near_groups(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id reachable over links, the document's own included.
+    """doc_id, n_shingles, component_id, n_links for each row.
 
-    Texts without words (null too) have no shingles and are linked with nothing. Repeated rows are linked by their equal
-    sets. Null ids take part; a component of null ids only has a null component_id. Other columns are ignored.
+    ``component_id`` is the smallest id reachable over links, the document's own included; ``n_links`` the number of other
+    rows that the row is linked with. Texts without words (null too) have no shingles and are linked with nothing. Repeated
+    rows are linked by their equal sets. Null ids take part; a component of null ids only has a null component_id. An empty
+    table gives an empty result; other columns are ignored.
     """
-    members, links = classes(docs, **options)
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    # An empty set is its own class and component: rep is its own row.
-    whole = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    whole = written(_grouped(docs, **options), "ngram-groups")
     least = written(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-least")
-    return whole.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return whole.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each group, one with the smallest id, with all its columns.
+
+    Texts without words are a group each. Of rows that repeat this id and its text, one stays; null ids come after all
+    others. An empty table gives an empty result.
+    """
+    whole = written(_grouped(docs, id_col=id_col, text_col=text_col, **options), "ngram-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    # Rows without shingles have a root of their own, so each stays.
+    stay = whole.groupBy("root").agg(first.alias("s"), F.max("n").alias("n"))
+    stay = stay.select(F.col("s.doc_id").alias("__id"), F.col("s.text_key").alias("__key"), (F.col("n") == 0).alias("__all")).distinct()
+    stay = written(stay, "ngram-stay")
+    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
+    twice = whole.filter("n > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
+    if twice.isEmpty():
+        return docs.join(stay, own, "left_semi")
+    kept = docs.join(stay, own).drop("__id")
+    one = w.Window.partitionBy(F.col(f"`{id_col}`"), "__key").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(one)).filter("__all OR __n = 1").drop("__n", "__key", "__all")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,10 +89,11 @@ def shingles(t):
     return {tuple(ws[j : j + 5]) for j in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def brute(pairs):
+def brute(pairs, percent=75):
     """doc_id is unique here; null texts have no shingles."""
     sets = {i: shingles(t) for i, t in pairs}
     root = {i: i for i in sets}
+    n_links = dict.fromkeys(sets, 0)
 
     def find(x):
         while root[x] != x:
@@ -106,10 +108,12 @@ def brute(pairs):
                 near[j] = near.get(j, 0) + 1
             where[s].append(i)
         for j, k in near.items():
-            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return sorted((i, len(sets[i]), find(i)) for i in sets)
+                n_links[i] += 1
+                n_links[j] += 1
+    return sorted((i, len(sets[i]), find(i), n_links[i]) for i in sets)
 
 
 def edited(seed):
@@ -128,13 +132,57 @@ def edited(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"chunk_docs": 3}), (3, {"chunk_tokens": 200})])
-def test_join_is_exact(spark, seed, options):
+@pytest.mark.parametrize(
+    ("seed", "options", "common"),
+    [(1, {}, 16), (2, {"chunk_docs": 3}, 16), (3, {"chunk_tokens": 200}, 16), (4, {"chunk_docs": 2}, 2), (5, {"percent": 50, "chunk_docs": 4}, 3), (6, {"percent": 100}, 2)],
+)
+def test_join_is_exact(spark, monkeypatch, seed, options, common):
+    """Also where most shared shingles count as common, and where blocks are cut into many tiles."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1 if common < 16 else 64)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
     pairs = edited(seed)
     got = ngram_join.near_groups(frame(spark, pairs), **options)
+    assert sorted(map(tuple, got.collect())) == brute(pairs, options.get("percent", 75))
+
+
+def test_large_block_of_unlinked_sets(spark):
+    """1,200 texts that share few shingles, none alike, around one large family, cut into many tiles."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    shared, base = [[word() for _ in range(12)] for _ in range(6)], [word() for _ in range(90)]
+    texts = [" ".join([word() for _ in range(rnd.randrange(8, 40))] + rnd.choice(shared) + [word()]) for _ in range(1200)]
+    for _ in range(200):
+        copy = list(base)
+        copy[rnd.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    pairs = list(enumerate(texts))
+    got = ngram_join.near_groups(frame(spark, pairs), chunk_docs=32)
     assert sorted(map(tuple, got.collect())) == brute(pairs)
 
 
+@pytest.mark.parametrize("sides", [(0,), (1, 2)])
+def test_tile_finds_all_links(sides):
+    rnd = np.random.default_rng(5)
+    bases = [np.sort(rnd.choice(1 << 40, rnd.integers(1, 60), replace=False)) for _ in range(12)]
+    sets = []
+    for _ in range(300):
+        b = bases[rnd.integers(len(bases))]
+        sets.append(np.unique(np.concatenate((b[rnd.random(len(b)) < 0.93], rnd.choice(1 << 40, rnd.integers(1, 6)))).astype(np.uint64)))
+    side, docs = rnd.choice(sides, len(sets)), rnd.integers(1, 9, len(sets))
+    links, lead = ngram_join.join_tile(sets, docs, side, 75)
+    want, root = np.zeros(len(sets), dtype=int), list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if (side[i] == 0 or side[i] != side[j]) and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                want[i] += docs[j]
+                want[j] += docs[i]
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert (links == want).all()
+    assert all((lead[i] == lead[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
+
+
 def test_join_on_the_given_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = ngram_join.near_groups(docs)
@@ -152,3 +200,11 @@ def test_keep_one_keeps_columns(spark):
     docs = frame(spark, [(5, t), (7, t + " more"), (8, None), (9, "")])
     got = ngram_join.keep_one(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [5, 8, 9]
+
+
+def test_keep_one_of_repeated_rows(spark):
+    """Two groups that share an id: a row of each stays, whatever repeats."""
+    t, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = frame(spark, [(5, t), (5, t), (3, t + " more"), (5, u), (6, u + " more"), (5, u), (4, None), (4, None), (None, u)])
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(3, t + " more"), (5, u), (4, None), (4, None)], key=str)
