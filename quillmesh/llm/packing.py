@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from quillmesh.llm.common import only, written
 # Fixed value: how byte-level BPE vocabularies of this family cut a text before merging.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -34,20 +34,27 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """The vocabulary of a byte-level ``tokenizer.json``, run by tiktoken: the same ids, several times faster.
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text under a byte-level ``tokenizer.json`` without added special tokens, run by tiktoken: the same ids, several times faster.
 
-    Strings of special tokens in a text are ordinary text.
+    Where a text contains the string of a special token, that is the special token's id, as ``tokenizers`` has it.
     """
     if path not in _ENCODERS:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        made = tiktoken.Encoding("packing", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+        def ids(text: str) -> list[int]:
+            if any(s in text for s in special):
+                return made.encode(text, allowed_special="all")
+            return made.encode_ordinary(text)
+
+        _ENCODERS[path] = ids
     return _ENCODERS[path]
 
 
@@ -115,7 +122,7 @@ def _pack_task(path: str, window: int, open_windows: int, min_cut: int, end_id:
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         packer = _Packer(TaskContext.get().partitionId() << 32, window, open_windows, min_cut, with_ids)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
