@@ -3,8 +3,10 @@
 Two models, toxic and ordinary, have counts of their own at the highest order only; below, both share one Kneser-Ney
 chain of continuation counts over both classes. So what neither class has evidence for cancels in the ratio, and a rare
 or unseen word is judged by its parts. A text's score is the mean over its words of what their log ratios have beyond
-``noise`` nats (nearly all words of ordinary texts lie within, so differences between languages cancel), calibrated by a
-logistic curve on the training rows. Training rows are a bounded sample (``max_per_class`` of each class), each weighted by how many
+``noise`` nats, calibrated by a logistic curve on the training rows; with a noise of 0 it is the plain difference of both
+log-likelihoods, normalised by words. How much is noise (such as the difference between two languages, one of which has
+more toxic texts) is chosen on the training rows: two halves score each other under each of ``NOISES``, and the one with the
+least log loss is taken. Training rows are a bounded sample (``max_per_class`` of each class), each weighted by how many
 labelled ids of its class it stands for; their n-grams are counted in Spark, and the fitted model, bounded by the sample, is broadcast.
 """
 
@@ -24,6 +26,7 @@ from quillmesh.llm.decontaminate import words
 
 START, STOP = "\x02", "\x03"
 CACHE = 300_000
+NOISES = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -66,8 +69,8 @@ def _count_task(order: int):
 class Model:
     """``ratio[h + c]``: log ratio of toxic over ordinary for character c after h; ``shift[h]`` where c was never seen after h."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], order: int = 5, discount: float = 0.75, noise: float = 4.0):
-        self.order, self.noise, self.ratio, self.shift = order, noise, {}, {}
+    def __init__(self, counts: list[tuple[str, int, int]], order: int = 5, discount: float = 0.75):
+        self.order, self.noise, self.ratio, self.shift = order, 0.0, {}, {}
         self.slope, self.bias = 0.0, 0.0
         top = tuple(Counter({c[0]: c[1 + y] for c in counts if c[1 + y]}) for y in (0, 1))
         shared = self._shared(set(top[0]) | set(top[1]), order, discount)
@@ -123,6 +126,13 @@ class Model:
             total += shift.get(s[i - k + 1 : i], 0.0) if r is None else r
         return total
 
+    def means(self, ws: list[bytes], noises: tuple[float, ...] = NOISES) -> list[float]:
+        """``mean`` under each noise."""
+        if not ws:
+            return [0.0] * len(noises)
+        raw = np.array([self.word(w) for w in ws])
+        return [float((np.sign(raw) * np.maximum(np.abs(raw) - noise, 0.0)).mean()) for noise in noises]
+
     def mean(self, ws: list[bytes]) -> float:
         """Length-normalised log ratio of a text beyond the noise of each word; 0 without words."""
         if not ws:
@@ -159,8 +169,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return float(beta[0] / scale), float(beta[1])
 
 
+def choose(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """(noise, slope, bias) with the least log loss; ``x`` has a column for each of ``NOISES``. Ties go to the smaller noise."""
+    found = []
+    for k, noise in enumerate(NOISES):
+        slope, bias = calibrate(x[:, k], y, weight)
+        p = 1 / (1 + np.exp(-np.clip(slope * x[:, k] + bias, -30, 30)))
+        loss = -float((weight * np.log(np.where(y == 1, p, 1 - p))).sum())
+        found.append((round(loss, 9), noise, slope, bias))
+    return min(found)[1:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000, order: int = 5) -> Model:
-    """A model from the labelled rows outside the held-out fold. Two halves of the sample score each other for the calibration."""
+    """A model from the labelled rows outside the held-out fold. Two halves of the sample score each other for noise and calibration."""
     known = written(labelled(docs, labels, id_col=id_col, label_col=label_col, folds=folds, held_out=held_out), "toxicity-labelled")
     ids, weights = sample(known, max_per_class)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -181,14 +202,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [other[half].value.mean(words(t.as_py())) for t, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
+            x = [other[half].value.means(words(t.as_py())) for t, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    pairs = rows.select("text", "y", "half").mapInArrow(means, "x double, y int").toPandas()
+    pairs = rows.select("text", "y", "half").mapInArrow(means, "x array<double>, y int").toPandas()
     took = set(pairs["y"])
     if len(took) == 2:
-        weight = pairs["y"].map(weights).to_numpy(dtype=float)
-        model.slope, model.bias = calibrate(pairs["x"].to_numpy(), pairs["y"].to_numpy().astype(float), weight)
+        y, weight = pairs["y"].to_numpy().astype(float), pairs["y"].map(weights).to_numpy(dtype=float)
+        model.noise, model.slope, model.bias = choose(np.stack(pairs["x"].to_numpy()), y, weight)
     else:
         model.bias = -30.0 if 1 not in took else 30.0
     return model

@@ -124,6 +124,63 @@ def test_toxicity_weights_stand_for_the_labelled_ids(spark, monkeypatch):
         assert seen.pop() == {float(y): n[y] / min(n[y], most) for y in (0, 1)}
 
 
+def test_held_out_labels_change_nothing(spark):
+    """Whether the sample takes all rows or some, other labels of the held-out fold give equal scores."""
+    rows = toxic_rows()[:300]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    flip = lambda i, y: 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y
+    for most in (30, 10_000):
+        models = [toxicity.fit(docs, spark.createDataFrame([(i, f(i, y)) for i, _, y in rows], "doc_id long, toxic int"), max_per_class=most) for f in (lambda i, y: y, flip)]
+        assert (models[0].noise, models[0].slope, models[0].bias) == (models[1].noise, models[1].slope, models[1].bias)
+        assert models[0].ratio == models[1].ratio
+
+
+def test_kneser_ney_against_brute_force():
+    """Every log ratio of words seen and unseen, from the formula written out over lists of n-grams."""
+    order, d = 3, 0.75
+    seen = {0: ["abab", "abc", "b", "cab"] * 2, 1: ["xab", "xax", "abx"]}
+    cut = {y: [s[i - order : i] for w in ws for s in [toxicity.padded(w, order)] for i in range(order, len(s) + 1)] for y, ws in seen.items()}
+    levels = {order: set(cut[0]) | set(cut[1])}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {g[1:] for g in levels[k + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / (len(levels[1]) + 256)
+        before = lambda x: sum(u[1:] == x for u in levels[len(x) + 1])
+        all_after = [x for x in levels[len(g)] if x[:-1] == g[:-1]]
+        total = sum(map(before, all_after))
+        return (max(before(g) - d, 0) + d * len(all_after) * shared(g[1:])) / total if total else shared(g[1:])
+
+    def prob(y, g):
+        after = [x for x in cut[y] if x[:-1] == g[:-1]]
+        return (max(after.count(g) - d, 0) + d * len(set(after)) * shared(g[1:])) / len(after) if after else shared(g[1:])
+
+    model = toxicity.Model([(g, cut[0].count(g), cut[1].count(g)) for g in levels[order]], order)
+    for w in ("abab", "xab", "xxb", "zzz", "", "bca", "abx"):
+        s = toxicity.padded(w, order)
+        grams = [s[i - order : i] for i in range(order, len(s) + 1)]
+        assert math.isclose(model.word(w.encode()), sum(math.log(prob(1, g) / prob(0, g)) for g in grams), abs_tol=1e-9)
+    # Probabilities after any history sum to one over the seen characters and the 256 others.
+    for h in ("ab", "xa", "qq", toxicity.START * 2):
+        chars = sorted({g for g in levels[1]})
+        rest = shared("\u1234") * 256
+        for y in (0, 1):
+            unseen = prob(y, h + "\u1234") * 256
+            assert math.isclose(sum(prob(y, h + c) for c in chars) + unseen, 1) and rest > 0
+
+
+def test_noise_has_the_least_loss_on_the_given_rows():
+    rnd = random.Random(3)
+    y = [int(rnd.random() < 0.3) for _ in range(400)]
+    import numpy as np
+
+    x = np.array([[rnd.gauss(0, 3)] * (len(toxicity.NOISES) - 1) + [2.0 * v + rnd.gauss(0, 0.3)] for v in y])
+    assert toxicity.choose(x, np.array(y, dtype=float), np.ones(400))[0] == toxicity.NOISES[-1]
+    same = np.repeat(x[:, -1:], len(toxicity.NOISES), axis=1)
+    assert toxicity.choose(same, np.array(y, dtype=float), np.ones(400))[0] == toxicity.NOISES[0]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, sf, name):
     con = duckdb.connect()
