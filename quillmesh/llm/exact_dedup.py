@@ -1,9 +1,13 @@
 """Exact deduplication over an extendible-hash index (built-in DataFrame operations only).
 
-The index holds one entry for each distinct normalised text. Keys are 64-bit hashes; a directory of key prefixes doubles
-until no bucket holds more than ``capacity`` entries (a bucket of one single key cannot be split and stays as a chain).
-The index is written to the shared folder in key order, so each owner task holds a contiguous range of buckets. Entries
-that share a key are chained; which entry a text belongs to is decided by comparing bytes, never by a hash alone.
+1. Every row's key, a 64-bit hash of its normalised text, is written once, with the row's id.
+2. Directory. The different keys are counted by prefix; the directory of key prefixes doubles until no bucket holds more
+   than ``capacity`` of them, or one key alone is left.
+3. Owners. Each row looks up its bucket in the directory and goes to the task that owns the bucket; an owner has a range of
+   buckets. There the texts of a key are told apart by their bytes: each different text is one entry, and the entries of
+   one key form a chain. Copies of very frequent keys collapse before they are dealt, so that no owner gets them all.
+4. The index, one row for each entry in the order of buckets, is written to the shared folder. A row finds its entry by
+   bucket and key, and in a chain by its bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from quillmesh.llm.common import ascii_lower, only, written
+from quillmesh.llm.common import ascii_lower, written
+
+BROADCAST_ROWS = 1 << 21
+OWNER_BYTES = 64 << 20
+
+
+def _norm(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def _key(norm: Column, hash_bits: int) -> Column:
@@ -22,83 +33,124 @@ def _key(norm: Column, hash_bits: int) -> Column:
     return h if hash_bits == 64 else F.shiftrightunsigned(h, 64 - hash_bits)
 
 
-def _directory(keys: DataFrame, capacity: int, hash_bits: int, start_depth: int = 1) -> tuple[DataFrame, int]:
-    """(slot, depth) of the directory at its final global depth.
+def _checked(df: DataFrame, n: int) -> DataFrame:
+    """Broadcast where it is small by count, joined by a shuffle beyond."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-    ``keys`` has one row for each entry. Counts are kept for ``fine`` prefix bits, a few more than the depth that evenly
-    spread keys would need; the directory then doubles while some bucket is overfull. Its size follows the number of
-    entries over ``capacity``, not the number of documents.
+
+def directory(keys: DataFrame, n: int, capacity: int, hash_bits: int) -> tuple[DataFrame, int]:
+    """(slot, bucket, depth, position) of the directory at its final size of 2 ** bits slots, and bits.
+
+    ``keys`` has each of the ``n`` different keys once. A bucket is named by its first slot; ``position`` is the share of
+    all keys before it, so equal ranges of it are owners of equal work. Keys are counted for 3 prefix bits more than evenly
+    spread keys need; these are the deepest that the directory can get.
     """
-    n = keys.count()
-    fine = min(hash_bits, 30, max(start_depth, math.ceil(math.log2(max(2, n / capacity))) + 6))
+    fine = min(hash_bits, 62, max(1, math.ceil(math.log2(max(2, n / capacity))) + 3))
     slots = written(keys.groupBy(F.shiftrightunsigned("h", hash_bits - fine).alias("slot")).count(), "dedup-slots")
-    depth, grown = start_depth, slots.withColumn("depth", F.lit(start_depth))
+    depth, grown = 1, slots.withColumn("depth", F.lit(1))
     while depth < fine:
         prefix = F.shiftrightunsigned("slot", fine - depth)
-        over = (
-            grown.filter(F.col("depth") == depth).groupBy(prefix.alias("bucket")).agg(F.sum("count").alias("n"))
-            .filter(F.col("n") > capacity).select("bucket", F.lit(depth + 1).alias("deeper"))
-        )
-        if over.isEmpty():
+        full = grown.filter(F.col("depth") == depth).groupBy(prefix.alias("bucket")).agg(F.sum("count").alias("n")).filter(F.col("n") > capacity)
+        full = full.select("bucket", F.lit(depth + 1).alias("deeper"))
+        if full.isEmpty():
             break
-        grown = written(
-            grown.withColumn("bucket", prefix).join(over, "bucket", "left")
-            .select("slot", "count", F.when(F.col("depth") == depth, F.coalesce("deeper", "depth")).otherwise(F.col("depth")).alias("depth")),
-            "dedup-directory",
-        )
+        deeper = F.when(F.col("depth") == depth, F.coalesce("deeper", "depth")).otherwise(F.col("depth"))
+        grown = grown.withColumn("bucket", prefix).join(full, "bucket", "left").select("slot", "count", deeper.alias("depth"))
+        grown = written(grown, "dedup-directory")
         depth += 1
     bucket = F.expr(f"shiftleft(shiftrightunsigned(slot, {fine} - depth), {fine} - depth)")
-    return grown.select("slot", "depth", bucket.alias("bucket")), fine
-
-
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, hash_bits: int = 64) -> DataFrame:
-    """The index: bucket, depth, h, chain (position among the entries of one key), chained (the key has several), keep_id, group_size, text_sha256."""
-    norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumn("h", _key(F.col("norm"), hash_bits))
-    # Copies collapse in the map tasks already; bytes are compared where a key's texts meet.
-    groups = rows.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = groups.select("h", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"))
-    entries = written(entries, "dedup-entries")
-    slots, fine = _directory(only(entries, "h"), capacity, hash_bits)
-    chain = F.row_number().over(w.Window.partitionBy("h").orderBy("text_sha256", "n_bytes")) - 1
-    index = (
-        entries.withColumn("slot", F.shiftrightunsigned("h", hash_bits - fine)).join(slots, "slot")
-        .withColumn("chain", chain).withColumn("chained", F.count("*").over(w.Window.partitionBy("h")) > 1)
-        .select("bucket", "depth", "h", "chain", "chained", "keep_id", "group_size", "text_sha256")
-    )
-    return written(index.repartitionByRange("bucket", "h"), "dedup-index")
-
-
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, hash_bits: int = 64) -> DataFrame:
+    return grown.select("slot", bucket.alias("bucket"), "depth", (F.col("slot") / float(1 << fine)).alias("position")), fine
+
+
+def build_index(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, most_buckets: int = 1 << 18, hash_bits: int = 64, hot_rows: int = 1000
+) -> tuple[DataFrame, DataFrame]:
+    """(keys: id, h; index: owner, bucket, depth, h, chain, chained, bytes, keep_id, group_size, text_sha256).
+
+    ``chain`` is the position among the entries of one key, ``chained`` says that there are several; only these keep their
+    ``bytes``. Beyond ``capacity * most_buckets`` different keys a bucket may hold more, so the directory stays bounded.
+    """
+    spark = docs.sparkSession
+    norm = _norm(text_col)
+    keys = docs.select(F.col(f"`{id_col}`").alias("id"), _key(norm, hash_bits).alias("h"), F.octet_length(norm).cast("long").alias("size"))
+    keys = written(keys, "dedup-keys")
+    counts = written(keys.groupBy("h").agg(F.count("*").alias("rows")), "dedup-counts")
+    n = counts.count()
+    slots, fine = directory(counts, n, max(capacity, -(-n // most_buckets)), hash_bits)
+    n_slots = slots.count()
+    hot = counts.filter(F.col("rows") > hot_rows).select("h")
+    n_hot = hot.count()
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // OWNER_BYTES))
+
+    rows = docs.select(norm.alias("norm"), F.col(f"`{id_col}`").alias("keep_id")).withColumn("h", _key(F.col("norm"), hash_bits))
+    entries = rows.withColumn("group_size", F.lit(1).cast("long"))
+    if n_hot:
+        copies = rows.join(_checked(hot, n_hot), "h", "left_semi").groupBy("h", "norm").agg(F.max("keep_id").alias("keep_id"), F.count("*").alias("group_size"))
+        entries = entries.join(_checked(hot, n_hot), "h", "left_anti").unionByName(copies)
+    slot = F.shiftrightunsigned("h", hash_bits - fine)
+    dealt = entries.withColumn("slot", slot).join(_checked(slots, n_slots), "slot")
+    # Four ranges of buckets to a task; a bucket has one position, that of its first slot.
+    start = F.col("bucket") / float(1 << fine)
+    dealt = dealt.withColumn("owner", F.floor(start * (4 * tasks)).cast("long")).repartition(tasks, "owner")
+    found = dealt.groupBy("owner", "bucket", "depth", "h", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    found = found.withColumn("text_sha256", F.sha2("norm", 256))
+    of_key = w.Window.partitionBy("owner", "bucket", "h")
+    found = found.withColumn("chain", F.row_number().over(of_key.orderBy("text_sha256", "norm")) - 1).withColumn("chained", F.count("*").over(of_key) > 1)
+    bytes_ = F.when(F.col("chained"), F.col("norm")).alias("bytes")
+    index = found.select("owner", "bucket", "depth", "h", "chain", "chained", bytes_, "keep_id", "group_size", "text_sha256")
+    return keys, written(index, "dedup-index")
+
+
+def _lookup(docs: DataFrame, keys: DataFrame, index: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
+    """id, h, keep_id, group_size, text_sha256 for each row."""
+    names = ("id", "h", "keep_id", "group_size", "text_sha256")
+    found = keys.join(index.filter(~F.col("chained")), "h").select(*names)
+    chains = index.filter("chained")
+    if not chains.isEmpty():
+        # Keys with several texts, a vanishing part of 64-bit keys: the bytes decide.
+        rows = docs.select(F.col(f"`{id_col}`").alias("id"), _norm(text_col).alias("norm")).withColumn("h", _key(F.col("norm"), hash_bits))
+        met = rows.join(chains, "h").filter(F.col("norm") == F.col("bytes"))
+        found = found.unionByName(met.select(*names))
+    return found
+
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, **options) -> DataFrame:
     """One row for each document: ``id_col``, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z only; null counts as empty; the largest id of a group stays. Of
     rows repeated with that same id, each is marked kept (``exact_dedup`` returns just one). A null id loses against any
     other; in a group of null ids only, keep_id is null and every row is kept. An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. ``options`` are those of ``build_index``.
     """
-    index = build_index(docs, id_col=id_col, text_col=text_col, capacity=capacity, hash_bits=hash_bits)
-    norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumn("h", _key(F.col("norm"), hash_bits))
-    plain = index.filter(~F.col("chained"))
-    found = rows.select("id", "h").join(only(plain, "h", "keep_id", "group_size", "text_sha256"), "h")
-    if not index.filter("chained").isEmpty():
-        # Keys with several texts: the bytes decide. Such keys are a vanishing part of 64-bit keys.
-        chained = rows.join(index.filter("chained").select("h").distinct(), "h", "left_semi")
-        groups = chained.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        groups = groups.withColumn("text_sha256", F.sha2("norm", 256))
-        found = found.unionByName(chained.join(groups, ["h", "norm"]).select("id", "h", "keep_id", "group_size", "text_sha256"))
+    keys, index = build_index(docs, id_col=id_col, text_col=text_col, hash_bits=hash_bits, **options)
+    found = _lookup(docs, keys, index, id_col, text_col, hash_bits)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16) -> DataFrame:
-    """The documents that stay, with all their columns: one row for each distinct normalised text."""
-    index = build_index(docs, id_col=id_col, text_col=text_col, capacity=capacity)
-    keep = index.select(F.col("h").alias("__h"), F.col("keep_id").alias("__keep"))
-    key = _key(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 64)
-    same = (F.col("__k") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__keep"))
-    kept = docs.withColumn("__k", key).join(keep, same, "left_semi").drop("__k")
-    if docs.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
-        return kept
-    one = w.Window.partitionBy(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, **options) -> DataFrame:
+    """The documents that stay, with all their columns: one row for each distinct normalised text, that with the largest id.
+
+    Null counts as empty; a null id loses against any other; of rows that repeat an id and its text, one stays. An empty
+    table gives an empty result.
+    """
+    keys, index = build_index(docs, id_col=id_col, text_col=text_col, hash_bits=hash_bits, **options)
+    found = _lookup(docs, keys, index, id_col, text_col, hash_bits)
+    same = (F.col("__k") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+    named = lambda df: df.select(F.col("h").alias("__h"), F.col("id").alias("__id"))
+    clash = index.filter("chained").select("h").distinct()
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id")))
+    gone = written(named(gone.join(clash, "h", "left_anti")).distinct(), "dedup-gone")
+    n_gone = gone.count()
+    twice = keys.groupBy("h", "id").count().filter("count > 1").select("h", "id")
+    # Keys with a chain, and ids that repeat within a key, need a look at the texts.
+    twice = written(named(twice.unionByName(keys.join(clash, "h", "left_semi").select("h", "id"))).distinct(), "dedup-twice")
+    n_twice = twice.count()
+    rows = docs.withColumn("__k", _key(_norm(text_col), hash_bits))
+    kept = rows.join(_checked(gone, n_gone), same, "left_anti")
+    if not n_twice:
+        return kept.drop("__k")
+    apart = kept.join(_checked(twice, n_twice), same, "left_semi").withColumn("__t", _norm(text_col))
+    one = w.Window.partitionBy("__k", "__t").orderBy(F.desc_nulls_last(f"`{id_col}`"))
+    apart = apart.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n", "__t")
+    return kept.join(_checked(twice, n_twice), same, "left_anti").unionByName(apart).drop("__k")

@@ -37,23 +37,42 @@ def expected(pairs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("bits", "capacity"), [(64, 1 << 16), (64, 2), (2, 3)])
-def test_groups(spark, bits, capacity):
-    """Two-bit keys put all texts in four chains: bytes decide there."""
-    got = exact_dedup.exact_groups(frame(spark, EDGE), hash_bits=bits, capacity=capacity)
+@pytest.mark.parametrize(("bits", "capacity", "hot"), [(64, 1024, 1000), (64, 2, 1), (2, 3, 1000), (2, 3, 2)])
+def test_groups(spark, bits, capacity, hot):
+    """Two-bit keys put all texts in four chains: bytes decide there. Frequent keys collapse before they are dealt."""
+    got = exact_dedup.exact_groups(frame(spark, EDGE), hash_bits=bits, capacity=capacity, hot_rows=hot)
     assert sorted(map(tuple, got.collect()), key=str) == expected(EDGE)
 
 
 def test_directory_doubles_until_nothing_is_overfull(spark):
-    index = exact_dedup.build_index(frame(spark, [(i, f"text {i}") for i in range(300)]), capacity=20)
+    _, index = exact_dedup.build_index(frame(spark, [(i, f"text {i}") for i in range(300)]), capacity=20)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
     assert sum(sizes) == 300 and max(sizes) <= 20 and len(sizes) > 10
     assert index.agg(F.max("depth")).first()[0] >= 4
 
 
-def test_one_row_stays(spark):
+def test_the_directory_deals_the_keys_to_owners(spark, monkeypatch):
+    """Owners have ranges of buckets, a bucket one owner. A directory that names other buckets for a key's slot breaks it up."""
+    docs = frame(spark, [(i, f"text {i % 150}") for i in range(300)])
+    _, index = exact_dedup.build_index(docs, capacity=10)
+    rows = sorted((r["bucket"], r["owner"]) for r in index.select("bucket", "owner").distinct().collect())
+    assert len({b for b, _ in rows}) == len(rows) > 10
+    assert [o for _, o in rows] == sorted(o for _, o in rows)
+    own = exact_dedup.directory
+
+    def doubled(*args):
+        slots, fine = own(*args)
+        return slots.unionByName(slots.withColumn("bucket", F.col("bucket") + 1)), fine
+
+    monkeypatch.setattr(exact_dedup, "directory", doubled)
+    _, broken = exact_dedup.build_index(docs, capacity=10)
+    assert broken.count() == 2 * index.count() == 300
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_one_row_stays(spark, bits):
     docs = frame(spark, EDGE)
-    got = exact_dedup.exact_dedup(docs)
+    got = exact_dedup.exact_dedup(docs, hash_bits=bits)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([4, 3, 6, 8, 9, None, 12], key=str)
 
