@@ -1,17 +1,25 @@
 """Benchmark decontamination: a generalised suffix automaton of the normalised items, over which training words stream.
 
 The longest match that ends at each word says whether a window of an item ends there. Items are dealt to blocks of bounded
-size; each block is one automaton, broadcast, and one pass over the documents, so the item set may grow without bound.
+size. Tasks build one automaton for each block and write them to the shared folder; each block is then one pass over the
+documents, with that one automaton broadcast, so the item set may grow and a task's memory does not.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import written
+
+BROADCAST_ROWS = 100_000
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -126,118 +134,208 @@ class Automaton:
         return [(a, b) for a, b in spans], items
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and out[-1][1] >= a:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def item_blocks(items: DataFrame, *, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """Automata of about ``block_words`` words each. Only one block's items are on the driver at a time."""
-    rows = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t IS NOT NULL")
-    n = rows.agg(F.sum(F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
+def build(items: DataFrame, *, id_col: str, text_col: str, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """(block, automaton) with one pickled automaton of about ``block_words`` words in each row, and the number of blocks."""
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    n = rows.agg(F.sum(F.size(F.split("text", NOT_WORD)))).first()[0] or 0
     blocks = max(1, -(-n // block_words))
-    for b in range(blocks):
-        here = rows.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield Automaton([(r["i"], words(r["t"])) for r in here.toLocalIterator()], window)
 
+    def automaton(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = Automaton([(i, words(t)) for i, t in zip(pdf["item"], pdf["text"], strict=True)], window)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "automaton": [pickle.dumps(made, pickle.HIGHEST_PROTOCOL)]})
+
+    block = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
+    made = rows.withColumn("block", block).groupBy("block").applyInPandas(automaton, "block int, automaton binary")
+    return written(made, "decontamination-automata"), blocks
+
+
+def _load(automata: DataFrame, block: int, window: int) -> Broadcast:
+    """One block's automaton, pickled, for the tasks of one pass; an empty one if no item is in the block."""
+    row = automata.filter(F.col("block") == block).select("automaton").first()
+    payload = bytes(row[0]) if row else pickle.dumps(Automaton([], window))
+    return automata.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, payload))
+
+
+_LOADED: dict[str, Automaton] = {}
+
+
+def _loaded(shared: Broadcast) -> Automaton:
+    """The automaton of this pass; a worker keeps one at a time."""
+    name, payload = shared.value
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = pickle.loads(payload)
+    return _LOADED[name]
+
+
+FOUND = "n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _scan_task(shared: Broadcast, all_rows: bool):
+    """Adds n_words, spans and items to all columns but the last, the text; without ``all_rows`` only for rows that are hit."""
 
-def _scan_task(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = _loaded(shared)
         for batch in batches:
             count, spans, items = [], [], []
-            old = batch.schema.names
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in old else None
-            for text in batch.column("text"):
+            for text in batch.columns[-1]:
                 ws = words(text.as_py())
-                s, it = automaton.scan(ws)
-                if before is not None:
-                    s0, i0 = next(before)
-                    s, it = _merge([(x["start"], x["stop"]) for x in s0] + s), it | set(i0)
+                found, hit = automaton.scan(ws)
                 count.append(len(ws))
-                spans.append([{"start": a, "stop": b} for a, b in s])
-                items.append(list(it))
-            kept = [n for n in old if n not in ("n_words", "spans", "items") and (keep_text or n != "text")]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            arrays = [batch.column(n) for n in kept] + [pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "spans", "items"])
+                spans.append([{"start": a, "stop": b} for a, b in found])
+                items.append(sorted(x for x in hit if x is not None))
+            arrays = [*batch.columns[:-1], pa.array(count, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
+            yield out if all_rows else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
 
     return run
 
 
-def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000, keep_text: bool = False) -> DataFrame:
-    """One row for each document: doc_id, n_words, spans (word positions hit), items (ids of items with occurring windows).
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds a 128-bit key of the text: equal texts are hit alike."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.withColumns({"__key1": F.xxhash64(text), "__key2": F.xxhash64(F.lit(1), text)})
+
+
+def _hits(keyed: DataFrame, text_col: str, automata: DataFrame, blocks: int, window: int) -> DataFrame:
+    """__key1, __key2, spans (merged), items of texts hit in any block. Each block is a pass of its own."""
+    rows = keyed.select("__key1", "__key2", F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = None
+    for block in range(blocks):
+        shared = _load(automata, block, window)
+        found = written(rows.mapInArrow(_scan_task(shared, False), "__key1 long, __key2 long, " + FOUND), "decontamination-hits")
+        shared.destroy()
+        parts = found if parts is None else parts.unionByName(found)
+    once = parts.dropDuplicates(["__key1", "__key2", "spans", "items"])
+    spans = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.array().cast("array<struct<start: int, stop: int>>"),
+        lambda a, x: F.when(
+            (F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= x["start"]),
+            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop")))),
+        ).otherwise(F.concat(a, F.array(x))),
+    )
+    merged = once.groupBy("__key1", "__key2").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return written(merged, "decontamination-merged")
+
+
+def _with_hits(keyed: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
+    hits = F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits
+    return keyed.join(hits, ["__key1", "__key2"], "left").drop("__key1", "__key2")
+
+
+def matches(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000
+) -> DataFrame:
+    """One row for each document: doc_id, n_words, spans (word positions hit), items (ids, as strings, of items with occurring windows).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null texts
-    have no words. Repeated rows and null ids stay; empty tables give no rows or no hits; other columns are ignored.
+    have no words. Repeated rows and null ids stay; empty tables give no rows or no hits; other columns are ignored. Items
+    of a null id are searched for too, and not listed.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)]
-    for k, shared in enumerate(automata):
-        text = keep_text or k + 1 < len(automata)
-        kind = "doc_id long, " + ("text string, " if text else "") + "n_words long, spans array<struct<start: int, stop: int>>, items array<long>"
-        out = out.mapInArrow(_scan_task(shared, text), kind)
-    return out
+    automata, blocks = build(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if blocks == 1:
+        return rows.mapInArrow(_scan_task(_load(automata, 0, window), True), "doc_id long, " + FOUND)
+    keyed = _keyed(rows, "text")
+    hits = _hits(keyed, "text", automata, blocks, window)
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), NOT_WORD), lambda x: x != "")).cast("long")
+    found = _with_hits(keyed.withColumn("n_words", n_words).drop("text"), hits, hits.count())
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    return found.select("doc_id", "n_words", none("spans", "array<struct<start: int, stop: int>>"), none("items", "array<string>"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The counts and item digest of ``matches``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    listed = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def _cut(text: str, automata: list[Automaton], max_coverage: float) -> str | None:
-    """The text without its hit spans; None if more than ``max_coverage`` of its words were hit. Cutting goes on until nothing is hit."""
-    first = None
-    while True:
-        raw = text.encode()
-        ws = words(text)
-        spans = _merge([s for a in automata for s in a.scan(ws)[0]])
-        if not spans:
-            return text
-        hit = sum(b - a for a, b in spans)
-        first = hit / len(ws) if first is None else first
-        if first > max_coverage or hit == len(ws):
-            return None
-        flat, at, ends = raw.translate(_WORD_BYTES), 0, []
-        for w in ws:
-            at = flat.index(w, at)
-            ends.append((at, at := at + len(w)))
-        keep, done = [], 0
-        for a, b in spans:
-            keep.append(raw[done : ends[a][0]])
-            done = ends[b - 1][1]
-        keep.append(raw[done:])
-        text = b"".join(keep).decode()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = None, item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
-    """The documents without benchmark spans; those with more than ``max_coverage`` of their words in spans go. Clean rows stay as they are, null texts too.
-
-    ``length_col`` names a column with the text's length in code points, which follows where a text was cut.
+def cut(text: str, ws: list[bytes], spans: list[tuple[int, int]]) -> str:
+    """The text without the characters from the first to the last word of each span."""
+    raw = text.encode()
+    flat, at, ends = raw.translate(_WORD_BYTES), 0, []
+    for w in ws:
+        at = flat.index(w, at)
+        ends.append((at, at := at + len(w)))
+    keep, done = [], 0
+    for a, b in spans:
+        keep.append(raw[done : ends[a][0]])
+        done = ends[b - 1][1]
+    keep.append(raw[done:])
+    return b"".join(keep).decode()
+
+
+def _clean(text: str, spans: list[tuple[int, int]], max_coverage: float) -> str | None:
+    """The text without the spans; None if they cover more than ``max_coverage`` of its words, or all."""
+    ws = words(text)
+    hit = sum(b - a for a, b in spans)
+    return None if hit > max_coverage * len(ws) or hit == len(ws) else cut(text, ws, spans)
+
+
+def _replaced(batch: pa.RecordBatch, text_col: str, length_col: str | None, new: list[str | None]) -> pa.RecordBatch:
+    """The batch with new texts, and lengths where texts changed; rows whose text was given up (null only now) go."""
+    at = batch.schema.get_field_index(text_col)
+    old = batch.column(at).to_pylist()
+    columns = list(batch.columns)
+    columns[at] = pa.array(new, batch.schema.field(at).type)
+    if length_col is not None:
+        k = batch.schema.get_field_index(length_col)
+        lengths = [n if a == b or b is None else len(b) for n, a, b in zip(columns[k].to_pylist(), old, new, strict=True)]
+        columns[k] = pa.array(lengths, batch.schema.field(k).type)
+    stay = pa.array([b is not None or a is None for a, b in zip(old, new, strict=True)], pa.bool_())
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(stay)
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", length_col: str | None = None, item_id: str = "item_id", item_text: str = "text", window: int = 10,
+    max_coverage: float = 0.5, block_words: int = 200_000,
+) -> DataFrame:
+    """The documents without benchmark spans; those with more than ``max_coverage`` of their words in spans, or all, go.
+
+    Cutting goes on until nothing is hit; the limit holds for the first cut, and a text never ends without words that way.
+    Clean rows stay as they are, null and empty texts too; repeated rows are treated alike; empty tables give no rows or
+    change nothing. ``length_col`` names a column with the text's length in code points, which follows where a text was cut.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)]
+    automata, blocks = build(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)
+    if blocks == 1:
+        shared = _load(automata, 0, window)
+
+        def until_clean(text: str | None) -> str | None:
+            limit = max_coverage
+            while text is not None and (spans := _loaded(shared).scan(words(text))[0]):
+                text, limit = _clean(text, spans, limit), 1.0
+            return text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [a.value for a in automata]
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = [None if t is None else (t, _cut(t, built, max_coverage)) for t in batch.column(at).to_pylist()]
-            stay = pa.array([t is None or t[1] is not None for t in texts])
-            fresh = pa.array([None if t is None else t[1] for t in texts], batch.schema.field(at).type)
-            columns = [fresh if i == at else c for i, c in enumerate(batch.columns)]
-            if length_col is not None:
-                k = batch.schema.get_field_index(length_col)
-                lengths = [n if t is None or t[0] == t[1] or t[1] is None else len(t[1]) for n, t in zip(columns[k].to_pylist(), texts, strict=True)]
-                columns[k] = pa.array(lengths, batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(stay)
-
-    return docs.mapInArrow(run, docs.schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield _replaced(batch, text_col, length_col, [until_clean(t) for t in texts])
+
+        return docs.mapInArrow(run, docs.schema)
+
+    def one_cut(limit: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *columns, spans = batch.columns
+                own = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+                texts = own.column(own.schema.get_field_index(text_col)).to_pylist()
+                found = [[(x["start"], x["stop"]) for x in s or ()] for s in spans.to_pylist()]
+                yield _replaced(own, text_col, length_col, [_clean(t, s, limit) if s else t for t, s in zip(texts, found, strict=True)])
+
+        return run
+
+    left, limit = docs, max_coverage
+    while True:  # a cut may join the words of a window, so what was cut is searched again
+        keyed = _keyed(left, text_col)
+        hits = _hits(keyed, text_col, automata, blocks, window)
+        n_hits = hits.count()
+        if not n_hits:
+            return left
+        found = _with_hits(keyed, hits.select("__key1", "__key2", F.col("spans").alias("__spans")), n_hits)
+        left, limit = written(found.mapInArrow(one_cut(limit), docs.schema), "decontamination-cut"), 1.0

@@ -251,15 +251,39 @@ def test_decontamination(spark):
         got = decontaminate.digest(decontaminate.matches(docs, benchmark, block_words=block_words)).collect()
         assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == [(1, 6, 0, 0), (2, 33, 15, 1), (3, 15, 15, 1), (4, 0, 0, 0), (5, 0, 0, 0), (5, 3, 2, 1)]
         assert {r["items_sha256"] for r in got if r["doc_id"] == 2} == {hashlib.sha256(b"1").hexdigest()}
-    left = decontaminate.decontaminate(docs, benchmark, length_col="n_chars")
-    assert left.columns == docs.columns
-    text = {(r["doc_id"], r["text"]): r["n_chars"] for r in left.collect()}
-    cut = "before  after and some more words that stay as they are, so most of it is clean enough"
-    assert text == {(1, clean): len(clean), (2, cut): len(cut), (4, None): 0, (5, ""): 0}
+        left = decontaminate.decontaminate(docs, benchmark, length_col="n_chars", block_words=block_words)
+        assert left.columns == docs.columns
+        text = {(r["doc_id"], r["text"]): r["n_chars"] for r in left.collect()}
+        cut = "before  after and some more words that stay as they are, so most of it is clean enough"
+        assert text == {(1, clean): len(clean), (2, cut): len(cut), (4, None): 0, (5, ""): 0}
     assert decontaminate.matches(docs, benchmark.limit(0)).filter("size(items) > 0").count() == 0
     assert decontaminate.matches(docs.limit(0), benchmark).count() == 0
 
 
+def test_blocks_of_items_change_nothing(spark):
+    """String ids, a long text, repeated rows: one automaton or many give the same rows, and those of brute force."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
+    items = [(f"item-{k}", text(rnd.choice([2, 9, 10, 14, 30]))) for k in range(12)] + [("item-0", text(11)), (None, text(12))]
+    docs = [(i, text(rnd.randrange(0, 40)) + " " + rnd.choice(items)[1] + " " + text(60)) for i in range(40)]
+    docs += [docs[3], docs[3], (99, text(3000)), (None, items[4][1])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    coded = [(k, t.encode().split()) for k, t in items]
+    want = []
+    for i, t in docs:
+        hit, found = brute_hits(t.encode().split(), coded)
+        listed = ",".join(sorted(k for k in found if k is not None))
+        want.append((i, len(t.split()), len(hit), len(found - {None}), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
+    cleaned = []
+    for block_words in (200_000, 40):
+        got = decontaminate.digest(decontaminate.matches(*frames, block_words=block_words)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        left = decontaminate.decontaminate(*frames, block_words=block_words, max_coverage=0.8).collect()
+        cleaned.append(sorted(map(tuple, left), key=str))
+        assert not any(brute_hits(r["text"].encode().split(), coded)[0] for r in left)
+    assert cleaned[0] == cleaned[1]
+
+
 def test_encoder_gives_the_ids_of_the_tokenizer(spark, sf):
     from tokenizers import Tokenizer
 
