@@ -406,13 +406,14 @@ def _members_texts(rows: DataFrame, blocks: DataFrame, n_blocked: int) -> DataFr
 
 def _grouped(docs: DataFrame, **options) -> DataFrame:
     members, links = classes(docs, **options)
-    # The edges of all tiles; a class in no tile with a link is alone.
+    # The edges of all tiles; a class in no tile with a link is alone. An empty set is its own class and component.
     roots = components(links.select(F.col("row").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("rep"), "root")
     partners = links.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"))
-    whole = members.join(roots, "rep", "left").join(partners, "rep", "left")
-    n_links = F.coalesce("links", F.lit(0)) + F.col("docs") - 1
-    # An empty set is its own class and component: rep is its own row.
-    return whole.select("doc_id", "text_key", "n", F.coalesce("root", "rep").alias("root"), F.when(F.col("n") > 0, n_links).otherwise(0).alias("n_links"))
+    placed = members.filter("row = rep").select("rep", "n", "docs").join(roots, "rep", "left").join(partners, "rep", "left")
+    n_links = F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("docs") - 1).otherwise(0)
+    # Written, so that the members of a hot class can be split over tasks.
+    placed = written(placed.select("rep", F.coalesce("root", "rep").alias("root"), n_links.alias("n_links")), "ngram-placed")
+    return members.join(placed, "rep").select("doc_id", "text_key", "n", "root", "n_links")
 
 
 def near_groups(docs: DataFrame, **options) -> DataFrame:
