@@ -24,6 +24,7 @@ from quillmesh.llm.common import fold, written
 END = b"\n"  # stands for the end token; no word holds white space
 SPACE = "▁"
 NONE = -1e300
+PLAIN = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,25 +78,31 @@ class Lattice:
             out.append(here)
         return out
 
-    def log_prob(self, s: str) -> float:
-        """Log of the sum over all segmentations."""
+    def forward(self, arcs: list[list[tuple[int, tuple[int, ...]]]]) -> list[float]:
+        """Log of the sum over all segmentations of each prefix."""
         logp, exp, log1p = self.logp, math.exp, math.log1p
-        a = [NONE] * (len(s) + 1)
+        a = [NONE] * (len(arcs) + 1)
         a[0] = 0.0
-        for i, here in enumerate(self.arcs(s)):
+        for i, here in enumerate(arcs):
             ai = a[i]
             for j, ks in here:
                 x = ai + (logp[ks[0]] if len(ks) == 1 else sum(logp[k] for k in ks))
                 y = a[j]
                 a[j] = x if y == NONE else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
-        return a[-1]
+        return a
+
+    def log_prob(self, s: str) -> float:
+        """Log of the sum over all segmentations."""
+        return self.forward(self.arcs(s))[-1]
 
     def expect(self, s: str, n: float, into: list[float]) -> None:
-        """Adds the expected uses of each piece in ``n`` words ``s``. Words of over 64 characters are taken in parts, here only."""
-        if len(s) > 64:
-            for i in range(0, len(s), 64):
-                self.expect(s[i : i + 64], n, into)
-            return
+        """Adds the expected uses of each piece in ``n`` words ``s``, whatever their length.
+
+        Sums of short words fit into plain numbers, which is faster; those of longer words are kept as logs. Both are exact.
+        """
+        (self._expect_short if len(s) <= PLAIN else self._expect_long)(s, n, into)
+
+    def _expect_short(self, s: str, n: float, into: list[float]) -> None:
         p, arcs, size = self.p, self.arcs(s), len(s)
         a, b, weights = [1.0] + [0.0] * size, [0.0] * size + [1.0], []
         for i, here in enumerate(arcs):
@@ -116,6 +123,19 @@ class Lattice:
                     into[k] += left * x
             b[i] = bi
 
+    def _expect_long(self, s: str, n: float, into: list[float]) -> None:
+        arcs = self.arcs(s)
+        a, logp = self.forward(arcs), self.logp
+        b = [NONE] * len(s) + [0.0]
+        for i in range(len(s) - 1, -1, -1):
+            xs = [sum(logp[k] for k in ks) + b[j] for j, ks in arcs[i]]
+            top = max(xs)
+            b[i] = top + math.log(math.fsum(math.exp(x - top) for x in xs))
+            for x, (_, ks) in zip(xs, arcs[i], strict=True):
+                share = n * math.exp(a[i] + x - a[-1])
+                for k in ks:
+                    into[k] += share
+
 
 def _count_task():
     schema = pa.schema([("word", pa.binary()), ("n_train", pa.int64()), ("n_other", pa.int64())])

@@ -39,6 +39,57 @@ def test_forward_recursion_sums_all_segmentations():
         assert math.isclose(uses[k], sum(p for p, x in ways if name in x) / total, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 5, 63, 64, 65, 200, 5000])
+def test_expected_uses_of_words_of_any_length(n):
+    """The uses of all pieces spell the word, and short and long words are counted by one rule."""
+    pieces = {"▁": math.log(0.1), "a": math.log(0.05), "ab": math.log(0.1), "b": math.log(0.07), "bab": math.log(0.02), "é": math.log(0.001)}
+    lattice = lm_score.Lattice(pieces, [math.log(1e-4)] * 256)
+    s = ("▁" + "abé漢" * n)[:n]
+    uses = [0.0] * len(lattice.logp)
+    lattice.expect(s, 3.0, uses)
+    spelt = sum(u * len(p.encode()) for u, p in zip(uses, lattice.names, strict=False)) + sum(uses[lattice.bytes_at :])
+    assert math.isclose(spelt, 3 * len(s.encode()), rel_tol=1e-9)
+    if n <= 64:
+        logs = [0.0] * len(lattice.logp)
+        lattice._expect_long(s, 3.0, logs)
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-15) for x, y in zip(uses, logs, strict=True))
+
+
+def test_whole_score_against_brute_force(spark):
+    """Counts, one round of expectation maximisation and the forward recursion, all written out over every segmentation."""
+    texts = ["Ab ab a", "ba b", "", None, "ab ba ab", "b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pieces, by_byte = lm_score.load_pieces(PIECES)
+
+    def ways(w):
+        if not w:
+            return [[]]
+        return [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in pieces for rest in ways(w[k:])]
+
+    split = lambda t: (t or "").lower().split()
+    train = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts)))
+    uses = Counter()
+    for w, c in train.items():
+        found = [(math.exp(sum(pieces[p] for p in way)), way) for way in ways("▁" + w)]
+        for p, way in found:
+            for x in way:
+                uses[x] += c * p / sum(q for q, _ in found)
+    whole = sum(uses.values()) + ends + 0.01 * (len(pieces) + 257)
+    new = {p: math.log10((uses[p] + 0.01) / whole) for p in pieces}
+    end = math.log10((ends + 0.01) / whole)
+    for r in lm_score.score(docs, PIECES).collect():
+        want = end + sum(math.log10(sum(10 ** sum(new[p] for p in way) for way in ways("▁" + w))) for w in split(texts[r["doc_id"]]))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_repeated_rows_and_clashing_columns_are_scored(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "w"), (1, "a b", 6, "w"), (3, "a " * 50_000, 7, "w")], "doc_id long, text string, row int, word string")
+    got = lm_score.score(docs, PIECES).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(1, 3), (1, 3), (3, 50_001)]
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_scores_count_words_exactly(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(900001, None), (900002, ""), (900003, "zzzqqq " * 3), (900004, "x" * 5000)], "doc_id long, text string"))
     rows = docs.collect()
