@@ -4,7 +4,7 @@ Texts are cut into sentences, each normalised to lower-case ASCII words and othe
 identifiers, and the identifier sequence of a text is matched against ordered rules. A sentence begins and ends at the end
 of a sentence or line, and may run over single newlines with their comment signs, so wrapped licences are found as well as
 statements on a line of their own. Everything happens inside a row, so there is no shuffle, and a row's work is in
-proportion to its text.
+proportion to its text: a rule is one walk over the identifiers.
 """
 
 from __future__ import annotations
@@ -14,62 +14,144 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import ascii_lower
 
-# Identifier and normalised sentence.
+# The sentences of public licences, normalised, with our identifiers. Where one sentence says what two
+# identifiers stand for, it gives both. Short forms stand beside those that the licences have in full.
+MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+MIT_RIGHTS = " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+GNU_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+GNU_FSF = "as published by the free software foundation"
+GNU_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
 SENTENCES = [
-    ("mit.release", "released under the mit license"),
     ("mit.title", "mit license"),
-    ("mit.grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit.title", "the mit license"),
+    ("mit.title", "the mit license mit"),
+    ("mit.release", "released under the mit license"),
+    ("mit.grant", MIT_GRANT),
+    ("mit.grant", MIT_GRANT + MIT_RIGHTS + " subject to the following conditions"),
+    ("mit0.grant", MIT_GRANT + MIT_RIGHTS),
     ("mit.notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit.notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
     ("mit.warranty", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit.warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc.grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd.grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc.warranty", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("apache2.title", "apache license version 2 0 january 2004"),
+    ("apache2.title", "apache license version 2 0 january 2004 http www apache org licenses"),
+    ("apache2.terms", "terms and conditions for use reproduction and distribution"),
     ("apache2.licensed", "licensed under the apache license version 2 0"),
+    ("apache2.licensed|apache2.comply", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache2.comply", "you may not use this file except in compliance with the license"),
     ("apache2.obtain", "you may obtain a copy of the license at"),
     ("apache2.warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl3.licensed", "this work is licensed under the gnu general public license version 3"),
-    ("gpl.free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl.hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl3.title", "gnu general public license version 3 29 june 2007"),
+    ("gpl2.title", "gnu general public license version 2 june 1991"),
+    ("lgpl3.title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl21.title", "gnu lesser general public license version 2 1 february 1999"),
+    ("agpl3.title", "gnu affero general public license version 3 19 november 2007"),
+    ("gnu.verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl3.free", f"this program {GNU_FREE} general public license {GNU_FSF} either version 3 of the license or at your option any later version"),
+    ("gpl2.free", f"this program {GNU_FREE} general public license {GNU_FSF} either version 2 of the license or at your option any later version"),
+    ("gpl2only.free", f"this program {GNU_FREE} general public license version 2 {GNU_FSF}"),
+    ("agpl3.free", f"this program {GNU_FREE} affero general public license {GNU_FSF} either version 3 of the license or at your option any later version"),
+    ("lgpl21.free", f"this library {GNU_FREE} lesser general public license {GNU_FSF} either version 2 1 of the license or at your option any later version"),
+    ("lgpl3.free", f"this library {GNU_FREE} lesser general public license {GNU_FSF} either version 3 of the license or at your option any later version"),
+    ("gnu.hope", f"this program {GNU_HOPE}"),
+    ("gnu.hope", f"this library {GNU_HOPE}"),
     ("gpl.received", "you should have received a copy of the gnu general public license along with this program"),
-    ("ccbync4.licensed", "licensed under cc by nc 4 0"),
-    ("ccbync4.work", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("ccby4.licensed", "licensed under cc by 4 0"),
+    ("agpl.received", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("lgpl.received", "you should have received a copy of the gnu lesser general public license along with this library"),
     ("bsd.redistribute", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd.source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd.binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd.endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd.warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed"),
-]
-#: The sentences as the licences have them, in full. A sentence that says what two identifiers stand for gives both.
-FULL = [
-    ("mit.grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mit.notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
-    ("mit.warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("apache2.licensed|apache2.comply", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("bsd.warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    # In "v. 2.0" the full stop ends the sentence.
+    ("mpl2.subject", "this source code form is subject to the terms of the mozilla public license v"),
+    ("mpl2.copy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mpl2.copy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("unlicense.domain", "this is free and unencumbered software released into the public domain"),
+    ("unlicense.anyone", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib.warranty", "this software is provided as is without any express or implied warranty"),
+    ("zlib.liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib.grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost.grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("boost.line", "distributed under the boost software license version 1 0"),
+]
+# Creative Commons licences (4.0): identifier, code, name, whether commercial use and changed works are allowed.
+CREATIVE_COMMONS = [
+    ("ccby4", "by", "attribution", True),
+    ("ccbysa4", "by sa", "attribution sharealike", True),
+    ("ccbynd4", "by nd", "attribution noderivatives", False),
+    ("ccbync4", "by nc", "attribution noncommercial", False),
+    ("ccbyncsa4", "by nc sa", "attribution noncommercial sharealike", False),
+    ("ccbyncnd4", "by nc nd", "attribution noncommercial noderivatives", False),
+]
+# Licences named by SPDX tags, and whether they allow commercial use and closed derivatives.
+TAGGED = [
+    ("MIT", True), ("MIT-0", True), ("ISC", True), ("0BSD", True), ("Apache-2.0", True), ("BSD-2-Clause", True), ("BSD-3-Clause", True), ("MPL-2.0", False), ("Unlicense", True), ("Zlib", True),
+    ("BSL-1.0", True), ("GPL-2.0-only", False), ("GPL-2.0-or-later", False), ("GPL-3.0-only", False), ("GPL-3.0-or-later", False), ("LGPL-2.1-only", False), ("LGPL-2.1-or-later", False),
+    ("LGPL-3.0-only", False), ("LGPL-3.0-or-later", False), ("AGPL-3.0-only", False), ("AGPL-3.0-or-later", False), ("CC0-1.0", True),
 ]
-# Rule, licence, whether commercial use and closed derivatives are allowed, and the sentences in order. Longer rules come first.
+# Rule, licence, whether commercial use and closed derivatives are allowed, and the sentences in order.
 RULES = [
     ("mit-text", "MIT", True, ["mit.grant", "mit.notice", "mit.warranty"]),
+    ("mit-0-text", "MIT-0", True, ["mit0.grant", "mit.warranty"]),
+    ("isc-text", "ISC", True, ["isc.grant", "isc.warranty"]),
+    ("0bsd-text", "0BSD", True, ["0bsd.grant", "isc.warranty"]),
+    ("apache-2.0-text", "Apache-2.0", True, ["apache2.title", "apache2.terms"]),
     ("apache-2.0-notice", "Apache-2.0", True, ["apache2.licensed", "apache2.comply", "apache2.obtain", "apache2.warranty"]),
-    ("gpl-3.0-notice", "GPL-3.0", False, ["gpl.free", "gpl.hope", "gpl.received"]),
+    ("gpl-3.0-text", "GPL-3.0", False, ["gpl3.title", "gnu.verbatim"]),
+    ("gpl-2.0-text", "GPL-2.0", False, ["gpl2.title", "gnu.verbatim"]),
+    ("lgpl-3.0-text", "LGPL-3.0", False, ["lgpl3.title", "gnu.verbatim"]),
+    ("lgpl-2.1-text", "LGPL-2.1", False, ["lgpl21.title", "gnu.verbatim"]),
+    ("agpl-3.0-text", "AGPL-3.0", False, ["agpl3.title", "gnu.verbatim"]),
+    ("gpl-3.0-notice", "GPL-3.0", False, ["gpl3.free", "gnu.hope", "gpl.received"]),
+    ("gpl-2.0-notice", "GPL-2.0", False, ["gpl2.free", "gnu.hope"]),
+    ("gpl-2.0-only-notice", "GPL-2.0", False, ["gpl2only.free", "gnu.hope"]),
+    ("agpl-3.0-notice", "AGPL-3.0", False, ["agpl3.free", "gnu.hope", "agpl.received"]),
+    ("lgpl-2.1-notice", "LGPL-2.1", False, ["lgpl21.free", "gnu.hope"]),
+    ("lgpl-3.0-notice", "LGPL-3.0", False, ["lgpl3.free", "gnu.hope"]),
     ("bsd-3-text", "BSD-3-Clause", True, ["bsd.redistribute", "bsd.endorse", "bsd.warranty"]),
     ("bsd-2-text", "BSD-2-Clause", True, ["bsd.redistribute", "bsd.warranty"]),
+    ("mpl-2.0-notice", "MPL-2.0", False, ["mpl2.subject", "mpl2.copy"]),
+    ("unlicense-text", "Unlicense", True, ["unlicense.domain", "unlicense.anyone"]),
+    ("zlib-text", "Zlib", True, ["zlib.warranty", "zlib.liable", "zlib.grant"]),
+    ("boost-text", "BSL-1.0", True, ["boost.grant"]),
+    ("boost-line", "BSL-1.0", True, ["boost.line"]),
     ("mit-line", "MIT", True, ["mit.release"]),
     ("apache-2.0-line", "Apache-2.0", True, ["apache2.licensed"]),
     ("gpl-3.0-line", "GPL-3.0", False, ["gpl3.licensed"]),
-    ("cc-by-nc-4.0-line", "CC-BY-NC-4.0", False, ["ccbync4.licensed"]),
-    ("cc-by-nc-4.0-work", "CC-BY-NC-4.0", False, ["ccbync4.work"]),
-    ("cc-by-4.0-line", "CC-BY-4.0", True, ["ccby4.licensed"]),
 ]
 #: A rule inside a longer rule that matched says nothing more.
 WITHIN = {"bsd-2-text": "bsd-3-text", "apache-2.0-line": "apache-2.0-notice"}
-BREAK, NOT_WORD = r"[.!?]+[ \t\r\n]", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def pattern(ids: list[str]) -> str:
-    """The rule over a sequence written as ``|a|b|c|``: its sentences in order, others may lie between."""
-    return "\\|" + "\\|(?:.*\\|)?".join(i.replace(".", "\\.") for i in ids) + "\\|"
+def known_sentences() -> list[tuple[str, str]]:
+    """All sentences: the fixed ones, those of Creative Commons, and SPDX tags."""
+    out = list(SENTENCES)
+    for key, code, name, _ in CREATIVE_COMMONS:
+        out.append((f"{key}.licensed", f"licensed under cc {code} 4 0"))
+        out += [(f"{key}.work", f"this work is licensed under {article} creative commons {name} 4 0 international license") for article in ("a", "the")]
+    return out + [(f"spdx.{tag.lower()}", "spdx license identifier " + tag.lower().replace("-", " ").replace(".", " ")) for tag, _ in TAGGED]
+
+
+def known_rules() -> list[tuple[str, str, bool, list[str]]]:
+    """All rules, longer ones first."""
+    out = list(RULES)
+    for key, code, _, free in CREATIVE_COMMONS:
+        licence = f"CC-{code.upper().replace(' ', '-')}-4.0"
+        out += [(f"{licence.lower()}-{kind}", licence, free, [f"{key}.{said}"]) for kind, said in (("line", "licensed"), ("work", "work"))]
+    return out + [(f"{tag.lower()}-tag", tag, free, [f"spdx.{tag.lower()}"]) for tag, free in TAGGED]
+
+
+BREAK, NOT_WORD = r"[.!?]+[ \t\r\n]", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES + FULL) -> Column:
-    """The identifiers of a text's known sentences, in order."""
+def sentence_ids(text: Column, sentences: list[tuple[str, str]]) -> Column:
+    """The identifiers of a text's known sentences, in order; of sentences that overlap, the first, and of these the longest."""
     # A blank line and the end of a sentence are two newlines, which no sentence runs over.
     lines = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, "\n\n"), NOT_WORD, " ")
     lines = F.trim(F.regexp_replace(lines, " ?\n ?", "\n"))
@@ -81,48 +163,33 @@ def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES + FU
     return F.flatten(found)
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES + FULL, rules=RULES) -> DataFrame:
+def in_order(ids: Column, wanted: list[str]) -> Column:
+    """Whether ``wanted`` are among the identifiers in this order; others may lie between. One walk, counting how many are met."""
+    steps = F.array(*[F.lit(x) for x in wanted])
+    met = F.aggregate(ids, F.lit(0), lambda n, x: F.when(F.get(steps, n) == x, n + 1).otherwise(n))
+    return met == len(wanted)
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=None, rules=None) -> DataFrame:
     """One row for each document: id, n_sentences (known ones, repeats counted), sentence_ids and rules (comma-joined), licences (sorted, comma-joined), n_licences, restricted.
 
     ``restricted`` is true if some licence found bars commercial use or closed derivatives, false otherwise. Null and empty
     texts have no licence: empty strings, 0, false. Repeated rows and null ids stay as they are; an empty table gives an
     empty result; other columns are ignored.
     """
+    sentences, rules = sentences or known_sentences(), rules or known_rules()
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), sentence_ids(F.col(f"`{text_col}`"), sentences).alias("ids"))
-    found = found.withColumn("seq", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")))
-    hit = {name: F.col("seq").rlike(pattern(ids)) for name, _, _, ids in rules}
-    alone = {n: hit[n] & ~hit[WITHIN[n]] if WITHIN.get(n) in hit else hit[n] for n in hit}
-    names = F.array_compact(F.array(*[F.when(alone[n], F.lit(n)) for n, *_ in rules]))
-    kinds = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(alone[n], F.lit(k)) for n, k, *_ in rules]))))
-    bars = F.array_compact(F.array(*[F.when(alone[n], F.lit(not ok)) for n, _, ok, _ in rules]))
-    found = found.select("doc_id", "ids", names.alias("rules"), kinds.alias("kinds"), bars.alias("bars"))
+    hits = F.filter(F.array(*[F.when(in_order(F.col("ids"), ids), F.lit(name)) for name, _, _, ids in rules]), lambda x: x.isNotNull())
+    # Most documents have no known sentence, and no rule to walk.
+    found = found.withColumn("hits", F.when(F.size("ids") > 0, hits).otherwise(F.array().cast("array<string>")))
+    longer = F.create_map(*[F.lit(x) for pair in WITHIN.items() for x in pair])
+    inside = lambda x: F.coalesce(F.array_contains("hits", F.try_element_at(longer, x)), F.lit(False))
+    found = found.withColumn("rules", F.filter("hits", lambda x: ~inside(x)))
+    licence = F.create_map(*[F.lit(x) for name, kind, *_ in rules for x in (name, kind)])
+    barred = [name for name, _, free, _ in rules if not free]
+    kinds = F.array_sort(F.array_distinct(F.transform("rules", lambda x: F.try_element_at(licence, x))))
+    found = found.select("doc_id", "ids", "rules", kinds.alias("kinds"), F.exists("rules", lambda x: x.isin(barred)).alias("restricted"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join("rules", ",").alias("rules"),
-        F.array_join("kinds", ",").alias("licences"), F.size("kinds").cast("long").alias("n_licences"), F.exists("bars", lambda x: x).alias("restricted"),
+        F.array_join("kinds", ",").alias("licences"), F.size("kinds").cast("long").alias("n_licences"), "restricted",
     )
-
-
-def scan_sql(sentences=SENTENCES, rules=RULES) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``, as far as each known sentence stands on one line and in its short form."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = "MAP {" + ", ".join(f"{q(s)}: {q(i)}" for i, s in sentences) + "}"
-    hits = ", ".join(f"regexp_matches(seq, {q(pattern(ids))}) AS {q(n).replace(chr(39), chr(34))}" for n, _, _, ids in rules)
-    alone = {n: f'("{n}" AND NOT "{WITHIN[n]}")' if n in WITHIN else f'"{n}"' for n, *_ in rules}
-    pick = lambda f: "[x FOR x IN [" + ", ".join(f"CASE WHEN {alone[r[0]]} THEN {f(r)} END" for r in rules) + "] IF x IS NOT NULL]"
-    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""
-WITH lines AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace({lower}, {q(BREAK)}, chr(10), 'g'), {q(NOT_WORD)}, ' ', 'g'), chr(10)) AS parts FROM documents
-), found AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda x: ({known})[trim(x)]), lambda x: x IS NOT NULL) AS ids FROM lines
-), seqs AS (SELECT doc_id, ids, '|' || coalesce(list_aggregate(ids, 'string_agg', '|'), '') || '|' AS seq FROM found
-), hits AS (SELECT doc_id, ids, {hits} FROM seqs
-), picked AS (
-  SELECT doc_id, ids, {pick(lambda r: q(r[0]))} AS rules, list_sort(list_distinct({pick(lambda r: q(r[1]))})) AS kinds,
-    {pick(lambda r: 'FALSE' if r[2] else 'TRUE')} AS bars FROM hits
-)
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
-  coalesce(list_aggregate(rules, 'string_agg', ','), '') AS rules, coalesce(list_aggregate(kinds, 'string_agg', ','), '') AS licences,
-  CAST(len(kinds) AS BIGINT) AS n_licences, coalesce(list_contains(bars, TRUE), FALSE) AS restricted
-FROM picked
-"""

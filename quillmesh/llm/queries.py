@@ -116,6 +116,61 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_sql() -> str:
+    """Sentences as runs of lines, found by joins; rules step by step, each at the first place after the last.
+
+    Only the fixed sentences and rules are shared with the operator.
+    """
+    known = ", ".join(f"('{i}', '{s}')" for i, s in licenses.known_sentences())
+    rules = [(n, kind, free, len(ids), k + 1, i) for n, kind, free, ids in licenses.known_rules() for k, i in enumerate(ids)]
+    steps = ", ".join(f"({place}, '{n}', '{kind}', {free}, {size}, {k}, '{i}')" for place, (n, kind, free, size, k, i) in enumerate(rules))
+    within = ", ".join(f"('{a}', '{b}')" for a, b in licenses.WITHIN.items())
+    return f"""
+WITH RECURSIVE known(ids, s) AS (VALUES {known}),
+steps(place, rule, licence, free, size, step, id) AS (VALUES {steps}),
+within(inner_rule, outer_rule) AS (VALUES {within}),
+d AS (
+  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?]+[ \t\r\n]', chr(10) || chr(10), 'g'), chr(10)) AS parts
+  FROM documents
+), l AS (
+  SELECT doc_id, i, array_to_string(regexp_extract_all(part, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ') AS line
+  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM d)
+), span AS (
+  SELECT doc_id, i, i AS j, line AS s FROM l WHERE line <> ''
+  UNION ALL
+  SELECT span.doc_id, span.i, l.i, s || ' ' || line FROM span JOIN l ON l.doc_id = span.doc_id AND l.i = span.j + 1
+  WHERE line <> '' AND length(s) < (SELECT max(length(s)) FROM known)
+), found AS (
+  SELECT doc_id, i, max(j) AS j, arg_max(ids, j) AS ids FROM span JOIN known USING (s) GROUP BY doc_id, i
+), after AS (
+  SELECT a.doc_id, a.i, min(b.i) AS then_i FROM found a JOIN found b ON b.doc_id = a.doc_id AND b.i > a.j GROUP BY a.doc_id, a.i
+), walk AS (
+  SELECT doc_id, min(i) AS i FROM found GROUP BY doc_id
+  UNION ALL
+  SELECT walk.doc_id, then_i FROM walk JOIN after ON after.doc_id = walk.doc_id AND after.i = walk.i
+), one AS (
+  SELECT doc_id, i, unnest(string_split(ids, '|')) AS id, generate_subscripts(string_split(ids, '|'), 1) AS k FROM walk JOIN found USING (doc_id, i)
+), seq AS (
+  SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pos FROM one
+), met AS (
+  SELECT doc_id, rule, 1 AS step, min(pos) AS pos FROM seq JOIN steps USING (id) WHERE step = 1 GROUP BY doc_id, rule
+  UNION ALL
+  SELECT met.doc_id, met.rule, met.step + 1, min(seq.pos) FROM met JOIN steps ON steps.rule = met.rule AND steps.step = met.step + 1
+    JOIN seq ON seq.doc_id = met.doc_id AND seq.id = steps.id AND seq.pos > met.pos GROUP BY met.doc_id, met.rule, met.step
+), hit AS (
+  SELECT doc_id, rule, licence, free, place FROM met JOIN steps USING (rule, step) WHERE step = size
+), kept AS (
+  SELECT * FROM hit WHERE NOT EXISTS (SELECT 1 FROM within JOIN hit h ON h.rule = outer_rule WHERE inner_rule = hit.rule AND h.doc_id = hit.doc_id)
+), said AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM seq GROUP BY doc_id
+), rule AS (
+  SELECT doc_id, string_agg(rule, ',' ORDER BY place) AS rules, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(DISTINCT licence) AS n, bool_or(NOT free) AS bars FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(said.n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences,
+  coalesce(rule.n, 0) AS n_licences, coalesce(bars, FALSE) AS restricted
+FROM d LEFT JOIN said USING (doc_id) LEFT JOIN rule USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,4 +186,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": licenses.scan_sql()}
+    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql()}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -211,6 +212,91 @@ def test_licences_in_full(spark, wrap):
     assert got == {0: ("mit-text", "MIT"), 1: ("apache-2.0-notice", "Apache-2.0"), 2: ("gpl-3.0-notice", "GPL-3.0"), 3: ("bsd-2-text", "BSD-2-Clause"), 4: ("bsd-3-text", "BSD-3-Clause"), 5: ("", ""), 6: ("", "")}
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+MORE = {
+    "ISC": ISC, "MPL-2.0": MPL, "LGPL-2.1": LGPL, "Unlicense": UNLICENSE, "Zlib": ZLIB,
+    "AGPL-3.0": GPL.replace("General Public License", "Affero General Public License").replace("the GNU General", "the GNU Affero General"),
+    "GPL-2.0": GPL.replace("version 3", "version 2"),
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "GPL-2.0-only": "// SPDX-License-Identifier: GPL-2.0-only\nint x;",
+    "Apache-2.0": "/* SPDX-License-Identifier: Apache-2.0 */",
+    "CC-BY-NC-ND-4.0": "Text. Licensed under CC BY-NC-ND 4.0. More text.",
+}
+
+
+def test_more_licences(spark):
+    rows = list(MORE.items()) + [("", MPL.replace("Mozilla", "Other")), ("", "SPDX-License-Identifier: Apache-2.0 or later"), ("", ISC.split("THE")[0])]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+    assert {rows[r["doc_id"]][0] for r in got if r["restricted"]} == {"MPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "CC-BY-NC-ND-4.0"}
+
+
+def test_licence_rules_against_sql(spark, tmp_path):
+    """The operator and the joins of the SQL over all licence texts, wrapped and in comments, whole, cut and mixed."""
+    import duckdb
+    from quillmesh.llm import queries
+
+    rnd = random.Random(5)
+    texts = [MIT, APACHE, GPL, BSD2.replace("@", ""), BSD3, *MORE.values()]
+    rows = [(i, t) for i, t in enumerate(texts + ["\n".join(f" * {x}" for x in t.split("\n")) for t in texts] + [" ".join(t.split()) for t in texts])]
+    for k in range(60):
+        lines = [x for t in rnd.sample(texts, 3) for x in t.split("\n")]
+        rows.append((1000 + k, "\n".join(x for x in lines if rnd.random() < 0.97)))
+    rows += [(2000, None), (2001, ""), (2002, "MIT License\nMIT License\nThe MIT License")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    names = ["doc_id", "n_sentences", "sentence_ids", "rules", "licences", "n_licences", "restricted"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.op10_sql()})").fetchall()
+    got = [tuple(r) for r in licenses.scan(docs).select(*names).collect()]
+    assert sorted(got) == sorted(want) and sum(bool(r[3]) for r in got) > 60
+
+
+def test_licence_walk_is_linear(spark):
+    """Thousands of repeats of a rule without its last sentence; null ids."""
+    part = "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n"
+    docs = spark.createDataFrame([(1, part * 3000), (None, part * 10)], "doc_id long, text string")
+    licenses.scan(docs.limit(0)).collect()
+    start = time.perf_counter()
+    got = {r["doc_id"]: (r["n_sentences"], r["rules"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: (9000, "apache-2.0-line"), None: (30, "apache-2.0-line")}
+    assert time.perf_counter() - start < 20
+
+
 def windows(item, size=10):
     return {tuple(item[i : i + min(size, len(item))]) for i in range(max(1, len(item) - size + 1))} if item else set()
 
