@@ -72,6 +72,51 @@ def test_articles_and_copies_keep_their_text(spark):
     assert all(got[i].endswith("\nrare") for i in range(6)) and not any("often" in got[i] for i in range(80, 100))
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='header-fixed'><article><p>x</p></article></div>", "x"), ("<div class='related-work'><p>r</p></div><p>body of it</p>", "r\nbody of it"), ("<div class='related-posts'><p>r</p></div><p>body of it</p>", "body of it"),
+    ("<div class='social-history'>s</div><p>body</p>", "s\nbody"), ("<div class='comments-policy'>s</div><p>body</p>", "s\nbody"), ("<div class='td-social-share'>s</div><p>body</p>", "body"), ("<div id='siteFooter'>s</div><p>body</p>", "body"),
+    ("<h1>Title</h1><article><p>x</p></article>", "Title\nx"), ("<h1>Site</h1><article><h1>Title</h1><p>x</p></article>", "Title\nx"), ("<header><h1>Site</h1></header><article><p>x</p></article>", "x"),
+    ("<h1>Site</h1><p>about</p><article><p>x</p></article>", "x"), ("<article><ul><li>a<li>b</ul><ol><li><ul><li>c</ul><li>d</ol></article>", "a\nb\nc\nd"),
+])
+def test_names_and_titles(html, text):
+    assert main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 50_000 + "text" + "</div>" * 50_000, "<b>" + "<div>" * 50_000 + "</b>" * 50_000 + "<li>" * 50_000 + "text", "<span>" * 50_000 + "text" + "</p>" * 50_000, "<div class='widget'>" * 20_000 + "<p>text" + "</div>" * 20_000,
+    "<p>" + "<ul><li>" * 20_000 + "text", "<table><tr><td>" * 20_000 + "text",
+])
+def test_deep_nesting_costs_no_more_than_its_length(html):
+    start = time.perf_counter()
+    assert main_text(html) == "text"
+    assert time.perf_counter() - start < 8
+
+
+def test_long_pages_ties_and_clashing_columns(spark):
+    long = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(1, "https://a.example/", long, "c", 3), (1, "https://a.example/", long, "c", 3), (None, None, "<p>x", "c", 3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, blocks int")).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 1_999_999), ("1", 1_999_999), ("None", 1)]
+
+
+def test_template_counts_against_brute_force(spark):
+    """Random pages of known boxes around a story: a box goes where it stands on enough different stories of its host."""
+    rnd = random.Random(4)
+    boxes = [f"<div class=b{k}>Box number {k}</div>" for k in range(8)]
+    rows, parts = [], []
+    for i in range(240):
+        host, story = rnd.choice("ab"), rnd.randrange(60)
+        have = [k for k in range(8) if rnd.random() < (0.02, 0.04, 0.06, 0.1, 0.15, 0.3, 0.6, 0.9)[k]]
+        parts.append((host, story, have))
+        rows.append((i, f"https://{host}.example/{i}", "".join(boxes[k] for k in have) + f"<p>Story {story} " + "of this host and what it says " * 12 + "</p>"))
+    mains = lambda h: {(s, *have) for x, s, have in parts if x == h}
+    gone = {(h, k) for h in "ab" for k in range(8) if (n := sum(k in m[1:] for m in mains(h))) >= 5 and n >= 0.1 * len(mains(h))}
+    want = {i: [f"Box number {k}" for k in have if (h, k) not in gone] + [f"Story {s} " + ("of this host and what it says " * 12).strip()] for i, (h, s, have) in enumerate(parts)}
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"].split("\n") for r in got} == want
+    assert 4 < len(gone) < 14
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.extract(none).count() == 0
