@@ -21,7 +21,7 @@ from pyspark.sql import window as w
 from quillmesh.llm.common import ascii_lower, written
 
 BROADCAST_ROWS = 1 << 21
-OWNER_BYTES = 64 << 20
+OWNER_BYTES, MOST_BYTES, MANY_TASKS = 8 << 20, 256 << 20, 20_000  # text of a task: small while tasks are few
 
 
 def _norm(text_col: str) -> Column:
@@ -81,7 +81,7 @@ def build_index(
     hot = counts.filter(F.col("rows") > hot_rows).select("h")
     n_hot = hot.count()
     total = keys.agg(F.sum("size")).first()[0] or 0
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // OWNER_BYTES))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, min(-(-total // OWNER_BYTES), MANY_TASKS), -(-total // MOST_BYTES))
 
     rows = docs.select(norm.alias("norm"), F.col(f"`{id_col}`").alias("keep_id")).withColumn("h", _key(F.col("norm"), hash_bits))
     entries = rows.withColumn("group_size", F.lit(1).cast("long"))
