@@ -59,3 +59,16 @@ def strategy_mu(strategy: Column) -> Column:
     """Proximal weight of a strategy name: the number after the last underscore, 0.01 without one, 0 for others."""
     tail = F.element_at(F.split(strategy, "_"), -1).try_cast("double")
     return F.when(strategy.startswith("fedprox"), F.coalesce(tail, F.lit(0.01))).otherwise(0.0)
+
+
+def mu_of(strategy: str) -> float:
+    """``strategy_mu`` of one name, on the driver."""
+    try:
+        return float(strategy.rsplit("_", 1)[-1]) if strategy.startswith("fedprox") else 0.0
+    except ValueError:
+        return 0.01
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.element_at(F.split(path, "/"), -1)

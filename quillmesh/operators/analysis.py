@@ -22,10 +22,36 @@ def differences(runs: DataFrame) -> DataFrame:
     return a.join(b, F.col("run_a") < F.col("run_b")).select("run_a", "run_b", ((F.col("accuracy_a") - F.col("accuracy_b")) * 100).alias("diff_pp"), (F.col("minutes_a") - F.col("minutes_b")).alias("diff_minutes"))
 
 
+# 97.5 % quantiles of the t distribution for 1 to 30 degrees of freedom; beyond them that of the normal one.
+T_QUANTILES = [
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052,
+    2.048, 2.045, 2.042,
+]
+
+
 def over_seeds(runs: DataFrame, value: str = "accuracy") -> DataFrame:
-    """run, n, mean, std, ci95: half width of the 95 % interval for three seeds (t quantile 4.303 of two degrees of freedom)."""
+    """run, n, mean, std, ci95: half width of the 95 % interval of the mean; null for a single seed."""
     out = runs.groupBy("run").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return out.withColumn("ci95", F.lit(4.303) * F.col("std") / F.sqrt(F.col("n").cast("double")))
+    t = F.when(F.col("n") > 1, F.coalesce(F.get(F.array(*map(F.lit, T_QUANTILES)), F.col("n").cast("int") - 2), F.lit(1.960)))
+    return out.withColumn("ci95", t * F.col("std") / F.sqrt(F.col("n").cast("double")))
+
+
+def final(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, round, accuracy, minutes) -> keys, accuracy and minutes of the last round: the points of time against accuracy."""
+    last = runs.groupBy(*keys).agg(F.max_by(F.struct("accuracy", "minutes"), "round").alias("x"))
+    return last.select(*keys, "x.accuracy", "x.minutes")
+
+
+def side_by_side(finals: DataFrame, key: str, column: str, values: list) -> DataFrame:
+    """(key, column, accuracy) -> key and a column of accuracies for each of ``values``: two nodes beside three, or node beside node."""
+    return finals.groupBy(key).agg(*[F.avg(F.when(F.col(column) == v, F.col("accuracy"))).alias(f"{column}_{v}") for v in values])
+
+
+def findings(finals: DataFrame, named: list[tuple[str, str, str, str]]) -> DataFrame:
+    """finding, value of each (name, run, other run, measure): accuracy differences in percentage points, minutes as they are. One pass, no join."""
+    of = lambda run, m: F.max(F.when(F.col("run") == run, F.col(m)))
+    deltas = [F.struct(F.lit(name).alias("finding"), ((of(a, m) - of(b, m)) * (100 if m == "accuracy" else 1)).alias("value")) for name, a, b, m in named]
+    return finals.agg(F.array(*deltas).alias("d")).select(F.inline("d"))
 
 
 def friedman(runs: DataFrame) -> DataFrame:

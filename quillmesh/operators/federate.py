@@ -1,20 +1,23 @@
 """Local models, the round loop and the non-federated baselines.
 
-Centroid models are relational from end to end. The iterative model is softmax regression: executors play the clients (one
-group of samples for each node), weights come back as rows and are averaged by SQL aggregates.
+Centroid models are relational from end to end. Iterative models train by steps: partial gradients of Arrow batches, summed by
+an aggregate for each node, so that no task ever holds a node's samples. A user brings a ``LocalModel``, a ``Strategy`` with
+its own ``aggregate``, a configuration for each round and a metric callback.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators import metrics
+from quillmesh.functions.expr import mu_of
+from quillmesh.operators import metrics, weights
 
 
 def pixels(samples: DataFrame, *keys: str) -> DataFrame:
@@ -52,21 +55,65 @@ def predict(samples: DataFrame, models: DataFrame) -> DataFrame:
     return samples.crossJoin(F.broadcast(models)).withColumn("pred", F.array_min(far)["label"]).drop("model")
 
 
+class LocalModel(Protocol):
+    """What a client trains. Weights are a list of arrays, one for each layer; ``x`` has a row for each sample."""
+
+    def initial(self) -> list[np.ndarray]:
+        """The weights that every client starts with."""
+
+    def gradients(self, weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Loss and gradients, summed over the samples."""
+
+    def scores(self, weights: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        """A log score for each sample and class."""
+
+
+@dataclass(frozen=True)
+class Softmax:
+    """Softmax regression: layer 0 is the matrix, layer 1 the bias."""
+
+    classes: int = 10
+    width: int = 64
+
+    def initial(self) -> list[np.ndarray]:
+        return [np.zeros((self.classes, self.width)), np.zeros(self.classes)]
+
+    def scores(self, weights: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        z = x @ weights[0].T + weights[1]
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def gradients(self, weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        log_p = self.scores(weights, x)
+        row = np.arange(len(y))
+        loss, p = -float(log_p[row, y].sum()), np.exp(log_p)
+        p[row, y] -= 1
+        return loss, [p.T @ x, p.sum(axis=0)]
+
+
 @dataclass(frozen=True)
 class Strategy:
-    """How a round aggregates: ``mu`` > 0 is proximal, ``keep_local`` names parameter layers that never leave a node."""
+    """How a round aggregates. ``mu`` > 0 is proximal; ``keep_local`` names layers that never leave a node.
+
+    Subclasses may override ``aggregate``.
+    """
 
     name: str
     mu: float = 0.0
     keep_local: tuple[int, ...] = ()
     min_clients: int = 3
 
+    def aggregate(self, local: DataFrame) -> DataFrame:
+        """(node, n, layer, w) of all clients -> (node, layer, w) that each starts the next round with."""
+        shared = weights.assemble(weights.fedavg(local)).select("layer", F.col("w").alias("given"))
+        own = F.col("layer").isin(list(self.keep_local)) if self.keep_local else F.lit(False)
+        return local.join(shared, "layer").select("node", "layer", F.when(own, F.col("w")).otherwise(F.col("given")).alias("w"))
+
 
 def strategy(name: str, min_clients: int = 3, keep_local: tuple[int, ...] = (1,)) -> Strategy:
-    """fedavg, fedbn, fedprox (0.01), fedprox_<mu> or local (nothing leaves a node); unknown names are fedavg."""
+    """fedavg, fedbn, fedprox (0.01), fedprox_<mu> or local (nothing leaves a node); unknown names are fedavg, bad weights 0.01."""
     if name.startswith("fedprox"):
-        tail = name.rsplit("_", 1)[-1]
-        return Strategy(name, mu=float(tail) if tail != name else 0.01, min_clients=min_clients)
+        return Strategy(name, mu=mu_of(name), min_clients=min_clients)
     if name == "local":
         return Strategy(name, keep_local=(0, 1), min_clients=1)
     if name == "fedbn":
@@ -74,70 +121,114 @@ def strategy(name: str, min_clients: int = 3, keep_local: tuple[int, ...] = (1,)
     return Strategy("fedavg", min_clients=min_clients)
 
 
-WEIGHTS = "node string, num_examples long, train_loss double, layer int, w array<double>"
+@dataclass(frozen=True)
+class FitConfig:
+    """What the clients are told for a round."""
+
+    epochs: int = 2
+    batches: int = 2
+    rate: float = 0.5
+
 
+Models = dict[str, list[np.ndarray]]
 
-def softmax_fit(classes: int, epochs: int, rate: float, mu: float, batch: int = 64) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Local fit of softmax regression by minibatch gradient steps in a fixed order; layer 0 is the matrix, layer 1 the bias."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["label"].to_numpy()
-        w0, b0 = np.array(pdf["w0"].iloc[0], dtype=float).reshape(classes, -1), np.array(pdf["b0"].iloc[0], dtype=float)
-        w, b, loss, seen = w0.copy(), b0.copy(), 0.0, 0
-        for _ in range(epochs):
-            for i in range(0, len(x), batch):
-                xb, yb = x[i : i + batch], y[i : i + batch]
-                z = xb @ w.T + b
-                z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                prox = mu / 2 * (((w - w0) ** 2).sum() + ((b - b0) ** 2).sum())
-                loss += len(xb) * (-np.log(np.maximum(p[np.arange(len(yb)), yb], 1e-300)).mean() + prox)
-                seen += len(xb)
-                p[np.arange(len(yb)), yb] -= 1
-                w -= rate * (p.T @ xb / len(xb) + mu * (w - w0))
-                b -= rate * (p.mean(axis=0) + mu * (b - b0))
-        node, mean = pdf["node"].iloc[0], loss / max(seen, 1)
-        return pd.DataFrame({"node": node, "num_examples": len(x), "train_loss": mean, "layer": [0, 1], "w": [w.ravel().tolist(), b.tolist()]})
+def _partials(work: Callable[[list[np.ndarray], np.ndarray, np.ndarray], tuple], models: Models) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each node of an Arrow batch: examples, the sum that ``work`` gives, and its arrays' elements one after the other."""
 
-    return fit
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for node, rows in pdf.groupby("node"):
+                total, parts = work(models[node], np.stack(rows["x"].to_numpy()), rows["label"].to_numpy())
+                yield pd.DataFrame({"node": [node], "n": [len(rows)], "total": [total], "parts": [np.concatenate([p.ravel() for p in parts])]})
 
+    return run
 
-def run_rounds(samples: DataFrame, plan: Strategy, *, written: Callable[[DataFrame], DataFrame], rounds: int = 3, classes: int = 10, width: int = 64, epochs: int = 5, rate: float = 0.5) -> DataFrame:
-    """Federated softmax regression over (node, split, label, ord, x): round, node, num_examples, train_loss, loss, accuracy.
 
-    ``written`` stores a table durably and reads it back; it cuts the lineage of each round's weights. A round with fewer
-    than ``min_clients`` nodes raises. The optimiser starts anew in every round; layers in ``keep_local`` stay with a node.
+def _summed(samples: DataFrame, work, models: Models) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Sums over all samples of each node. A row leaves a batch, as wide as the model; what comes back is a model for each node."""
+    rows = samples.select("node", "x", "label").mapInPandas(_partials(work, models), "node string, n long, total double, parts array<double>")
+    totals = rows.groupBy("node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    flat = rows.select("node", F.posexplode("parts").alias("pos", "v")).groupBy("node", "pos").agg(F.sum("v").alias("v"))
+    parts = flat.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("parts"))
+    return {r["node"]: (r["n"], r["total"], np.array(r["parts"])) for r in totals.join(parts, "node").collect()}
+
+
+def _layers(like: list[np.ndarray], flat: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum([w.size for w in like])
+    return [part.reshape(w.shape) for w, part in zip(like, np.split(flat, ends[:-1]), strict=True)]
+
+
+def fit(train: DataFrame, models: Models, model: LocalModel, config: FitConfig, mu: float) -> tuple[Models, dict[str, int], dict[str, float]]:
+    """Trains every node's model: models, examples and mean loss by node.
+
+    Each step is one Spark job over a batch of all nodes' samples, dealt by their order key, a hash in hex digits: partial gradients come
+    from Arrow batches and are summed by an aggregate, so a node may have any number of samples. The optimiser is plain
+    gradient descent and starts anew in every round; ``mu`` pulls towards the weights at the start.
+    """
+    start, now = models, models
+    seen, lost = dict.fromkeys(models, 0), dict.fromkeys(models, 0.0)
+    for _ in range(config.epochs):
+        for k in range(config.batches):
+            batch = train.filter(F.pmod(F.conv(F.substring("ord", 1, 4), 16, 10).cast("int"), F.lit(config.batches)) == k)
+            after = dict(now)
+            for node, (n, loss, flat) in _summed(batch, model.gradients, now).items():
+                far = [w - w0 for w, w0 in zip(now[node], start[node], strict=True)]
+                steps = _layers(now[node], flat)
+                after[node] = [w - config.rate * (g / n + mu * d) for w, g, d in zip(now[node], steps, far, strict=True)]
+                seen[node] += n
+                lost[node] += loss + n * mu / 2 * sum(float((d**2).sum()) for d in far)
+            now = after
+    return now, {k: v // max(config.epochs, 1) for k, v in seen.items()}, {k: lost[k] / max(seen[k], 1) for k in seen}
+
+
+def evaluate(samples: DataFrame, models: Models, model: LocalModel) -> DataFrame:
+    """node, num_examples, loss, accuracy of each node's model on its samples."""
+
+    def work(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        log_p = model.scores(weights, x)
+        return -float(log_p[np.arange(len(y)), y].sum()), [np.array([(log_p.argmax(axis=1) == y).sum()], dtype=float)]
+
+    found = _summed(samples, work, models)
+    rows = [(node, n, loss / n, float(parts[0]) / n) for node, (n, loss, parts) in sorted(found.items())]
+    return samples.sparkSession.createDataFrame(rows, "node string, num_examples long, loss double, accuracy double")
+
+
+def as_rows(spark: SparkSession, models: Models, examples: dict[str, int]) -> DataFrame:
+    """node, n, layer, w."""
+    rows = [(node, examples[node], k, w.ravel().tolist()) for node, layers in sorted(models.items()) for k, w in enumerate(layers)]
+    return spark.createDataFrame(rows, "node string, n long, layer int, w array<double>")
+
+
+def run_rounds(
+    samples: DataFrame, plan: Strategy, *, written: Callable[[DataFrame], DataFrame], model: LocalModel | None = None, rounds: int = 3,
+    fit_config: Callable[[int], FitConfig] = lambda r: FitConfig(), evaluate_metrics: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Rounds over (node, split, label, ord, x): round, node, num_examples, train_loss, loss, accuracy; or what ``evaluate_metrics`` makes of these rows.
+
+    The driver is the server: it holds one model for each node, never samples. ``written`` stores each round's results
+    durably and reads them back. ``fit_config`` is asked before every round. A start with fewer than ``min_clients`` nodes
+    raises; a node without samples in a batch keeps its weights.
     """
-    spark = samples.sparkSession
-    train = samples.filter("split = 'train'")
-    nodes = train.select("node").distinct()
-    if (n := nodes.count()) < plan.min_clients:
-        raise ValueError(f"{n} nodes of {plan.min_clients} take part")
-    zero = spark.createDataFrame([(0, [0.0] * classes * width), (1, [0.0] * classes)], "layer int, w array<double>")
-    state = nodes.crossJoin(zero)
+    spark, model = samples.sparkSession, model or Softmax()
+    samples = written(samples.select("node", "split", "label", "ord", "x"))
+    train, val = samples.filter("split = 'train'"), samples.filter("split = 'val'")
+    nodes = sorted(r["node"] for r in train.select("node").distinct().collect())
+    if len(nodes) < plan.min_clients:
+        raise ValueError(f"{len(nodes)} nodes of {plan.min_clients} take part")
+    models: Models = {node: model.initial() for node in nodes}
     out = None
     for r in range(1, rounds + 1):
-        start = state.groupBy("node").agg(F.max_by("w", F.col("layer") == 0).alias("w0"), F.max_by("w", F.col("layer") == 1).alias("b0"))
-        local = written(train.join(start, "node").groupBy("node").applyInPandas(softmax_fit(classes, epochs, rate, plan.mu), WEIGHTS))
-        flat = local.select("node", "num_examples", "layer", F.posexplode("w").alias("pos", "v"))
-        mean = flat.groupBy("layer", "pos").agg(F.try_divide(F.sum(F.col("num_examples") * F.col("v")), F.sum("num_examples")).alias("v"))
-        shared = mean.groupBy("layer").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("g"))
-        own = F.col("layer").isin(list(plan.keep_local)) if plan.keep_local else F.lit(False)
-        state = written(local.join(shared, "layer").select("node", "layer", F.when(own, F.col("w")).otherwise(F.col("g")).alias("w")))
-        model = state.groupBy("node").agg(F.max_by("w", F.col("layer") == 0).alias("w0"), F.max_by("w", F.col("layer") == 1).alias("b0"))
-        rows = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.aggregate(F.zip_with(F.slice("w0", k * width + 1, F.lit(width)), F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.get("b0", k))
-        scored = samples.filter("split = 'val'").join(model, "node").withColumn("z", rows)
-        top = F.array_max("z")
-        ce = F.log(F.aggregate(F.transform("z", lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v)) + top - F.get("z", F.col("label"))
-        val = scored.withColumn("ce", ce).withColumn("pred", F.array_position("z", top) - 1).groupBy("node").agg(
-            F.count("*").alias("num_examples"), F.avg("ce").alias("loss"), (F.count_if(F.col("pred") == F.col("label")) / F.count("*")).alias("accuracy")
-        )
-        losses = local.filter("layer = 0").select("node", "train_loss")
-        done = written(val.join(losses, "node").select(F.lit(r).alias("round"), "node", "num_examples", "train_loss", "loss", "accuracy"))
+        local, examples, losses = fit(train, models, model, fit_config(r), plan.mu)
+        given = plan.aggregate(as_rows(spark, local, examples)).collect()
+        models = {node: list(ws) for node, ws in local.items()}
+        for row in given:
+            models[row["node"]][row["layer"]] = np.array(row["w"]).reshape(local[row["node"]][row["layer"]].shape)
+        trained = spark.createDataFrame(sorted(losses.items()), "node string, train_loss double")
+        scored = evaluate(val.filter(F.col("node").isin(nodes)), models, model).join(trained, "node")
+        done = written(scored.select(F.lit(r).alias("round"), "node", "num_examples", "train_loss", "loss", "accuracy"))
         out = done if out is None else out.unionByName(done)
-    return out
+    return evaluate_metrics(out) if evaluate_metrics else out
 
 
 def summary(per_node: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from quillmesh.functions.expr import half_even, order_key
+from quillmesh.functions.expr import base_name, half_even, order_key
 
 PREFIX = 3  # hex digits: 4096 ranges of each group
 
@@ -42,34 +42,33 @@ def iid(samples: DataFrame, nodes: int = 3, seed: int = 42) -> DataFrame:
     return r.select("id", "class", node_name(bucket(F.col("pos"), F.col("size"), nodes)).alias("node"))
 
 
-def skew_bounds(samples: DataFrame, nodes: int) -> DataFrame:
-    """One row: class sizes and the counts that nodes a, b and c take of either class, never negative."""
-    c = samples.agg(F.count_if(F.col("class") == "Fire").alias("fire"), F.count_if(F.col("class") == "No_Fire").alias("nofire"))
-    c = c.withColumn("per_node", F.floor((F.col("fire") + F.col("nofire")) / nodes))
-    share = F.floor(F.col("per_node") * F.lit(0.7 if nodes == 2 else 0.8))
-    c = c.withColumn("a_fire", F.least(share, "fire")).withColumn("a_nofire", F.col("per_node") - F.col("a_fire"))
-    if nodes == 2:
-        return c.withColumns({"b_fire": F.col("fire") - F.col("a_fire"), "b_nofire": F.greatest(F.lit(0), F.col("nofire") - F.col("a_nofire"))})
-    c = c.withColumn("c_nofire", F.least(share, F.col("nofire") - F.col("a_nofire"))).withColumn("c_fire", F.col("per_node") - F.col("c_nofire"))
-    zero = F.lit(0)
-    return c.withColumns({
-        "b_fire": F.greatest(zero, F.col("fire") - F.col("a_fire") - F.col("c_fire")),
-        "b_nofire": F.greatest(zero, F.col("nofire") - F.col("a_nofire") - F.col("c_nofire")),
-    })
+def skew_limits(samples: DataFrame, nodes: int) -> DataFrame:
+    """class, first, middle: how many of a shuffled class go to the first node, and to those between it and the last."""
+    per = F.floor((F.col("fires") + F.col("others")) / nodes)
+    most = F.floor(per * F.lit(0.7 if nodes == 2 else 0.8))
+    sizes = samples.agg(F.count_if(F.col("class") == "Fire").alias("fires"), F.count_if(F.col("class") == "No_Fire").alias("others"))
+    leaning = sizes.withColumns({"per": per, "lean": F.least(most, "fires")})
+    leaning = leaning.withColumn("back", F.least(most, F.col("others") - (F.col("per") - F.col("lean"))))
+
+    def limits(name: str, size: str, first: Column, last: Column) -> Column:
+        left = F.col(size) - first
+        return F.struct(F.lit(name).alias("class"), first.alias("first"), (left if nodes == 2 else F.greatest(F.lit(0), left - last)).alias("middle"))
+
+    lean, back, per = F.col("lean"), F.col("back"), F.col("per")
+    return leaning.select(F.inline(F.array(limits("Fire", "fires", lean, per - back), limits("No_Fire", "others", per - lean, back))))
 
 
 def label_skew(samples: DataFrame, nodes: int = 3, seed: int = 42) -> DataFrame:
-    """(id, class) -> id, class, node: node a holds 70 % (of two nodes) or 80 % Fire, node c the reverse, b what remains.
+    """(id, class) -> id, class, node: the first node holds 70 % (of two nodes) or 80 % Fire, the last of three or more the reverse.
 
-    Where too few samples remain for b it gets none, so nodes are disjoint and complete for any class sizes.
+    The nodes between share what remains evenly. Where too few samples remain they get none, so nodes are disjoint and
+    complete for any class sizes.
     """
     r = ranked(samples.select("id", "class"), ["class"], order_key(f"skew:{seed}", F.col("id")), "id")
-    bounds = F.broadcast(skew_bounds(samples, nodes))  # one row
-    fire = F.col("class") == "Fire"
-    a = F.when(fire, F.col("a_fire")).otherwise(F.col("a_nofire"))
-    b = a + F.when(fire, F.col("b_fire")).otherwise(F.col("b_nofire"))
-    k = F.when(F.col("pos") < a, 0).when((F.col("pos") < b) | F.lit(nodes == 2), 1).otherwise(2)
-    return r.crossJoin(bounds).select("id", "class", node_name(k).alias("node"))
+    r = r.join(F.broadcast(skew_limits(samples, nodes)), "class")  # one row for each class
+    between = 1 + bucket(F.col("pos") - F.col("first"), F.col("middle"), max(1, nodes - 2))
+    k = F.when(F.col("pos") < F.col("first"), 0).when((F.col("pos") < F.col("first") + F.col("middle")) | F.lit(nodes == 2), between).otherwise(nodes - 1)
+    return r.select("id", "class", node_name(F.when(F.lit(nodes == 2), F.least(k, F.lit(1))).otherwise(k)).alias("node"))
 
 
 def split(parts: DataFrame, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -87,6 +86,20 @@ def statistics(splits: DataFrame) -> DataFrame:
     return out.select("dist", "node", "split", "fire", "nofire", total.alias("total"), half_even(F.col("fire") / F.greatest(total, F.lit(1)), 3).alias("fire_ratio"))
 
 
+def inventory(samples: DataFrame) -> DataFrame:
+    """class, n of both classes; an absent class has 0."""
+    sizes = samples.agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("Fire", "No_Fire")])
+    return sizes.select(F.inline(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("n")) for c in ("Fire", "No_Fire")])))
+
+
+def by_base_name(members: DataFrame, path_col: str, *keys: str) -> DataFrame:
+    """One row for each file name within ``keys``: of files of one name in different folders the path that sorts last stays."""
+    last = members.groupBy(*keys, base_name(F.col(path_col)).alias("base_name")).agg(F.max(path_col).alias(path_col))
+    return last.select(*keys, "base_name", path_col)
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
-    """Partitioned Parquet; overwriting replaces what an earlier split left, so two runs never mix."""
+    """Partitioned Parquet; overwriting replaces what an earlier split left, so two runs never mix. Where rows have a ``path``, a name is written once."""
+    if "path" in splits.columns:
+        splits = splits.join(by_base_name(splits, "path", "dist", "node", "split", "class").drop("base_name"), ["dist", "node", "split", "class", "path"], "left_semi")
     splits.write.mode("overwrite").partitionBy("dist", "node", "split", "class").parquet(path)

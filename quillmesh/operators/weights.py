@@ -43,7 +43,8 @@ def load(local: DataFrame, shared: DataFrame, bn_layers: DataFrame) -> DataFrame
     """What a node runs with after a round: the shared weights, but its own in the normalisation layers."""
     bn = F.broadcast(bn_layers.select("layer", F.lit(True).alias("is_bn")).distinct())
     kept = local.select("node", "layer", F.col("w").alias("own")).join(bn, "layer", "left").join(shared.select("layer", F.col("w").alias("given")), "layer", "left")
-    return kept.select("node", "layer", F.when(F.coalesce("is_bn", F.lit(False)), F.col("own")).otherwise(F.coalesce("given", "own")).alias("w"))
+    kind = local.schema["w"].dataType  # the averages are doubles; a node gets back what it had
+    return kept.select("node", "layer", F.when(F.coalesce("is_bn", F.lit(False)), F.col("own")).otherwise(F.coalesce(F.col("given").cast(kind), "own")).alias("w"))
 
 
 def proximal(local: DataFrame, shared: DataFrame, mu: float) -> DataFrame:

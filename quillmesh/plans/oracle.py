@@ -8,15 +8,14 @@ IID = "iid AS (SELECT id, class, 'node_' || chr(CAST(96 + ntile(3) OVER (PARTITI
 
 
 def skew(nodes: int) -> str:
-    share = "CAST(floor(per_node * 0.7::DOUBLE) AS BIGINT)" if nodes == 2 else "CAST(floor(per_node * 0.8::DOUBLE) AS BIGINT)"
+    most = f"CAST(floor(per * {0.7 if nodes == 2 else 0.8}::DOUBLE) AS BIGINT)"
+    between = "greatest(0, {})" if nodes > 2 else "{} + 1000000000"
     return f"""
-cnt AS (SELECT count(*) FILTER (WHERE class = 'Fire') AS fire, count(*) FILTER (WHERE class = 'No_Fire') AS nofire, count(*) // {nodes} AS per_node FROM img),
-t1 AS (SELECT *, least({share}, fire) AS a_fire FROM cnt), t2 AS (SELECT *, per_node - a_fire AS a_nofire FROM t1),
-t3 AS (SELECT *, least({share}, nofire - a_nofire) AS c_nofire FROM t2), t4 AS (SELECT *, per_node - c_nofire AS c_fire FROM t3),
-thr AS (SELECT *, greatest(0, fire - a_fire - c_fire) AS b_fire, greatest(0, nofire - a_nofire - c_nofire) AS b_nofire FROM t4),
+sizes AS (SELECT count(*) FILTER (WHERE class = 'Fire') AS f, count(*) FILTER (WHERE class = 'No_Fire') AS o, count(*) // {nodes} AS per FROM img),
+lean AS (SELECT *, least({most}, f) AS lean FROM sizes), back AS (SELECT *, least({most}, o - (per - lean)) AS back FROM lean),
+lim AS (SELECT 'Fire' AS class, lean AS first, {between.format('f - lean - (per - back)')} AS middle FROM back UNION ALL SELECT 'No_Fire', per - lean, {between.format('o - (per - lean) - back')} FROM back),
 rk AS (SELECT id, class, row_number() OVER (PARTITION BY class ORDER BY md5('skew:42:' || id), id) - 1 AS pos FROM img),
-skew AS (SELECT id, class, CASE WHEN pos < CASE class WHEN 'Fire' THEN a_fire ELSE a_nofire END THEN 'node_a'
-  WHEN {nodes} = 2 OR pos < CASE class WHEN 'Fire' THEN a_fire + b_fire ELSE a_nofire + b_nofire END THEN 'node_b' ELSE 'node_c' END AS node FROM rk, thr)"""
+skew AS (SELECT id, class, CASE WHEN pos < first THEN 'node_a' WHEN pos < first + middle THEN 'node_b' ELSE 'node_c' END AS node FROM rk JOIN lim USING (class))"""
 
 
 def split(source: str, name: str) -> str:
@@ -60,8 +59,8 @@ tot AS (SELECT *, coalesce(power_gpu_mw, 0) + coalesce(power_cpu_mw, 0) + coales
 FRAMES = """fe AS (SELECT date_trunc('hour', ts) AS frame, CASE event_type WHEN 'view' THEN 'color' WHEN 'click' THEN 'depth' WHEN 'error' THEN 'ir' END AS stream, ts FROM events),
 fr AS (SELECT frame, min(ts) FILTER (WHERE stream = 'color') AS color_ts, min(ts) FILTER (WHERE stream = 'depth') AS depth_ts, min(ts) FILTER (WHERE stream = 'ir') AS ir_ts, count(*) AS n_events
   FROM fe WHERE stream IS NOT NULL GROUP BY frame HAVING count(DISTINCT stream) = 3)"""
-RUNS = """runs AS (SELECT o_orderpriority AS run, o_custkey % 3 AS seed, month(o_orderdate) AS round, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS accuracy, avg(o_totalprice) / 60 AS minutes
-  FROM orders WHERE month(o_orderdate) <= 3 GROUP BY ALL)"""
+RUNS = """runs AS (SELECT o_orderpriority AS run, o_custkey % 3 AS seed, (month(o_orderdate) - 1) % 3 + 1 AS round, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS accuracy, avg(o_totalprice) / 60 AS minutes
+  FROM orders GROUP BY ALL)"""
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -70,8 +69,50 @@ def r(x: str, digits: int = 6) -> str:
 
 POWER = f"""count(*) AS num_samples, {r('count(*) * (100 / 1000.0)::DOUBLE', 2)} AS duration_s, {r('max(mw / 1000.0::DOUBLE)', 3)} AS power_max_w, {r('avg(mw / 1000.0::DOUBLE)', 3)} AS power_avg_w"""
 
+#: The watermark of the streams at their end.
+CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+def rounds(mu: float = 0.0, keep: str = "FALSE", node: str = "node", n_rounds: int = 3, epochs: int = 2, batches: int = 2, rate: float = 0.5) -> str:
+    """Softmax regression by gradient steps, written out: each step, average and score is a table. ``keep`` says which of (layer) stays local."""
+    step, out, last = 0, [], "w0"
+    ctes = [
+        PLACED,
+        f"px AS MATERIALIZED (SELECT id, {node} AS node, split, label, CAST('0x' || md5('order:' || id)[1:4] AS INT) % {batches} AS batch, i - 1 AS pos, CASE WHEN i > 64 THEN 1.0::DOUBLE ELSE x[i] END AS v, i > 64 AS layer FROM (SELECT *, unnest(generate_series(1, 65)) AS i FROM placed))",
+        "w0 AS MATERIALIZED (SELECT node, class, pos, layer, 0.0::DOUBLE AS w FROM (SELECT DISTINCT node, pos, layer FROM px WHERE split = 'train'), range(10) c(class))",
+        "clients AS MATERIALIZED (SELECT node, count(DISTINCT id) AS n FROM px WHERE split = 'train' GROUP BY node)",
+    ]
+
+    def scored(name: str, model: str, where: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT *, z - max(z) OVER (PARTITION BY id) - ln(sum(exp(z - top)) OVER (PARTITION BY id)) AS lp FROM (
+          SELECT *, max(z) OVER (PARTITION BY id) AS top FROM (SELECT px.id, px.node, px.label, m.class, sum(m.w * px.v) AS z FROM px JOIN {model} m ON m.node = px.node AND m.pos = px.pos WHERE {where} GROUP BY ALL)))"""
+
+    for k in range(1, n_rounds + 1):
+        start, losses = last, []
+        for at in range(epochs * batches):
+            step += 1
+            s, before = f"s{step}", last
+            ctes.append(scored(s, before, f"split = 'train' AND batch = {at % batches}"))
+            ctes.append(f"n{step} AS MATERIALIZED (SELECT node, count(DISTINCT id) AS n FROM {s} GROUP BY node)")
+            ctes.append(f"g{step} AS MATERIALIZED (SELECT px.node, class, pos, sum((exp(lp) - CASE WHEN class = px.label THEN 1 ELSE 0 END) * v) AS g FROM {s} JOIN px USING (id, node) GROUP BY ALL)")
+            ctes.append(f"""l{step} AS MATERIALIZED (SELECT n{step}.node, n, (SELECT sum(-lp) FROM {s} WHERE class = label AND {s}.node = n{step}.node)
+              + n * {mu / 2}::DOUBLE * (SELECT sum(pow(b.w - a.w, 2)) FROM {before} b JOIN {start} a USING (node, class, pos) WHERE b.node = n{step}.node) AS loss FROM n{step})""")
+            last = f"w{step}"
+            ctes.append(f"""{last} AS MATERIALIZED (SELECT b.node, b.class, b.pos, b.layer, CASE WHEN n IS NULL THEN b.w ELSE b.w - {rate}::DOUBLE * (g / n + {mu}::DOUBLE * (b.w - a.w)) END AS w
+              FROM {before} b JOIN {start} a USING (node, class, pos) LEFT JOIN g{step} USING (node, class, pos) LEFT JOIN n{step} ON n{step}.node = b.node)""")
+            losses.append(f"SELECT * FROM l{step}")
+        ctes.append(f"t{k} AS MATERIALIZED (SELECT node, sum(loss) / sum(n) AS train_loss FROM ({' UNION ALL '.join(losses)}) GROUP BY node)")
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT class, pos, sum(n * w) / sum(n) AS w FROM {last} JOIN clients USING (node) GROUP BY class, pos)")
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT m.node, m.class, m.pos, layer, CASE WHEN {keep} THEN m.w ELSE a{k}.w END AS w FROM {last} m JOIN a{k} USING (class, pos))")
+        last = f"r{k}"
+        ctes.append(scored(f"v{k}", last, "split = 'val'"))
+        out.append(f"""SELECT {k} AS round, node, count(*) AS num_examples, {r('any_value(train_loss)')} AS train_loss, {r('avg(-lp)')} AS loss, {r('avg(CASE WHEN best = label THEN 1.0 ELSE 0.0 END)')} AS accuracy
+          FROM (SELECT id, node, label, max(lp) FILTER (WHERE class = label) AS lp, arg_max(class, z - class * 1e-13) AS best FROM v{k} GROUP BY ALL) JOIN t{k} USING (node) GROUP BY node""")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(out)
+
+
 SQL = {
-    "q01_image_inventory": f"WITH {TOX} SELECT class, count(*) AS n FROM img GROUP BY class",
+    "q01_image_inventory": f"WITH {TOX} SELECT c.class, count(id) AS n FROM (VALUES ('Fire'), ('No_Fire')) c(class) LEFT JOIN img USING (class) GROUP BY c.class",
     "q02_iid_partition": f"WITH {IMG}, {IID} SELECT id, class, node FROM iid",
     "q03_split_stats_iid": f"""WITH {IMG}, {IID}, {split('iid', 'sp')}, c AS (SELECT node, split, count(*) FILTER (WHERE class = 'Fire') AS fire, count(*) FILTER (WHERE class = 'No_Fire') AS nofire FROM sp GROUP BY ALL)
       SELECT 'iid' AS dist, node, split, fire, nofire, fire + nofire AS total, {r('fire / greatest(fire + nofire, 1)', 3)} AS fire_ratio FROM c""",
@@ -83,13 +124,13 @@ SQL = {
     "q08_split_leak_check": f"""WITH {IMG}, {IID}, {split('iid', 'sp')} SELECT (SELECT count(*) FROM (SELECT id FROM sp WHERE split = 'train' INTERSECT SELECT id FROM sp WHERE split = 'test')) AS n_leaked,
       count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM sp""",
     "q09_weighted_accuracy": f"WITH {MET} SELECT round, {r('sum(n * accuracy) / sum(n)')} AS accuracy, {r('sum(n * loss) / sum(n)')} AS loss, sum(n) AS num_examples FROM met GROUP BY round",
-    "q10_positional_rounds": f"""WITH {MET}, g AS (SELECT round, sum(n * loss) / sum(n) AS loss FROM met WHERE round % 2 = 1 GROUP BY round HAVING count(DISTINCT node) >= 3)
+    "q10_positional_rounds": f"""WITH {MET}, g AS (SELECT round, sum(n * loss) / sum(n) AS loss FROM met GROUP BY round HAVING count(DISTINCT node) >= 3)
       SELECT round, row_number() OVER (ORDER BY round) AS position, {r('loss')} AS loss FROM g""",
     "q11_epoch_loss_partial": f"WITH {MET} SELECT node, {r('sum(n * loss) / greatest(sum(n), 1)')} AS epoch_loss FROM met GROUP BY node",
-    "q12_eval_argmax": f"""WITH e AS (SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CASE WHEN embedding[2] > embedding[1] THEN 1 ELSE 0 END AS pred FROM embeddings)
+    "q12_eval_argmax": f"""WITH e AS (SELECT label, (list_position(embedding, list_max(embedding)) - 1) % 10 AS pred FROM embeddings)
       SELECT count(*) AS num_examples, count(*) FILTER (WHERE pred = label) AS correct, {r('count(*) FILTER (WHERE pred = label) / count(*)')} AS accuracy FROM e""",
-    "q12b_cross_entropy": f"""WITH e AS (SELECT label % 2 AS y, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)
-      SELECT y, {r('avg(ln(exp(a) + exp(b)) - CASE y WHEN 0 THEN a ELSE b END)')} AS loss, count(*) AS n FROM e GROUP BY y""",
+    "q12b_cross_entropy": f"""WITH e AS (SELECT label AS y, embedding::DOUBLE[] AS z FROM embeddings)
+      SELECT y, {r('avg(ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[y + 1])')} AS loss, count(*) AS n FROM e GROUP BY y""",
     "q13_node_mean_unweighted": f"WITH {MET}, g AS (SELECT node, avg(accuracy) AS a FROM met GROUP BY node) SELECT {r('avg(a)')} AS mean_accuracy, count(*) AS n_nodes FROM g",
     "q14_fedavg_arrays": f"WITH {PAR}, {AVG} SELECT layer, pos, {r('value')} AS value FROM avgw",
     "q15_fedbn_arrays": f"""WITH {PAR} SELECT layer, pos, {r('sum(n * value) / sum(n)')} AS value FROM par WHERE layer % 2 = 0 GROUP BY layer, pos
@@ -99,8 +140,8 @@ SQL = {
     "q17b_bn_anti": f"WITH {PAR} SELECT layer, count(DISTINCT node) AS n FROM par WHERE layer % 2 = 0 GROUP BY layer",
     "q18_load_keep_local": f"WITH {PAR}, {AVG} SELECT node, layer, {r('sum(CASE WHEN layer % 2 = 1 THEN p.value ELSE a.value END)')} AS total FROM par p JOIN avgw a USING (layer, pos) GROUP BY node, layer",
     "q19_param_size": f"WITH {PAR} SELECT count(*) AS n_params, count(*) * 4 / 1e6 AS size_mb FROM par",
-    "q20_channel_widen": f"""SELECT vec_id, i - 1 AS channel, {r('CASE WHEN i <= 3 THEN embedding[i]::DOUBLE ELSE (embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3 END')} AS value
-      FROM (SELECT *, unnest(generate_series(1, 5)) AS i FROM embeddings)""",
+    "q20_channel_widen": f"""SELECT vec_id, i - 1 AS channel, {r('CASE WHEN i <= 64 THEN embedding[i]::DOUBLE ELSE list_avg(embedding::DOUBLE[]) END')} AS value
+      FROM (SELECT *, unnest(generate_series(1, 66)) AS i FROM embeddings)""",
     "q21_local_centroids": f"WITH {PLACED}, {PIX}, {LOC} SELECT node, label, pos, {r('value')} AS value, n FROM loc",
     "q22_fedavg_centroid_round": f"""WITH {PLACED}, {PIX}, {LOC}, {GLO}, {nearest('glo', 'val')} SELECT coalesce(node, 'all') AS node, count(*) AS num_examples, count(*) FILTER (WHERE pred = label) AS correct,
       {r('count(*) FILTER (WHERE pred = label) / count(*)')} AS accuracy FROM pred GROUP BY ROLLUP (node)""",
@@ -135,12 +176,14 @@ SQL = {
     "q39_findings": f"""WITH {RUNS}, f AS (SELECT run, avg(accuracy) AS a, avg(minutes) AS m FROM runs WHERE round = 3 GROUP BY run)
       SELECT x.run AS run_a, y.run AS run_b, {r('(x.a - y.a) * 100')} AS diff_pp, {r('x.m - y.m')} AS diff_minutes FROM f x JOIN f y ON x.run < y.run""",
     "q40_mean_std_over_seeds": f"""WITH {RUNS} SELECT run, count(*) AS n, {r('avg(accuracy)')} AS mean, {r('stddev_samp(accuracy)')} AS std, {r('4.303::DOUBLE * stddev_samp(accuracy) / sqrt(count(*))')} AS ci95 FROM runs WHERE round = 3 GROUP BY run""",
-    "q43_stream_tumbling": f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM events GROUP BY ALL",
+    "q43_stream_tumbling": f"""WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events)
+      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e WHERE start + INTERVAL 1 HOUR <= {CLOSED} GROUP BY start, event_type""",
     "q44_stream_sliding": f"""WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, event_type, value FROM events)
-      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY ALL""",
-    "q45_stream_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY ALL HAVING start + INTERVAL 2 HOUR <= {CLOSED}""",
+    "q45_stream_session": f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
       i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
-      SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM i GROUP BY user_id, island""",
+      SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM i GROUP BY user_id, island
+      HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""",
     "q46_stream_stateful": f"SELECT event_type, count(*) AS n, {r('avg(value)')} AS mean FROM events GROUP BY event_type",
     "q47_friedman_ranks": f"""WITH {RUNS}, k AS (SELECT run, rank() OVER (PARTITION BY seed ORDER BY accuracy DESC) AS r FROM runs WHERE round = 3), m AS (SELECT run, avg(r) AS mean_rank, count(*) AS n FROM k GROUP BY run),
       s AS (SELECT count(*) AS k, max(n) AS n, sum(mean_rank * mean_rank) AS q FROM m)
@@ -148,7 +191,7 @@ SQL = {
     "q48_cohens_d": f"""WITH {RUNS}, m AS (SELECT run, count(*) AS n, avg(accuracy) AS m, var_samp(accuracy) AS v FROM runs WHERE round = 3 GROUP BY run)
       SELECT a.run AS run_a, b.run AS run_b, {r('(a.m - b.m) / nullif(sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 0)')} AS d FROM m a JOIN m b ON a.run < b.run""",
     "q49_transfer_time": f"""WITH t AS (SELECT l_returnflag, l_extendedprice * 8 / nullif(l_quantity * 1e6 * (1 - l_discount), 0) AS s FROM lineitem) SELECT l_returnflag, {r('avg(s)')} AS mean_seconds, {r('max(s)')} AS max_seconds FROM t GROUP BY 1""",
-    "q50_modality_channels": f"""WITH e AS (SELECT 'rgb' AS modality, 3 AS c, embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE AS t FROM embeddings UNION ALL SELECT 'depth', 1, embedding[4]::DOUBLE FROM embeddings UNION ALL SELECT 'ir', 1, embedding[5]::DOUBLE FROM embeddings)
+    "q50_modality_channels": f"""WITH e AS (SELECT m.modality, list_sum(embedding[lo:hi]::DOUBLE[]) AS t, hi - lo + 1 AS c FROM embeddings, (VALUES ('rgb', 1, 48), ('depth', 49, 56), ('ir', 57, 64)) m(modality, lo, hi))
       SELECT modality, CAST(sum(c) AS BIGINT) AS channels, {r('avg(t)')} AS mean_total FROM e GROUP BY modality""",
     "q51_as_of_join": """WITH v AS (SELECT user_id, ts, max(value) AS seen FROM events WHERE event_type = 'view' GROUP BY ALL), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
       SELECT p.event_id, p.user_id, v.seen FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
@@ -157,9 +200,26 @@ SQL = {
       SELECT node, round, {r('loss - lag(loss) OVER (PARTITION BY node ORDER BY round)')} AS change, {r('avg(accuracy) OVER (PARTITION BY node ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS moving FROM g""",
     "q54_full_outer_nodes": """WITH c AS (SELECT c_nationkey AS nation, count(*) AS clients FROM customer GROUP BY 1), p AS (SELECT s_nationkey AS nation, count(*) AS servers FROM supplier GROUP BY 1)
       SELECT nation, clients, servers FROM c FULL OUTER JOIN p USING (nation)""",
-    "q46b_stream_frames": f"WITH {FRAMES} SELECT frame AS start, n_events FROM fr",
-    "q55_normalised_channels": f"""WITH e AS (SELECT vec_id, [0.485, 0.456, 0.406][label % 3 + 1]::DOUBLE AS m, [0.229, 0.224, 0.225][label % 3 + 1]::DOUBLE AS s, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings)
+    "q46b_stream_frames": f"WITH {FRAMES} SELECT frame AS start, n_events FROM fr WHERE frame + INTERVAL 1 HOUR <= {CLOSED}",
+    "q55_normalised_channels": f"""WITH e AS (SELECT vec_id, [0.485, 0.456, 0.406][label % 3 + 1]::DOUBLE AS m, [0.229, 0.224, 0.225][label % 3 + 1]::DOUBLE AS s, unnest(embedding)::DOUBLE AS v FROM embeddings)
       SELECT vec_id, {r('sum((v / 255.0::DOUBLE - m) / s)')} AS total FROM e GROUP BY vec_id""",
     "q56_results_document": f"WITH {RUNS} SELECT run, row_number() OVER (PARTITION BY run ORDER BY round) AS position, {r('avg(minutes)')} AS loss FROM runs GROUP BY run, round",
     "q57_nested_statistics": f"WITH {IMG}, {IID}, {split('iid', 'sp')} SELECT node, split, count(*) AS total FROM sp GROUP BY ALL",
+    "q41_softmax_fedavg": rounds(),
+    "q42_softmax_fedprox": rounds(mu=0.1),
+    "q42b_softmax_fedbn": rounds(keep="layer"),
+    "q41b_softmax_centralized": rounds(node="'all'"),
+    "q41c_softmax_local_only": rounds(keep="TRUE"),
+    "q58_time_and_accuracy": f"WITH {RUNS} SELECT run, seed, {r('arg_max(accuracy, round)')} AS accuracy, {r('arg_max(minutes, round)')} AS minutes FROM runs GROUP BY run, seed",
+    "q59_nodes_side_by_side": f"""WITH {RUNS}, f AS (SELECT run, seed, arg_max(accuracy, round) AS a FROM runs GROUP BY run, seed)
+      SELECT run, {r('any_value(a) FILTER (WHERE seed = 0)')} AS seed_0, {r('any_value(a) FILTER (WHERE seed = 1)')} AS seed_1, {r('any_value(a) FILTER (WHERE seed = 2)')} AS seed_2 FROM f GROUP BY run""",
+    "q60_named_findings": f"""WITH {RUNS}, f AS (SELECT run, avg(accuracy) AS a, avg(minutes) AS m FROM runs WHERE round = 3 GROUP BY run),
+      n(finding, x, y, measure) AS (VALUES ('urgent_over_high', '1-URGENT', '2-HIGH', 'a'), ('urgent_over_low', '1-URGENT', '5-LOW', 'a'), ('high_over_medium', '2-HIGH', '3-MEDIUM', 'a'),
+        ('medium_over_low', '3-MEDIUM', '5-LOW', 'a'), ('open_over_low', '4-NOT SPECIFIED', '5-LOW', 'a'), ('urgent_minutes', '1-URGENT', '5-LOW', 'm'), ('high_minutes', '2-HIGH', '5-LOW', 'm'))
+      SELECT finding, {r("CASE measure WHEN 'a' THEN (p.a - q.a) * 100 ELSE p.m - q.m END")} AS value FROM n LEFT JOIN f p ON p.run = x LEFT JOIN f q ON q.run = y""",
+    "q61_unique_names": """WITH p AS (SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) AS host, url FROM pages)
+      SELECT host, string_split(url, '/')[-1] AS base_name, max(url) AS url FROM p WHERE host <> '' GROUP BY ALL""",
+    "q62_baseline_document": f"""WITH {RUNS}, f AS (SELECT run, seed, arg_max(accuracy, round) AS a, arg_max(minutes, round) AS m FROM runs GROUP BY run, seed)
+      SELECT run AS experiment, {r('sum(m) OVER (PARTITION BY run) * 60', 1)} AS total_time_s, {r('avg(a) OVER (PARTITION BY run)')} AS mean_test_accuracy, 'node_' || chr(CAST(97 + seed AS INT)) AS node,
+        {r('a')} AS final_test_accuracy, {r('m * 60', 1)} AS node_time_s FROM f""",
 }

@@ -18,6 +18,7 @@ def build_session(app: str = "quillmesh", cores: str | None = None, shuffle_part
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("QUILLMESH_DRIVER_MEMORY", "8g"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ BATCH = f"experiment string, seed int, epochs int, total_time_s double, nodes ma
 
 def images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """path, class, label of every image under ``folder``; files of other classes or types are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}").load(folder)
     if not content:
         found = found.drop("content")
     kind = class_of_path(F.col("path"))
@@ -58,6 +62,35 @@ def baseline_results(spark: SparkSession, path: str, batch: bool = False) -> Dat
     return spark.read.schema(BATCH if batch else BASELINE).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """path, key, value of YAML files: keys of nested mappings and lists are joined by dots, values are JSON text."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        def leaves(at: str, x):
+            inner = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else None
+            if inner is None:
+                yield at, json.dumps(x, default=str)
+            for k, v in inner or ():
+                yield from leaves(f"{at}.{k}" if at else str(k), v)
+
+        for pdf in frames:
+            found = [(p, *leaf) for p, text in zip(pdf["path"], pdf["value"], strict=True) for leaf in leaves("", yaml.safe_load(text) or {})]
+            yield pd.DataFrame(found, columns=["path", "key", "value"])
+
+    return logs(spark, path).mapInPandas(rows, "path string, key string, value string")
+
+
+def save_weights(params: DataFrame, path: str, name: str) -> None:
+    """(node, layer, w) under a name; a later model of that name replaces it."""
+    params.select("node", "layer", "w").write.mode("overwrite").parquet(f"{path}/model={name}")
+
+
+def load_weights(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/model={name}").select("node", "layer", "w")
+
+
 def write_summary(df: DataFrame, path: str, kind: str = "json") -> None:
     """Results as JSON lines or CSV with a header; null fields are left out of JSON."""
     writer = df.write.mode("overwrite")

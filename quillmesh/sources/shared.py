@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quillmesh-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quillmesh"

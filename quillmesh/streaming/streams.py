@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +20,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Runs a query over all that is available now and returns what it wrote, with its ``batch``.
+def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a query over all that is available now and returns what its batches wrote, with their number.
 
-    Each micro-batch replaces its own folder, so a repeated batch leaves no double rows, and no state passes the driver. In
-    complete mode only the last batch counts: it holds the whole state.
+    In append mode a window is written once, when the watermark has passed its end, and its state goes; windows that are
+    still open stay in the state for the next run over the same checkpoint. Each micro-batch replaces its own folder, so a
+    repeated batch leaves no double rows, and no state passes the driver.
     """
     spark, base, kind = stream.sparkSession, f"{folder}/{uuid.uuid4().hex}", stream.schema
     last = [-1]
@@ -38,9 +39,8 @@ def finished(stream: DataFrame, folder: str, mode: str = "complete") -> DataFram
     if last[0] < 0:
         return spark.createDataFrame([], kind).withColumn("batch", F.lit(0))
     found = spark.read.schema(kind).option("basePath", f"{base}/out")
-    batches = [last[0]] if mode == "complete" else range(last[0] + 1)
     out = None
-    for k in batches:
+    for k in range(last[0] + 1):
         part = found.parquet(f"{base}/out/batch={k}").withColumn("batch", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out
@@ -85,6 +85,31 @@ def running_means(stream: DataFrame) -> DataFrame:
     return stream.select("event_type", "value").groupBy("event_type").transformWithStateInPandas(statefulProcessor=RoundState(), outputStructType="event_type string, n long, mean double", outputMode="Update", timeMode="None")
 
 
+class Progress(StreamingQueryListener):
+    """Keeps (query, batch, rows read) of every progress report and calls ``tell`` for each ``every`` rows or more."""
+
+    def __init__(self, every: int = 50, tell: Callable[[int], None] | None = None):
+        self.every, self.tell, self.seen, self.rows, self.told = every, tell, [], 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.seen.append((str(p.id), p.batchId, p.numInputRows))
+        self.rows += p.numInputRows
+        if self.rows - self.told >= self.every:
+            self.told = self.rows
+            if self.tell:
+                self.tell(self.rows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def rounds_by_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """One federated round for each micro-batch; ``step`` must be idempotent for a repeated batch id."""
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

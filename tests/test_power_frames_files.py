@@ -96,7 +96,7 @@ def test_images_become_tensors(spark, tmp_path):
     (x,) = [r["x"] for r in images.tensors(images.decoded(spark, str(tmp_path)), size=3).collect()]
     want = [(v - m) / s for v, m, s in zip((1.0, 0.0, 0.0), images.MEAN, images.STD, strict=True)]
     assert len(x) == 27 and all(abs(x[9 * c + i] - want[c]) < 1e-5 for c in range(3) for i in range(9))
-    once, again = (images.tensors(images.decoded(spark, str(tmp_path)), size=3, train=True).first()["x"] for _ in range(2))
+    once, again = (images.tensors(images.decoded(spark, str(tmp_path)), size=3, steps=images.TRAINING).first()["x"] for _ in range(2))
     assert once == again
 
 
@@ -117,3 +117,82 @@ def test_line_numbers_gather_no_log_in_one_row(spark, sf):
     assert got == want
     plan = catalogue.queries()["q31_power_line_numbers"](spark, sf)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_rotation_and_chain_depend_on_seed_and_path():
+    import numpy as np
+
+    from quillmesh.operators import images
+
+    a = np.random.default_rng(1).random((9, 9, 3))
+    same = [images.rotated(a, np.random.default_rng(5)) for _ in range(2)]
+    assert (same[0] == same[1]).all() and same[0].shape == a.shape
+    assert np.allclose(images.rotated(a, np.random.default_rng(5), 0.0), a)
+    assert images.jittered(a, np.random.default_rng(2)).max() <= 1.0
+    assert {float(images.flipped(a, np.random.default_rng(k))[0, 0, 0]) for k in range(20)} == {float(a[0, 0, 0]), float(a[0, -1, 0])}
+
+
+def test_written_names_are_unique_and_splits_read_back(spark, tmp_path):
+    from quillmesh.operators import partition
+
+    rows = [("iid", "node_a", "train", "Fire", f"/{d}/{n}.jpg") for d in "xy" for n in "pq"] + [("iid", "node_a", "test", "Fire", "/x/p.jpg"), ("iid", "node_b", "train", "No_Fire", "/x/p.jpg")]
+    splits = spark.createDataFrame(rows, "dist string, node string, split string, class string, path string")
+    partition.write_splits(splits, str(tmp_path / "s"))
+    partition.write_splits(splits, str(tmp_path / "s"))
+    got = files.split_members(spark, str(tmp_path / "s"), "iid", "node_a", "train").collect()
+    assert sorted(r["path"] for r in got) == ["/y/p.jpg", "/y/q.jpg"]
+    assert files.split_members(spark, str(tmp_path / "s"), "iid", "node_b", "train").count() == 1
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("rounds: 3\nstrategies:\n  - fedavg\n  - name: fedprox\n    mu: 0.1\n")
+    (tmp_path / "b.yaml").write_text("")
+    got = {r["key"]: r["value"] for r in files.settings(spark, str(tmp_path)).collect()}
+    assert got == {"rounds": "3", "strategies.0": '"fedavg"', "strategies.1.name": '"fedprox"', "strategies.1.mu": "0.1"}
+
+
+def test_named_weights(spark, tmp_path):
+    params = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [3.0])], "node string, layer int, w array<double>")
+    for p in (params.limit(1), params):
+        files.save_weights(p, str(tmp_path), "final")
+    assert sorted(map(tuple, files.load_weights(spark, str(tmp_path), "final").collect())) == [("a", 0, [1.0, 2.0]), ("a", 1, [3.0])]
+
+
+def test_baseline_results(spark, tmp_path):
+    from quillmesh.sources import export
+
+    finals = spark.createDataFrame([("central", 0, 0.12345678, 1.0), ("central", 1, 0.5, 2.0)], "run string, seed int, accuracy double, minutes double")
+    files.write_summary(export.baseline_document(finals).withColumnRenamed("mean_test_accuracy", "final_test_accuracy"), str(tmp_path / "b"))
+    (row,) = files.baseline_results(spark, str(tmp_path / "b")).collect()
+    assert (row["experiment"], row["total_time_s"], row["final_test_accuracy"], row["epochs"]) == ("central", 180.0, 0.311728, None)
+    files.write_summary(power.summary(power.parse(spark.createDataFrame([(SAMPLE,)], "value string"))), str(tmp_path / "p"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "p")).first()["num_samples"] == "1"
+
+
+def test_progress_and_rounds_by_batch(spark, tmp_path):
+    from quillmesh.streaming import streams
+
+    told, steps = [], []
+    listener = streams.Progress(every=50, tell=told.append)
+    spark.streams.addListener(listener)
+    spark.range(120).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    streams.rounds_by_batch(stream, lambda df, batch: steps.append((batch, df.count())), str(tmp_path / "cp"))
+    for _ in range(50):
+        if told:
+            break
+        import time
+
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert steps == [(0, 120)] and told == [120] and listener.seen[0][1:] == (0, 120)
+
+
+def test_power_lines_in_one_pass(spark):
+    """The first of repeated fields counts, odd units and cores are no fields, and the plan evaluates each pattern once."""
+    rows = parsed(spark, "GPU 5/6 GPU 7/8 XGPU 9/9", "RAM 1/2GB SWAP 3/4MB", "CPU [12%@1510,bad,off] cpu@1.5C", "cpu@1.2.3C", "tj@3C", "GPU 99999999999/1")
+    assert [(r["power_gpu_mw"], r["power_gpu_avg_mw"], r["ram_used_mb"], r["swap_used_mb"], r["cpu_num_active"], r["temp_cpu_c"], r["temp_tj_c"]) for r in rows] == [
+        (5, 6, None, None, None, None, None), (None, None, None, 3, None, None, None), (None, None, None, None, 1, 1.5, None), (None,) * 7, (None, None, None, None, None, None, 3.0), (None, 1, None, None, None, None, None)
+    ]
+    plan = power.summary(power.parse(spark.createDataFrame([(SAMPLE,)], "value string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2

@@ -1,7 +1,10 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import expr
-from quillmesh.operators import federate, metrics, weights
+from quillmesh.functions.expr import strategy_mu
+from quillmesh.operators import analysis, federate, metrics, partition, weights
 
 KIND = "node string, n int, layer int, w array<double>"
 
@@ -59,3 +62,68 @@ def test_expressions(spark):
 def test_rounds_need_clients(spark):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "round int, node string")
     assert [r["round"] for r in metrics.ready(m, 2).collect()] == [1]
+
+
+def _samples(spark):
+    rows = [(n, split, y, f"{i:04x}", [float(y), 1.0, float(i % 3)]) for i, (n, split, y) in enumerate([(n, s, y) for n in "ab" for s in ("train", "val") for y in (0, 1) for _ in range(6)])]
+    return spark.createDataFrame(rows, "node string, split string, label int, ord string, x array<double>")
+
+
+def test_own_model_strategy_configuration_and_metrics(spark):
+    """A user's model, aggregate, configuration for each round and metric callback take part."""
+    asked = []
+
+    class Constant:
+        def initial(self):
+            return [np.zeros(2)]
+
+        def gradients(self, w, x, y):
+            return float(len(y)), [np.array([-1.0, 0.0]) * len(y)]
+
+        def scores(self, w, x):
+            return np.repeat(w[0][None, :], len(x), axis=0)
+
+    class First(federate.Strategy):
+        def aggregate(self, local):
+            top = local.filter("node = 'a'").select("layer", F.transform("w", lambda v: v * 10).alias("w"))
+            return local.select("node", "layer").join(top, "layer").select("node", "layer", "w")
+
+    def config(r):
+        asked.append(r)
+        return federate.FitConfig(epochs=r, batches=1, rate=1.0)
+
+    out = federate.run_rounds(
+        _samples(spark), First("first", min_clients=2), written=lambda df: df.cache(), model=Constant(), rounds=2, fit_config=config,
+        evaluate_metrics=lambda per_node: per_node.groupBy("round").agg(F.max("loss").alias("loss"), F.sum("num_examples").alias("n")),
+    )
+    got = {r["round"]: (r["loss"], r["n"]) for r in out.collect()}
+    # Weights go 0 -> 1 -> 10 in the first round, 10 -> 12 -> 120 in the second; half of the labels are 1.
+    assert asked == [1, 2] and got == {1: (-5.0, 24), 2: (-60.0, 24)}
+    with pytest.raises(ValueError):
+        federate.run_rounds(_samples(spark), federate.strategy("fedavg"), written=lambda df: df, model=Constant())
+
+
+def test_strategy_names_agree_with_the_column_form(spark):
+    names = ["fedavg", "fedprox", "fedprox_0.1", "fedprox_x", "local"]
+    got = spark.createDataFrame([(n,) for n in names], "s string").select(strategy_mu(F.col("s")).alias("mu")).collect()
+    assert [r["mu"] for r in got] == [federate.strategy(n).mu for n in names] == [0.0, 0.01, 0.1, 0.01, 0.0]
+
+
+def test_loaded_weights_keep_their_type(spark):
+    local = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [2.0])], "node string, layer int, w array<float>")
+    shared = spark.createDataFrame([(0, [5.0]), (1, [6.0])], "layer int, w array<double>")
+    got = weights.load(local, shared, spark.createDataFrame([(1,)], "layer int"))
+    assert got.schema["w"].dataType == local.schema["w"].dataType and sorted(map(tuple, got.collect())) == [("a", 0, [5.0]), ("a", 1, [2.0])]
+
+
+def test_spread_of_any_number_of_seeds(spark):
+    runs = spark.createDataFrame([("one", 1.0)] + [("two", float(i)) for i in range(2)] + [("many", float(i)) for i in range(40)], "run string, accuracy double")
+    got = {r["run"]: (r["n"], r["ci95"], r["std"]) for r in analysis.over_seeds(runs).collect()}
+    assert got["one"][1] is None and abs(got["two"][1] - 12.706 * got["two"][2] / 2**0.5) < 1e-9 and abs(got["many"][1] - 1.96 * got["many"][2] / 40**0.5) < 1e-9
+
+
+def test_skew_over_more_nodes(spark):
+    samples = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "Fire").otherwise("No_Fire").alias("class"))
+    got = {(r["node"], r["class"]): r["count"] for r in partition.label_skew(samples, 5).groupBy("node", "class").count().collect()}
+    assert sum(got.values()) == 1000 and got["node_a", "Fire"] == 160 and got["node_a", "No_Fire"] == 40 and got["node_e", "No_Fire"] == 160 and got["node_e", "Fire"] == 40
+    assert all(got[n, c] == 100 for n in ("node_b", "node_c", "node_d") for c in ("Fire", "No_Fire"))
