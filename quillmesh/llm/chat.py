@@ -21,7 +21,11 @@ OPEN, CLOSE = "###", "</turn>"
 
 
 def chain(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Linear conversations as trees: each turn replies to the one before it. Equal turns are ordered by role, then text."""
+    """Linear conversations as trees: each turn replies to the one before it. Equal turns are ordered by role, then text.
+
+    Null turns come first; a null conversation is one of its own; an empty table gives an empty result; other columns are
+    ignored.
+    """
     col = lambda n: F.col(f"`{n}`")
     nodes = rows.select(col(conv_col).alias("tree_id"), col(turn_col).alias("turn"), col(role_col).alias("role"), col(text_col).alias("text"))
     order = w.Window.partitionBy("tree_id").orderBy("turn", "role", "text")
@@ -30,35 +34,57 @@ def chain(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     return nodes.select("tree_id", "node_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """tree_id, leaf, node_id, up (steps from the leaf), score (mean over the path): one row for each node of each root-to-leaf path.
+def _at(tree: str, node: str, other_tree: str, other_node: str) -> Column:
+    return F.col(tree).eqNullSafe(F.col(other_tree)) & (F.col(node) == F.col(other_node))
+
+
+def paths(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
+    """tree_id, rank, leaf, node_id, up (steps from the leaf): the nodes of the ``top_paths`` best root-to-leaf paths of each tree.
 
-    Self-joins double the reach of every node's link to an ancestor, so a tree of depth d takes log2(d) rounds, and a path
-    is rows, never one long array. A node whose parent does not exist is a root; what hangs on a cycle has no root and so
-    no path. A null tree_id is a tree of its own.
+    A path is ranked by the mean score of its nodes; ties go to the longer path, then the smaller leaf. Self-joins double the
+    reach of every node's link to an ancestor, with the sum of scores on the way, so a tree of depth d takes log2(d) rounds;
+    leaves then add up their path in log2(d) jumps, and only paths that were chosen are enumerated. A path is rows, never one
+    long array.
+
+    A node whose parent does not exist is a root; what hangs on a cycle has no root and so no path. Of a node repeated with
+    several parents the smallest counts, of several scores the largest, a null score is 0. A null tree_id is a tree of its
+    own. An empty table gives no paths.
     """
-    links = written(nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).distinct(), "chat-links")
-    ids = links.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).distinct()
-    jumps = written(
-        links.filter("parent_id IS NOT NULL").join(ids, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left_semi")
-        .select(F.col("tree_id").alias("t"), F.col("node_id").alias("below"), F.col("parent_id").alias("above")).distinct(), "chat-jumps",
-    )
-    is_ = lambda name: F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col(name))
-    parents, children = jumps.select("t", F.col("above").alias("p")).distinct(), jumps.select("t", F.col("below").alias("p")).distinct()
-    found = links.select("tree_id", "node_id").distinct().join(parents, is_("p"), "left_anti").select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("up"))
-    found = written(found, "chat-paths")
+    links = nodes.groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    links = written(links, "chat-links")
+    known = links.select(F.col("tree_id").alias("t"), F.col("node_id").alias("known"))
+    steps = links.join(known, _at("tree_id", "parent_id", "t", "known"), "left_semi")
+    steps = steps.select(F.col("tree_id").alias("t"), F.col("node_id").alias("below"), F.col("parent_id").alias("above"), F.col("score").alias("total"))
     most = links.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
-    while reach < 2 * most and not jumps.isEmpty():
-        further = found.join(jumps, is_("below")).select("tree_id", "leaf", F.col("above").alias("node_id"), (F.col("up") + reach).alias("up"))
-        found = written(found.unionByName(further), "chat-paths")
-        on = jumps.select(F.col("t").alias("t2"), F.col("below").alias("middle"), F.col("above").alias("top"))
-        jumps = written(jumps.join(on, F.col("t").eqNullSafe(F.col("t2")) & (F.col("above") == F.col("middle"))).select("t", "below", F.col("top").alias("above")), "chat-jumps")
+    jumps, reach = [written(steps, "chat-jumps")], 1
+    while 2 * reach < 2 * most:
+        on = jumps[-1].select(F.col("t").alias("t2"), F.col("below").alias("middle"), F.col("above").alias("top"), F.col("total").alias("more"))
+        further = jumps[-1].join(on, _at("t", "above", "t2", "middle")).select("t", "below", F.col("top").alias("above"), (F.col("total") + F.col("more")).alias("total"))
+        further = written(further, "chat-jumps")
+        if further.isEmpty():
+            break
+        jumps.append(further)
         reach *= 2
-    rooted = found.join(children, is_("p"), "left_anti").select(F.col("tree_id").alias("t"), F.col("leaf").alias("p")).distinct()
-    kept = found.join(rooted, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("p")), "left_semi")
-    scores = links.groupBy(F.col("tree_id").alias("t"), F.col("node_id").alias("p")).agg(F.max("score").alias("score"))
-    return written(kept.join(scores, is_("p")).select("tree_id", "leaf", "node_id", "up", "score"), "chat-paths")
+    parents = jumps[0].select("t", F.col("above").alias("p")).distinct()
+    leaves = links.join(parents, _at("tree_id", "node_id", "t", "p"), "left_anti")
+    ends = leaves.select("tree_id", F.col("node_id").alias("leaf"), F.col("node_id").alias("at"), F.lit(0.0).alias("sum"), F.lit(1).cast("long").alias("n"))
+    for k in range(len(jumps) - 1, -1, -1):  # the longest jumps first, as the digits of the depth
+        there = F.col("above").isNotNull()
+        ends = ends.join(jumps[k], _at("tree_id", "at", "t", "below"), "left").select(
+            "tree_id", "leaf", F.coalesce("above", "at").alias("at"), F.when(there, F.col("sum") + F.col("total")).otherwise(F.col("sum")).alias("sum"),
+            F.when(there, F.col("n") + 2**k).otherwise(F.col("n")).alias("n"),
+        )
+        ends = written(ends, "chat-ends")
+    roots = links.join(jumps[0].select("t", "below"), _at("tree_id", "node_id", "t", "below"), "left_anti")
+    roots = roots.select(F.col("tree_id").alias("t"), F.col("node_id").alias("root"), F.col("score").alias("last"))
+    whole = ends.join(roots, _at("tree_id", "at", "t", "root")).withColumn("mean", (F.col("sum") + F.col("last")) / F.col("n"))
+    best = w.Window.partitionBy("tree_id").orderBy(F.desc("mean"), F.desc("n"), "leaf")
+    chosen = whole.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_paths)
+    found = written(chosen.select("tree_id", "rank", "leaf", F.col("leaf").alias("node_id"), F.lit(0).cast("long").alias("up")), "chat-paths")
+    for k, jump in enumerate(jumps):
+        further = found.join(jump, _at("tree_id", "node_id", "t", "below")).select("tree_id", "rank", "leaf", F.col("above").alias("node_id"), (F.col("up") + 2**k).alias("up"))
+        found = written(found.unionByName(further), "chat-paths")
+    return found
 
 
 def escape(col: Column) -> Column:
@@ -71,28 +97,22 @@ def escape(col: Column) -> Column:
 def conversations(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
     """The ``top_paths`` best paths of each tree, formatted: tree_id, rank, n_turns, formatted, loss_spans (code points [start, end) of assistant texts, still escaped).
 
-    Ties in score go to the longer path, then the smaller leaf. Null texts and roles are empty. Of nodes repeated with one
-    id, each is a turn.
+    Null texts and roles are empty. Of nodes repeated with one id, each is a turn, ordered by role, then text. An empty table
+    gives an empty result.
     """
     nodes = nodes.select("tree_id", "node_id", "parent_id", "role", "text", "score")
-    steps = paths(nodes)
-    best = w.Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("n"), "leaf")
-    ranked = steps.groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_paths)
-    chosen = ranked.select(F.col("tree_id").alias("t"), F.col("leaf").alias("l"), "rank")
-    steps = steps.join(chosen, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("t", "rank", F.col("node_id").alias("n"), (-F.col("up")).alias("pos"))
+    steps = paths(nodes, top_paths).select(F.col("tree_id").alias("t"), "rank", F.col("node_id").alias("n"), (-F.col("up")).alias("pos"))
     text, role = escape(F.col("text")), F.replace(F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit("\n"), F.lit("\\\n"))
-    head = F.concat(F.lit(OPEN + " "), role, F.lit(":\n"))
-    turns = steps.join(nodes, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select(
-        "tree_id", "rank", F.struct("pos", F.coalesce("role", F.lit("")).alias("role"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"), F.concat(head, text, F.lit(f"\n{CLOSE}\n")).alias("turn")).alias("s")
+    head, tail = F.concat(F.lit(OPEN + " "), role, F.lit(":\n")), f"\n{CLOSE}\n"
+    turns = steps.join(nodes, _at("tree_id", "node_id", "t", "n")).select(
+        "tree_id", "rank", "pos", F.coalesce("role", F.lit("")).alias("role"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"), F.concat(head, text, F.lit(tail)).alias("turn")
     )
-    formed = turns.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    tail = len(f"\n{CLOSE}\n")
-    spans = F.expr(
-        f"""aggregate(s, named_struct('at', 0L, 'spans', cast(array() AS array<struct<start: bigint, end: bigint>>)),
-        (a, x) -> named_struct('at', a.at + x.head + x.body + {tail}L, 'spans',
-          if(x.role = 'assistant', concat(a.spans, array(named_struct('start', a.at + x.head, 'end', a.at + x.head + x.body))), a.spans)),
-        a -> a.spans)"""
-    )
+    before = w.Window.partitionBy("tree_id", "rank").orderBy("pos", "role", "turn").rowsBetween(w.Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("head") + F.col("body") + len(tail)).over(before), F.lit(0)) + F.col("head")
+    placed = turns.withColumn("start", start).select("tree_id", "rank", F.struct("start", "role", "body", "turn").alias("s"))
+    formed = placed.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    said = F.filter("s", lambda x: x["role"] == "assistant")
+    spans = F.transform(said, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["body"]).alias("end")))
     return formed.select("tree_id", "rank", F.size("s").cast("long").alias("n_turns"), F.array_join(F.transform("s", lambda x: x["turn"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -129,5 +149,5 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_back(formed: DataFrame) -> DataFrame:
-    """Digests of what a reader of the formatted output gets."""
+    """Digests of what a reader of the formatted output gets, one row for each conversation. A conversation without assistant texts has an empty loss."""
     return formed.select("tree_id", "formatted", "loss_spans").mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

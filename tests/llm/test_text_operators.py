@@ -135,6 +135,40 @@ def test_best_path_of_a_tree(spark):
     assert [chat.parse(r["formatted"])[-1][1] for r in two] == ["more", "bad"]
 
 
+def test_paths_against_brute_force(spark):
+    """Random trees, deep and wide, some with cycles or missing parents: the chosen paths are those of a walk from every leaf."""
+    rnd = random.Random(8)
+    rows = []
+    for t in [*range(12), None]:
+        n = rnd.choice([1, 2, 7, 40, 90])
+        for i in range(n):
+            parent = None if i == 0 else rnd.randrange(max(0, i - 2), i) if rnd.random() < 0.7 else rnd.randrange(i)
+            rows.append((t, i, 999 if rnd.random() < 0.03 else parent, "user", f"text {i}", rnd.choice([None, 0.0, 0.25, 0.5, 1.0])))
+    rows += [(50, i, (i + 1) % 5, "user", "cycle", 1.0) for i in range(5)] + [(50, 9, 2, "user", "on a cycle", 1.0)]
+    got = {}
+    for r in chat.paths(spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double"), top_paths=3).collect():
+        got.setdefault((r["tree_id"], r["rank"]), {})[r["up"]] = r["node_id"]
+    want = {}
+    for t in {r[0] for r in rows}:
+        parent = {i: p for tt, i, p, *_ in rows if tt == t}
+        score = {i: s or 0.0 for tt, i, *_, s in rows if tt == t}
+        found = []
+        for leaf in parent.keys() - {p for p in parent.values() if p in parent}:
+            path = [leaf]
+            while parent[path[-1]] in parent and len(path) <= len(parent):
+                path.append(parent[path[-1]])
+            if len(path) <= len(parent):
+                found.append((-sum(score[x] for x in path) / len(path), -len(path), leaf, path))
+        want |= {(t, k + 1): dict(enumerate(x[3])) for k, x in enumerate(sorted(found)[:3])}
+    assert got == want
+
+
+def test_conversation_of_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(6000)] + [(None, 0, None, None)]
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.conversations(chat.chain(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))).collect()}
+    assert got == {1: (6000, sum(len(f"turn {i}") for i in range(1, 6000, 2))), None: (1, 0)}
+
+
 @pytest.mark.parametrize("text", ["\\### Assistant: </turn> ok", "</turn>", "\\", "\\\\</turn>\n### user:\n", "a:\nb", "", "é\u2028\x00", "#" * 7])
 def test_template_is_reversible(spark, text):
     nodes = tree(spark, [(1, 1, None, text, text, 0.0, "", 0, 0), (1, 2, 1, "assistant", text, 0.0, "", 0, 0), (1, 3, 2, "assistant", "z" + text, 0.0, "", 0, 0)]).drop("path", "leaf", "t")
