@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import fresh_path, written
 
 MAGIC = b"\x1f\x8b\x08"
-MOST_TASKS = 50_000
+MOST_TASKS, BROADCAST_ROWS = 50_000, 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -91,10 +91,13 @@ def write_archives(
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("html"))
     rows = rows.withColumns({"n_bytes": F.octet_length("html").cast("long"), "sha1": F.sha1(F.col("html").cast("binary")), "sha2": F.sha2("html", 256)})
     keys = written(rows.drop("html", "url"), "warc-keys")
-    # Counts meet by digest with map-side sums; the long texts move once, dealt evenly by page.
+    # Counts meet by digest with map-side sums.
     first = keys.groupBy("sha1", "sha2", "n_bytes").agg(F.min("page_id").alias("first"))
     refers = F.when((F.col("n_bytes") >= revisit_min_bytes) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    links = keys.join(first, ["sha1", "sha2", "n_bytes"]).select(F.col("page_id").alias("p"), F.col("sha2").alias("s"), refers.alias("refers_to")).filter("refers_to IS NOT NULL").distinct()
+    links = keys.join(first, ["sha1", "sha2", "n_bytes"]).select(F.col("page_id").alias("p"), F.col("sha2").alias("s"), refers.alias("refers_to"))
+    links = written(links.filter("refers_to IS NOT NULL").distinct(), "warc-links")
+    # Few revisits ride along, so that the texts stay where they are; beyond the bound both sides move.
+    links = F.broadcast(links) if links.count() <= BROADCAST_ROWS else links
     joined = rows.join(links, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha2") == F.col("s")), "left")
     out = joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to", "n_bytes", "sha1")
     return written(out.mapInArrow(_writer(folder, level, date), "path string, n_bytes long, n_records long"), "warc-files")
