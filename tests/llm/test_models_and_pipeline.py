@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quillmesh.llm import decontaminate, lm_score, queries, toxicity
+from quillmesh.llm import decontaminate, lm_score, packing, queries, toxicity
+from test_dedup_and_join import brute, low
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -262,6 +264,70 @@ def test_pipeline(spark, sf):
     assert packed.select("doc_id").distinct().count() == len(texts)
 
 
+def cut_by_hand(text, windows, limit):
+    """The text without hit words, until none is; None if over half of them are hit at first, or all at last."""
+    while True:
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text)))
+        ws = [m[0] for m in found]
+        sizes = {len(win) for win in windows}
+        hit = sorted({k for n in sizes for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in windows for k in range(i, i + n)})
+        if not hit:
+            return text
+        if len(hit) > limit * len(ws) or len(hit) == len(ws):
+            return None
+        limit, kept, done = 1.0, [], 0
+        for k in hit:
+            if k - 1 not in hit:
+                kept.append(text[done : found[k].start()])
+            done = found[k].end()
+        text = "".join([*kept, text[done:]])
+
+
+def test_pipeline_against_brute_force(spark, sf, tmp_path):
+    """Every stage over again by hand, on the given table with null ids and texts, repeated rows and columns of clashing names."""
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to reject anything
+    bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in given.collect()]
+    t = " ".join(f"word{i}" for i in range(50))
+    more = [(None, t), (None, t), (9001, None), (9002, ""), (9003, t.upper()), (9003, t.upper()), (9004, t + " more"), (9005, bench[0] + " " + " ".join(f"clean{i}" for i in range(80))), (9006, bench[1]), (None, "another text without an id")]
+    rows += [rows[3], rows[3]] + [(i, x, "en", "web", len(x or "")) for i, x in more]
+    assert given.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = spark.createDataFrame(rows, given.schema).selectExpr("*", "1 AS row", "'x' AS h", "2L AS n", "'c' AS items", "true AS kept", "'t' AS __spans")
+    clash.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = toxicity.fit(clash, spark.read.parquet(f"{sf}/labels.parquet"))
+    left = [(i, x, n) for i, x, _, _, n in rows if not decontaminate.words(x) or model.probability(model.mean(decontaminate.words(x))) < 0.3]
+    assert len(left) < len(rows)
+    of_text = {}
+    for r in left:
+        k = low(r[1])
+        if k not in of_text or (r[0] is not None, r[0] or 0) > (of_text[k][0] is not None, of_text[k][0] or 0):
+            of_text[k] = r
+    left = list(of_text.values())
+    groups = {}
+    for k, _, root, _ in brute([(k, r[1]) for k, r in enumerate(left)]):
+        groups.setdefault(root, []).append(left[k])
+    left = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    split = [tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(x))) for x in bench if x]
+    windows = {ws[i : i + min(10, len(ws))] for ws in split if ws for i in range(max(1, len(ws) - 9))}
+    want = {}
+    for i, x, _ in left:
+        x = x if x is None else cut_by_hand(x, windows, 0.5)
+        if x is not None or i == 9001:
+            ids = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(x or "")
+            want.setdefault(i, []).append(len(ids) + 1)
+    got = {}
+    for r in packed:
+        got.setdefault(r["doc_id"], {}).setdefault(r["doc_tokens"], 0)
+        got[r["doc_id"]][r["doc_tokens"]] += r["length"]
+    assert {i: sorted(k for k in v) for i, v in got.items()} == {i: sorted(set(v)) for i, v in want.items()}
+    assert all(total % tokens == 0 for v in got.values() for tokens, total in v.items())
+
+
 def test_pipeline_on_no_rows(spark, sf):
     at = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
