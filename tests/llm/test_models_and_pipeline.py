@@ -163,6 +163,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_very_long_texts(spark):
+    rows = toxic_rows()[:200]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    clean, toxic = next(t for _, t, y in rows if not y), next(t for _, t, y in rows if y)
+    long = spark.createDataFrame([(1, clean * 20_000), (2, (toxic + " ") * 20_000), (3, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(long, model).collect()}
+    assert got[1] < 0.3 <= got[2] and 0 <= got[3] <= 1
+
+
 def test_toxicity_weights_stand_for_the_labelled_ids(spark, monkeypatch):
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     rows = toxic_rows()

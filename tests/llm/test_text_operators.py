@@ -206,6 +206,14 @@ def test_archives_round_trip(spark, split_bytes):
     assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got], key=key) == sorted(want, key=key)
 
 
+def test_archives_of_very_long_pages(spark):
+    long = "<p>" + "\x1f\x8b\x08 é" * 700_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "short"), (4, None, None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages.coalesce(1)), split_bytes=5_000).collect()}
+    assert bytes(got[1]["payload"]) == long.encode() and (got[2]["record_type"], got[2]["refers_to"], got[2]["payload_bytes"]) == ("revisit", 1, len(long.encode()))
+    assert bytes(got[3]["payload"]) == b"short" and got[4]["payload_bytes"] == 0
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. Other words. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
     turned = ". ".join(reversed(mit.split(". ")))
