@@ -105,7 +105,8 @@ def conversations(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
     text, role = escape(F.col("text")), F.replace(F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit("\n"), F.lit("\\\n"))
     head, tail = F.concat(F.lit(OPEN + " "), role, F.lit(":\n")), f"\n{CLOSE}\n"
     turns = steps.join(nodes, _at("tree_id", "node_id", "t", "n")).select(
-        "tree_id", "rank", "pos", F.coalesce("role", F.lit("")).alias("role"), F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"), F.concat(head, text, F.lit(tail)).alias("turn")
+        "tree_id", "rank", "pos", F.coalesce("role", F.lit("")).alias("role"), F.concat(head, text, F.lit(tail)).alias("turn"),
+        F.length(head).cast("long").alias("head"), F.length(text).cast("long").alias("body"),
     )
     before = w.Window.partitionBy("tree_id", "rank").orderBy("pos", "role", "turn").rowsBetween(w.Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("head") + F.col("body") + len(tail)).over(before), F.lit(0)) + F.col("head")
@@ -113,7 +114,8 @@ def conversations(nodes: DataFrame, top_paths: int = 1) -> DataFrame:
     formed = placed.groupBy("tree_id", "rank").agg(F.array_sort(F.collect_list("s")).alias("s"))
     said = F.filter("s", lambda x: x["role"] == "assistant")
     spans = F.transform(said, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["body"]).alias("end")))
-    return formed.select("tree_id", "rank", F.size("s").cast("long").alias("n_turns"), F.array_join(F.transform("s", lambda x: x["turn"]), "").alias("formatted"), spans.alias("loss_spans"))
+    whole = F.array_join(F.transform("s", lambda x: x["turn"]), "")
+    return formed.select("tree_id", "rank", F.size("s").cast("long").alias("n_turns"), whole.alias("formatted"), spans.alias("loss_spans"))
 
 
 _MARK = re.compile(r"\\.|" + re.escape(CLOSE), re.DOTALL)
@@ -150,4 +152,5 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(formed: DataFrame) -> DataFrame:
     """Digests of what a reader of the formatted output gets, one row for each conversation. A conversation without assistant texts has an empty loss."""
-    return formed.select("tree_id", "formatted", "loss_spans").mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formed.select("tree_id", "formatted", "loss_spans").mapInPandas(_digests, kind)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    """A batch of columns given as lists or arrays."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only. ASCII-only texts take the fast built-in; others go character by character."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

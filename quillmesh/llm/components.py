@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         if whole is None:
             whole = hook
         else:
-            whole = written(whole.join(hook.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-roots")
+            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            whole = written(whole.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-roots")
         edges = edges.join(hook.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         edges = written(edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
     return whole if whole is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)

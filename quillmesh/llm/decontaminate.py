@@ -195,6 +195,21 @@ def _scan_task(shared: Broadcast, all_rows: bool):
     return run
 
 
+def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        merged = []
+        for spans in batch.column(2).to_pylist():
+            out: list[dict[str, int]] = []
+            for x in sorted(spans, key=lambda s: s["start"]):
+                if out and out[-1]["stop"] >= x["start"]:
+                    out[-1]["stop"] = max(out[-1]["stop"], x["stop"])
+                else:
+                    out.append(x)
+            merged.append(out)
+        arrays = [batch.column(0), batch.column(1), pa.array(merged, _SPANS), batch.column(3)]
+        yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds a 128-bit key of the text: equal texts are hit alike."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -210,17 +225,10 @@ def _hits(keyed: DataFrame, text_col: str, automata: DataFrame, blocks: int, win
         found = written(rows.mapInArrow(_scan_task(shared, False), "__key1 long, __key2 long, " + FOUND), "decontamination-hits")
         shared.destroy()
         parts = found if parts is None else parts.unionByName(found)
-    once = parts.dropDuplicates(["__key1", "__key2", "spans", "items"])
-    spans = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast("array<struct<start: int, stop: int>>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= x["start"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(a, F.array(x))),
-    )
-    merged = once.groupBy("__key1", "__key2").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return written(merged, "decontamination-merged")
+    # Repeated texts give equal rows; spans of different blocks may overlap or touch.
+    once = parts.dropDuplicates(["__key1", "__key2", "spans", "items"]).groupBy("__key1", "__key2")
+    once = once.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return written(once.mapInArrow(_merge_task, "__key1 long, __key2 long, spans array<struct<start: int, stop: int>>, items array<string>"), "decontamination-merged")
 
 
 def _with_hits(keyed: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
@@ -229,7 +237,8 @@ def _with_hits(keyed: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
 
 
 def matches(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = 10, block_words: int = 200_000,
 ) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (word positions hit), items (ids, as strings, of items with occurring windows).
 
@@ -253,7 +262,8 @@ def digest(found: DataFrame) -> DataFrame:
     """The counts and item digest of ``matches``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     listed = F.array_join(F.array_sort("items"), ",")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    n_items = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def cut(text: str, ws: list[bytes], spans: list[tuple[int, int]]) -> str:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import fold, written
+from quillmesh.llm.common import batch_of, fold, written
 
 END = b"\n"  # stands for the end token; no word holds white space
 SPACE = "▁"
@@ -142,7 +142,7 @@ def _count_task():
 
     def flush(train: Counter, other: Counter) -> pa.RecordBatch:
         keys = list(train.keys() | other.keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([train[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], schema=schema)
+        return batch_of(schema, keys, [train[k] for k in keys], [other[k] for k in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, other = Counter(), Counter()
@@ -190,7 +190,10 @@ def _word_task(shared):
 
 def _score_task(shared, base: float):
     """Sums over the frequent words; the others are listed for the join."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("logp", pa.float64()), ("rest", pa.list_(pa.binary()))])
+    schema = pa.schema([
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("base", pa.float64()), ("logp", pa.float64()), ("rest", pa.list_(pa.binary())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, row = shared.value, TaskContext.get().partitionId() << 33
@@ -204,12 +207,16 @@ def _score_task(shared, base: float):
                 rest = [w for w, x in zip(ws, got, strict=True) if x is None] if len(hit) < len(got) else []
                 out.append((row, doc, held, len(ws), sum(x[2] for x in hit), math.fsum(x[0] for x in hit), math.fsum(x[1] for x in hit), rest))
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
+            if out:
+                yield batch_of(schema, *zip(*out, strict=True))
 
     return run
 
 
-def score(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, em_rounds: int = 1, head_words: int = 1 << 18, smoothing: float = 0.01) -> DataFrame:
+def score(
+    docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2,
+    em_rounds: int = 1, head_words: int = 1 << 18, smoothing: float = 0.01,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each document.
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``held_out``. Null and empty texts are the end token
@@ -246,7 +253,9 @@ def score(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text
     rest = partial.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     tail = rest.join(known.filter(F.col("n") < least).select("word", "c", "logp"), "word")
     sums = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(base))).alias("base2"), F.sum(F.col("k") * F.col("logp")).alias("logp2")
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
+        F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(base))).alias("base2"),
+        F.sum(F.col("k") * F.col("logp")).alias("logp2"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     return partial.drop("rest").join(sums, "row", "left").select(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import fold, written
+from quillmesh.llm.common import batch_of, fold, written
 from quillmesh.llm.decontaminate import words
 
 START, STOP = "\x02", "\x03"
@@ -49,6 +49,7 @@ def padded(word: str, order: int) -> str:
 
 def _count_task(order: int):
     """Counts of the highest-order character n-grams of either class; words are counted first, so each is cut once."""
+    schema = pa.schema([("gram", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, grams = (Counter(), Counter()), (Counter(), Counter())
@@ -61,7 +62,7 @@ def _count_task(order: int):
                 for i in range(order, len(s) + 1):
                     grams[y][s[i - order : i]] += n
         keys = list(grams[0].keys() | grams[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([grams[0][k] for k in keys], pa.int64()), pa.array([grams[1][k] for k in keys], pa.int64())], names=["gram", "n0", "n1"])
+        yield batch_of(schema, keys, [grams[0][k] for k in keys], [grams[1][k] for k in keys])
 
     return run
 
@@ -180,7 +181,10 @@ def choose(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return min(found)[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2, max_per_class: int = 10_000, order: int = 5) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held_out: int = 2,
+    max_per_class: int = 10_000, order: int = 5,
+) -> Model:
     """A model from the labelled rows outside the held-out fold. Two halves of the sample score each other for noise and calibration."""
     known = written(labelled(docs, labels, id_col=id_col, label_col=label_col, folds=folds, held_out=held_out), "toxicity-labelled")
     ids, weights = sample(known, max_per_class)
@@ -224,7 +228,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         own = shared.value
         for batch in batches:
             got = [own.probability(own.mean(words(t.as_py()))) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64()), pa.array([int(p >= threshold) for p in got], pa.int32())], schema=schema)
+            yield batch_of(schema, batch.column(0), batch.column(1), got, [int(p >= threshold) for p in got])
 
     part = F.coalesce(fold(F.col(f"`{id_col}`"), folds) == held_out, F.lit(True))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), part.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
