@@ -13,13 +13,15 @@ def convergence(runs: DataFrame, rounds: tuple[int, ...] = (1, 2, 3)) -> DataFra
     """(run, round, accuracy) -> run, r1.., first, last, gain."""
     cols = [F.max(F.when(F.col("round") == r, F.col("accuracy"))).alias(f"r{r}") for r in rounds]
     out = runs.groupBy("run").agg(*cols, F.array_sort(F.collect_list(F.struct("round", "accuracy"))).alias("h"))
-    return out.withColumns({"first_acc": F.try_element_at("h", F.lit(1))["accuracy"], "last_acc": F.try_element_at("h", F.lit(-1))["accuracy"]}).drop("h").withColumn("gain", F.col("last_acc") - F.col("first_acc"))
+    at = lambda k: F.try_element_at("h", F.lit(k))["accuracy"]
+    return out.withColumns({"first_acc": at(1), "last_acc": at(-1), "gain": at(-1) - at(1)}).drop("h")
 
 
 def differences(runs: DataFrame) -> DataFrame:
     """Pairwise differences of (run, accuracy, minutes), each pair once; runs are few rows."""
     a, b = (runs.select(*[F.col(c).alias(f"{c}_{s}") for c in ("run", "accuracy", "minutes")]) for s in "ab")
-    return a.join(b, F.col("run_a") < F.col("run_b")).select("run_a", "run_b", ((F.col("accuracy_a") - F.col("accuracy_b")) * 100).alias("diff_pp"), (F.col("minutes_a") - F.col("minutes_b")).alias("diff_minutes"))
+    points, minutes = (F.col("accuracy_a") - F.col("accuracy_b")) * 100, F.col("minutes_a") - F.col("minutes_b")
+    return a.join(b, F.col("run_a") < F.col("run_b")).select("run_a", "run_b", points.alias("diff_pp"), minutes.alias("diff_minutes"))
 
 
 # 97.5 % quantiles of the t distribution for 1 to 30 degrees of freedom; beyond them that of the normal one.

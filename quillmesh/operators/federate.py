@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.functions.expr import mu_of
+from quillmesh.functions.expr import mu_of, squared_distance
 from quillmesh.operators import metrics, weights
 
 
@@ -51,7 +51,7 @@ def predict(samples: DataFrame, models: DataFrame) -> DataFrame:
 
     Models are few rows, one for each node or one in all, so the pairing is a broadcast join without a shuffle of samples.
     """
-    far = F.transform("model", lambda m: F.struct(F.aggregate(F.zip_with(m["c"], F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), m["label"].alias("label")))
+    far = F.transform("model", lambda m: F.struct(squared_distance(m["c"], F.col("x")).alias("d"), m["label"].alias("label")))
     return samples.crossJoin(F.broadcast(models)).withColumn("pred", F.array_min(far)["label"]).drop("model")
 
 

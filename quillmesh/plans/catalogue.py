@@ -223,7 +223,9 @@ def q25_cross_eval(s, d):
 @query
 def q26_power_parse(s, d):
     p = power.parse(data.log_lines(s, d))
-    return p.select("event_id", "ram_used_mb", "ram_total_mb", "swap_used_mb", "gpu_freq_percent", "power_gpu_mw", "power_gpu_avg_mw", "power_cpu_mw", "power_soc_mw", "power_cv_mw", "temp_cpu_c", "temp_gpu_c", "temp_soc_c", "temp_tj_c")
+    not_compared = {"swap_total_mb", "power_cpu_avg_mw", "power_soc_avg_mw", "power_cv_avg_mw", "power_total_mw", "power_total_w"}
+    names = [c for c in p.columns if c.startswith(("ram", "swap", "gpu", "power", "temp")) and c not in not_compared and "vddrq" not in c and "sys5v" not in c]
+    return p.select("event_id", *names)
 
 
 @query
@@ -239,7 +241,9 @@ def q28_power_total(s, d):
 
 @query
 def q29_power_summary(s, d):
-    return power.summary(power.parse(data.log_lines(s, d))).select("num_samples", "duration_s", "power_max_w", "power_min_w", "gpu_power_max_w", "ram_peak_mb", r6(F.col("power_avg_w")).alias("power_avg_w"), "energy_total_wh", "power_std_w", "temp_cpu_c_max")
+    t = power.summary(power.parse(data.log_lines(s, d)))
+    energy = ("power_max_w", "power_min_w", "power_std_w", "gpu_power_max_w", "energy_total_wh")
+    return t.select("num_samples", "duration_s", *energy, "ram_peak_mb", "temp_cpu_c_max", r6(F.col("power_avg_w")).alias("power_avg_w"))
 
 
 @query

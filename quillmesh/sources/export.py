@@ -25,8 +25,10 @@ def baseline_document(finals: DataFrame) -> DataFrame:
     leaf = F.struct(half_even(F.col("accuracy"), 6).alias("final_test_accuracy"), half_even(F.col("minutes") * 60, 1).alias("total_time_s"))
     entry = F.struct(F.concat(F.lit("node_"), F.char(F.lit(97) + F.col("seed").cast("int"))).alias("node"), leaf.alias("result"))
     out = finals.groupBy("run").agg(
-        half_even(F.sum("minutes") * 60, 1).alias("total_time_s"), half_even(F.avg("accuracy"), 6).alias("mean_test_accuracy"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("nodes")
-    )
+        half_even(F.sum("minutes") * 60, 1).alias("total_time_s"),
+        half_even(F.avg("accuracy"), 6).alias("mean_test_accuracy"),
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("nodes"),
+    )
     return out.select(F.col("run").alias("experiment"), "total_time_s", "nodes", "mean_test_accuracy")
 
 
@@ -35,4 +37,5 @@ def run_document(rounds: DataFrame) -> DataFrame:
     n = F.row_number().over(w.Window.partitionBy("run").orderBy("round"))
     r = rounds.withColumn("position", n)
     loss, acc = F.struct(F.col("position").alias("round"), "loss"), F.struct(F.col("position").alias("round"), F.col("accuracy").alias("value"))
-    return r.groupBy("run").agg(F.array_sort(F.collect_list(loss)).alias("losses_distributed"), F.create_map(F.lit("accuracy"), F.array_sort(F.collect_list(acc))).alias("metrics_distributed"))
+    accuracies = F.create_map(F.lit("accuracy"), F.array_sort(F.collect_list(acc)))
+    return r.groupBy("run").agg(F.array_sort(F.collect_list(loss)).alias("losses_distributed"), accuracies.alias("metrics_distributed"))

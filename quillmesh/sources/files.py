@@ -21,7 +21,8 @@ BASELINE = (
     f"final_test_loss double, final_test_accuracy double, per_node_test map<string, {TEST}>, cross_eval map<string, {TEST}>, train_class_distribution map<string, bigint>, "
     f"history array<{EPOCH}>, fl_round_equivalents map<string, {EPOCH}>, timestamp string"
 )
-BATCH = f"experiment string, seed int, epochs int, total_time_s double, nodes map<string, struct<final_test_accuracy: double, final_test_loss: double, cross_eval: map<string, {TEST}>>>, mean_test_accuracy double, timestamp string"
+NODE = f"struct<final_test_accuracy: double, final_test_loss: double, cross_eval: map<string, {TEST}>>"
+BATCH = f"experiment string, seed int, epochs int, total_time_s double, nodes map<string, {NODE}>, mean_test_accuracy double, timestamp string"
 
 
 def images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -54,8 +55,11 @@ def run_results(spark: SparkSession, path: str) -> DataFrame:
 
 def run_rounds(results: DataFrame) -> DataFrame:
     """run, strategy, dist, seed, round, loss, accuracy."""
-    acc = F.map_from_entries(F.transform(F.coalesce(F.try_element_at("metrics_distributed", F.lit("accuracy")), F.array().cast("array<struct<round: int, value: double>>")), lambda x: F.struct(x["round"], x["value"])))
-    return results.withColumn("acc", acc).select("run", "strategy", "dist", "seed", F.explode("losses_distributed").alias("l"), "acc").select("run", "strategy", "dist", "seed", "l.round", "l.loss", F.try_element_at("acc", F.col("l.round")).alias("accuracy"))
+    keys = ("run", "strategy", "dist", "seed")
+    given = F.coalesce(F.try_element_at("metrics_distributed", F.lit("accuracy")), F.array().cast("array<struct<round: int, value: double>>"))
+    accuracies = F.map_from_entries(F.transform(given, lambda x: F.struct(x["round"], x["value"])))
+    rounds = results.withColumn("acc", accuracies).select(*keys, F.explode("losses_distributed").alias("l"), "acc")
+    return rounds.select(*keys, "l.round", "l.loss", F.try_element_at("acc", F.col("l.round")).alias("accuracy"))
 
 
 def baseline_results(spark: SparkSession, path: str, batch: bool = False) -> DataFrame:

@@ -48,19 +48,22 @@ def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
 def windowed(stream: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     win = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.withWatermark("ts", late).groupBy(win.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    counted = stream.withWatermark("ts", late).groupBy(win.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     s = F.session_window("ts", gap)
-    return stream.withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "user_id", "n")
+    counted = stream.withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n"))
+    return counted.select(F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "user_id", "n")
 
 
 def frame_sets(stream: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Frames of a live stream with all of color, depth and ir, by event-time window: start, n_events."""
     kind = F.when(F.col("event_type") == "view", "color").when(F.col("event_type") == "click", "depth").when(F.col("event_type") == "error", "ir")
     have = [F.max((F.col("stream") == s).cast("int")).alias(s) for s in ("color", "depth", "ir")]
-    out = stream.withColumn("stream", kind).filter("stream IS NOT NULL").withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n_events"), *have)
+    frames = stream.withColumn("stream", kind).filter("stream IS NOT NULL").withWatermark("ts", late)
+    out = frames.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n_events"), *have)
     return out.filter("color + depth + ir = 3").select(F.col("w.start").alias("start"), "n_events")
 
 
@@ -82,7 +85,10 @@ class RoundState(StatefulProcessor):
 
 
 def running_means(stream: DataFrame) -> DataFrame:
-    return stream.select("event_type", "value").groupBy("event_type").transformWithStateInPandas(statefulProcessor=RoundState(), outputStructType="event_type string, n long, mean double", outputMode="Update", timeMode="None")
+    by_type = stream.select("event_type", "value").groupBy("event_type")
+    return by_type.transformWithStateInPandas(
+        statefulProcessor=RoundState(), outputStructType="event_type string, n long, mean double", outputMode="Update", timeMode="None"
+    )
 
 
 class Progress(StreamingQueryListener):

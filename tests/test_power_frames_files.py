@@ -70,7 +70,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).filter(F.col("node") == "all").count() == 1
 
 
-def test_measured_rounds():
+def test_measured_rounds(spark, tmp_path):
     records = []
     with power.measured(records, 1, strategy="fedavg"):
         pass
@@ -80,6 +80,9 @@ def test_measured_rounds():
     except ValueError:
         pass
     assert [(r["round"], "error" in r, r["wall_s"] >= 0) for r in records] == [(1, False, True), (2, True, True)]
+    power.save_rounds(spark, records, str(tmp_path / "rounds"))
+    saved = spark.read.schema("round int, extra map<string, string>, error string").json(str(tmp_path / "rounds")).collect()
+    assert sorted((r["round"], r["extra"], r["error"]) for r in saved) == [(1, {"strategy": "fedavg"}, None), (2, {}, "ValueError('no log')")]
 
 
 def test_images_become_tensors(spark, tmp_path):
