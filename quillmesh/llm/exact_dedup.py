@@ -138,7 +138,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = _lookup(docs, keys, index, id_col, text_col, hash_bits)
     same = (F.col("__k") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
     named = lambda df: df.select(F.col("h").alias("__h"), F.col("id").alias("__id"))
-    clash = index.filter("chained").select("h").distinct()
+    clash = written(index.filter("chained").select("h").distinct(), "dedup-clash")
+    clash = _checked(clash, clash.count())
     gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id")))
     gone = written(named(gone.join(clash, "h", "left_anti")).distinct(), "dedup-gone")
     n_gone = gone.count()
