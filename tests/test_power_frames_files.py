@@ -6,6 +6,7 @@ from quillmesh.operators import frames, power
 from quillmesh.plans import catalogue
 from quillmesh.sources import files
 
+# Fixed value: a line as the devices write it.
 SAMPLE = "RAM 2448/7620MB (lfb 4x4MB) SWAP 0/3810MB CPU [12%@1510,15%@1510,8%@1510,10%@1510,5%@1510,7%@1510] GR3D_FREQ 30% cpu@45.5C GPU 2500/15000 CPU 1800/10000 SOC 1200/8000 CV 0/0 VDDRQ 800/5000 SYS5V 3500/20000"
 
 
