@@ -373,14 +373,14 @@ def classes(
     early = sets.select("row", room.alias("room"), F.explode("first").alias("token")).withColumn("df", df).filter("df > 1")
     late = F.col("token").bitwiseAND(SLICE_OF - 1) >= SLICE
     key = F.struct(late.cast("int").alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), "token")
-    found = early.select("row", "room", key.alias("k")).groupBy("row", "room").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    ranked = early.select("row", "room", key.alias("k")).groupBy("row", "room").agg(F.array_sort(F.collect_list("k")).alias("ks"))
     taken = F.slice("ks", 1, F.greatest(F.col("room") + F.size("ks"), F.lit(0)))
-    meets = found.select("row", F.explode(taken).alias("k")).select("row", "k.token").unionByName(sets.select("row", F.explode("common").alias("token")))
+    meets = ranked.select("row", F.explode(taken).alias("k")).select("row", "k.token").unionByName(sets.select("row", F.explode("common").alias("token")))
     meets = written(meets, "ngram-meets")
     lead = meets.groupBy("token").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1").select("token", "a")
     stars = meets.join(lead, "token").filter("a <> row").select("a", F.col("row").alias("b")).distinct()
-    found = members.select(F.col("row").alias("node"), "n", "doc_id", "fp", "docs")
-    blocks = written(components(stars).join(found, "node"), "ngram-blocks")
+    known = members.select(F.col("row").alias("node"), "n", "doc_id", "fp", "docs")
+    blocks = written(components(stars).join(known, "node"), "ngram-blocks")
     n_blocked = blocks.count()
     if not n_blocked:
         return members, blocks.select(F.col("node").alias("row"), F.col("docs").alias("links"), F.col("root").alias("lead")).limit(0)
