@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, toxicity, warc
+from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, substring_dedup, toxicity, warc
 from quillmesh.llm import exact_dedup as dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,25 @@ FROM d LEFT JOIN said USING (doc_id) LEFT JOIN rule USING (doc_id)
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+), twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1
+), gone AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 34)) AS p FROM win JOIN twice USING (k)
+), word AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,8 +201,9 @@ def queries() -> dict[str, Query]:
         "pipeline": pipeline,
         "op1_html_text": op1_html_text, "op2_ngram_join": op2_ngram_join, "op3_chat_formatting": op3_chat_formatting, "op4_warc": op4_warc, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity,
         "op7_lm_score": op7_lm_score, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_license_scan": op10_license_scan,
+        "op11_substring_dedup": op11_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql()}
+    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql(), "op11_substring_dedup": OP11_SQL}
