@@ -55,3 +55,12 @@ def fold(id_col: Column, folds: int) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... by place, and what ``names`` are called now.
+
+    Helper columns can then clash with nothing, whatever the table carries, upper-case forms of a name too; ``toDF`` with
+    the old names goes back.
+    """
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]

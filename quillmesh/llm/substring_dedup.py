@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from quillmesh.llm.common import batch_of, written
+from quillmesh.llm.common import batch_of, positional, written
 from quillmesh.llm.ngram_join import STEP, _mix
 
 GRAM = 4
@@ -257,11 +257,6 @@ def _bucket_task(window: int):
     return run
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(text.alias("text"), *(c.alias(n) for n, c in zip(("t1", "t2"), _text_digest(text), strict=True)))
-
-
 def _text_digest(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
@@ -285,9 +280,10 @@ def _hot_windows(texts: DataFrame, cut: Cut, hot: Broadcast) -> DataFrame:
     return places.join(runs, ["s1", "s2"]).select("t1", "t2", (F.col("first") + F.col("offset")).alias("first"), "n")
 
 
-def windows_of_texts(docs: DataFrame, text_col: str, cut: Cut) -> DataFrame:
+def windows_of_texts(docs: DataFrame, cut: Cut) -> DataFrame:
     """t1, t2 (the digest of a text) and its runs of repeated windows."""
-    texts = _texts(docs, text_col).filter(F.length("text") >= 2 * cut.window - 1)
+    texts = docs.select("text", *(c.alias(n) for n, c in zip(("t1", "t2"), _text_digest(F.col("text")), strict=True)))
+    texts = texts.filter(F.length("text") >= 2 * cut.window - 1)  # others, null too, have no window
     context = docs.sparkSession.sparkContext
     size = 3 * (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)  # packed strings overlap
     tasks = _tasks(docs, size)
@@ -296,10 +292,10 @@ def windows_of_texts(docs: DataFrame, text_col: str, cut: Cut) -> DataFrame:
     bound = max(LEAST_HOT, min(size // (400 * HOT_SHARE * tasks), MOST_HOT))
     found = counts.filter(F.col("n") > bound).select("mini").toArrow()
     hot = context.broadcast(np.sort(found.column(0).to_numpy().astype(np.int64)))
-    packed = texts.select("text", "t1", "t2").mapInArrow(_pack_task(cut, hot), PACKED)
+    packed = texts.mapInArrow(_pack_task(cut, hot), PACKED)
     runs = packed.repartition(tasks, "mini").sortWithinPartitions("mini").mapInArrow(_bucket_task(cut.window), FOUND)
     if len(hot.value):
-        runs = runs.unionByName(_hot_windows(texts.select("text", "t1", "t2"), cut, hot))
+        runs = runs.unionByName(_hot_windows(texts, cut, hot))
     runs = runs.distinct().groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
     return written(runs, "substring-runs-by-text")
 
@@ -347,20 +343,22 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stay whole. Texts of any length are read whole, in pieces of ``SEGMENT`` words. An empty table gives an empty result;
     other columns are ignored, whatever their names. ``cut`` are options of ``Cut``.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return _applied(docs, rows, text_col, Cut(window, **cut)).select(F.col("id").alias(id_col), "x.*")
+    plain, (id_, text) = positional(docs, id_col, text_col)
+    rows = plain.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("text"))
+    return _applied(rows, Cut(window, **cut)).select(F.col("id").alias(id_col), "x.*")
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = 35, **cut: int) -> DataFrame:
     """The documents with all their columns, the text without the words that ``repeats`` removes; a null text stays null."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kept = _applied(docs, rows, text_col, Cut(window, **cut))
-    changed = F.when(F.col("x.n_removed") > 0, F.col("x.kept")).otherwise(F.col("text"))
-    return kept.select(*[(changed if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    plain, (text,) = positional(docs, text_col)
+    kept = _applied(plain.withColumn("text", F.col(text).cast("string")), Cut(window, **cut))
+    changed = F.when(F.col("x.n_removed") > 0, F.col("x.kept")).otherwise(F.col(text))
+    return kept.select(*[changed.alias(c) if c == text else c for c in plain.columns]).toDF(*docs.columns)
 
 
-def _applied(docs: DataFrame, rows: DataFrame, text_col: str, cut: Cut) -> DataFrame:
-    found = windows_of_texts(docs, text_col, cut)
+def _applied(rows: DataFrame, cut: Cut) -> DataFrame:
+    """``rows`` (text and others) with what is left of each text as ``x``."""
+    found = windows_of_texts(rows, cut)
     n, size = found.agg(F.count("*"), F.sum(F.size("runs"))).first()
     found = F.broadcast(found) if 48 * n + 24 * (size or 0) <= BROADCAST_BYTES else found
     one, two = _text_digest(F.coalesce("text", F.lit("")))
