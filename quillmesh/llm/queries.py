@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, substring_dedup, toxicity, warc
+from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, spelling, substring_dedup, toxicity, warc
 from quillmesh.llm import exact_dedup as dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +190,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), spoil=199)
+
+
+#: crc32 of ``s`` (its characters below U+0800), by a table of byte values that a recursion fills.
+CRC_TABLE = """
+bits(i, c, k) AS (
+  SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(s: str) -> str:
+    """An expression for crc32 of the text ``s``; ``t`` is the table."""
+    octets = "CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END"
+    all_octets = f"list_transform(flatten(list_transform(string_split({s}, ''), lambda x: {octets})), lambda x: x::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {all_octets}), lambda a, x: xor(a >> 8, t[CAST((xor(a, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT)"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, run AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents) GROUP BY 1, 2
+), hashed AS (SELECT w, n, {crc_sql("concat(doc_id, ':', w)")} AS h FROM run, tab
+), spoilt AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM hashed
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (SELECT word, left(word, i - 1) || '*' || substr(word, i + 1) AS wild, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b USING (wild) WHERE a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = less UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = less
+), best AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(n := -n, b := b)) AS top FROM near JOIN words ON words.word = b GROUP BY a
+), forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 5 * n THEN top.b END AS form, CASE WHEN -top.n >= 5 * n THEN CAST(-top.n AS BIGINT) END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (SELECT word, word AS root, form AS up FROM forms UNION ALL SELECT chain.word, up, forms.form FROM chain JOIN forms ON forms.word = chain.up)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word) WHERE up IS NULL
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -201,9 +238,9 @@ def queries() -> dict[str, Query]:
         "pipeline": pipeline,
         "op1_html_text": op1_html_text, "op2_ngram_join": op2_ngram_join, "op3_chat_formatting": op3_chat_formatting, "op4_warc": op4_warc, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity,
         "op7_lm_score": op7_lm_score, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_license_scan": op10_license_scan,
-        "op11_substring_dedup": op11_substring_dedup,
+        "op11_substring_dedup": op11_substring_dedup, "op12_spelling_variants": op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql(), "op11_substring_dedup": OP11_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql(), "op11_substring_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL}
