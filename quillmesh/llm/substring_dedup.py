@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -30,33 +31,34 @@ from quillmesh.llm.ngram_join import STEP, _mix
 
 GRAM = 4
 LONGEST_RUN = 128  # windows of a packed string: more have one minimiser only in periodic texts
-SEGMENT = 1 << 17  # words of a text that are in memory as arrays at a time
+SEGMENT = 1 << 15  # words that are in memory as arrays at a time
+ONE_IN = 8  # texts whose strings are counted to find hot minimisers
+MOST_MET = 200_000  # texts or strings that a task remembers
 HOT_SHARE = 16  # a minimiser with a 16th of a task's even share of strings is hot
 TASK_BYTES, MOST_BYTES, MANY_TASKS = 48 << 20, 2 << 30, 20_000  # packed strings of a task: small while tasks are few
 BROADCAST_BYTES = 64 << 20
 SECOND_STEP = np.uint64(0xC4CEB9FE1A85EC53)  # of the second half of a digest
 LEAST_HOT, MOST_HOT = 64, 1 << 20  # strings of a minimiser from which it can be, and must be, hot
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * STEP)
-_POWERS = [np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        t = np.full(max(n, 256), STEP, dtype=np.uint64)
-        t[0] = 1
-        _POWERS[0] = np.multiply.accumulate(t)
-    return _POWERS[0]
+LONG_WORD = 1024  # bytes, beyond which a word is hashed by itself
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def word_hashes(norm: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of a text whose words are joined by single spaces."""
-    raw = np.frombuffer(norm, dtype=np.uint8)
-    gap = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], gap + 1)), np.append(gap, len(raw))
-    place = np.arange(len(raw)) - np.repeat(starts, np.append(np.diff(starts), len(raw) - starts[-1]))
-    value = _BYTES[raw] * _powers(int((ends - starts).max()) + 1)[place]
-    value[gap] = 0
-    return starts, ends, _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+    raw = np.frombuffer(norm + bytes(8), dtype=np.uint8)
+    gap = np.flatnonzero(raw[: len(norm)] == 32)
+    starts, ends = np.concatenate(([0], gap + 1)), np.append(gap, len(norm))
+    size = ends - starts
+    eight = np.ndarray(len(norm) + 1, dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from each place on
+    out = _mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * STEP)
+    more, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        left = size[more] - k
+        out[more] = _mix(out[more] * STEP + (eight[starts[more] + k] & _MASKS[np.minimum(left, 8)]))
+        more, k = more[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(norm[starts[i] : ends[i]])
+    return starts, ends, out
 
 
 def spans_hash(words: np.ndarray, size: int, step: np.uint64 = STEP) -> np.ndarray:
@@ -88,9 +90,9 @@ def minimisers(words: np.ndarray, window: int) -> np.ndarray:
     return least.view(np.int64)
 
 
-def super_kmers(minis: np.ndarray, longest: int = LONGEST_RUN) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each run with one minimiser, cut to ``longest``."""
-    first = np.concatenate(([0], np.flatnonzero(np.diff(minis)) + 1))
+def super_kmers(minis: np.ndarray, part: np.ndarray, longest: int = LONGEST_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run with one minimiser in one part, cut to ``longest``."""
+    first = np.concatenate(([0], np.flatnonzero((minis[1:] != minis[:-1]) | (part[1:] != part[:-1])) + 1))
     size = np.diff(np.append(first, len(minis)))
     pieces = -(-size // longest)
     if (pieces > 1).any():
@@ -100,39 +102,70 @@ def super_kmers(minis: np.ndarray, longest: int = LONGEST_RUN) -> tuple[np.ndarr
     return first, size
 
 
+class Piece(NamedTuple):
+    """Bytes and words (start, end, hash) of some texts; of each packed string: row of the text, place there, first word here, windows, minimiser."""
+
+    norm: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    mini: np.ndarray
+
+
 @dataclass(frozen=True)
 class Cut:
-    """How texts are cut: words of a window, words of a piece, windows of a packed string at most."""
+    """How texts are cut: words of a window, words that are in memory as arrays at a time, windows of a packed string at most."""
 
     window: int
     segment: int = SEGMENT
     longest: int = LONGEST_RUN
 
-    def pieces(self, text: str | None) -> Iterator[Piece]:
-        """Pieces of a text; each window lies in exactly one."""
-        ws = (text or "").encode().split()
-        for at in range(0, len(ws) - self.window + 1, self.segment):
-            norm = b" ".join(ws[at : at + self.segment + self.window - 1])
-            starts, ends, words = word_hashes(norm)
-            minis = minimisers(words, self.window)
-            yield Piece(at, norm, starts, ends, words, minis, *super_kmers(minis, self.longest))
-
-    def strings(self, piece: Piece, which: np.ndarray) -> list[bytes]:
-        last = piece.first[which] + piece.size[which] + self.window - 2
-        return [piece.norm[a:b] for a, b in zip(piece.starts[piece.first[which]].tolist(), piece.ends[last].tolist(), strict=True)]
-
+    def pieces(self, texts: pa.Array, t1: pa.Array | None = None, t2: pa.Array | None = None, met: Counter | None = None) -> Iterator[Piece]:
+        """Short texts together, long ones in several pieces; each window lies in exactly one.
+
+        With digests, a text that a task has met twice is left out from then on: all its windows are known to repeat, and
+        what is found of a text holds for its copies.
+        """
+        held: list[bytes] = []
+        parts: list[tuple[int, int, int]] = []
+        for row, text in enumerate(texts):
+            if met is not None:
+                name = (t1[row].as_py(), t2[row].as_py())
+                if met[name] > 1:
+                    continue
+                if len(met) >= MOST_MET:
+                    met.clear()
+                met[name] += 1
+            ws = (text.as_py() or "").encode().split()
+            for at in range(0, len(ws) - self.window + 1, self.segment):
+                part = ws[at : at + self.segment + self.window - 1]
+                held += part
+                parts.append((row, at, len(part)))
+                if len(held) >= self.segment:
+                    yield self._piece(held, parts)
+                    held, parts = [], []
+        if held:
+            yield self._piece(held, parts)
 
-class Piece(NamedTuple):
-    """Place of the first word, bytes, words by start, end and hash, minimisers of the windows, packed strings by first window and windows."""
+    def _piece(self, held: list[bytes], parts: list[tuple[int, int, int]]) -> Piece:
+        norm = b" ".join(held)
+        starts, ends, words = word_hashes(norm)
+        row, at, count = np.array(parts).T
+        windows = count - self.window + 1
+        part = np.repeat(np.arange(len(parts)), windows)
+        inside = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = (np.cumsum(count) - count)[part] + inside  # windows do not go over from one text to the next
+        minis = minimisers(words, self.window)[begin]
+        k, size = super_kmers(minis, part, self.longest)
+        return Piece(norm, starts, ends, words, row[part[k]], at[part[k]] + inside[k], begin[k], size, minis[k])
 
-    at: int
-    norm: bytes
-    starts: np.ndarray
-    ends: np.ndarray
-    words: np.ndarray
-    minis: np.ndarray
-    first: np.ndarray
-    size: np.ndarray
+    def strings(self, p: Piece, which: np.ndarray) -> list[bytes]:
+        last = p.first[which] + p.size[which] + self.window - 2
+        return [p.norm[a:b] for a, b in zip(p.starts[p.first[which]].tolist(), p.ends[last].tolist(), strict=True)]
 
 
 def _schema(*names: str) -> pa.Schema:
@@ -144,9 +177,8 @@ def _count_task(cut: Cut):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p.minis[p.first] for text in batch.column(0) for p in cut.pieces(text.as_py())]
-            if found:
-                yield batch_of(schema, *np.unique(np.concatenate(found), return_counts=True))
+            for p in cut.pieces(batch.column(0)):
+                yield batch_of(schema, *np.unique(p.mini, return_counts=True))
 
     return run
 
@@ -159,39 +191,45 @@ def _pack_task(cut: Cut, hot: Broadcast):
     schema = _schema("t1", "t2", "first", "mini").append(pa.field("packed", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
         for batch in batches:
-            for text, t1, t2 in zip(*batch.columns, strict=True):
-                for p in cut.pieces(text.as_py()):
-                    mine = np.flatnonzero(~np.isin(p.minis[p.first], hot.value))
-                    n, first = len(mine), p.first[mine]
-                    yield batch_of(schema, np.full(n, t1.as_py()), np.full(n, t2.as_py()), first + p.at, p.minis[first], cut.strings(p, mine))
+            t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
+            for p in cut.pieces(*batch.columns, met):
+                mine = np.flatnonzero(~np.isin(p.mini, hot.value))
+                row = p.row[mine]
+                yield batch_of(schema, t1[row], t2[row], p.place[mine], p.mini[mine], cut.strings(p, mine))
 
     return run
 
 
-def _hot_task(cut: Cut, hot: Broadcast, with_windows: bool):
-    """Strings of hot minimisers by their digests: either the digests of their windows, or their text and first window."""
-    if with_windows:
-        schema = _schema("s1", "s2").append(pa.field("d1", pa.list_(pa.int64()))).append(pa.field("d2", pa.list_(pa.int64())))
-    else:
-        schema = _schema("s1", "s2", "t1", "t2", "first")
+HOT = "s1 long, s2 long, t1 long, t2 long, first long, d1 array<long>, d2 array<long>"
+
+
+def _hot_task(cut: Cut, hot: Broadcast):
+    """Strings of hot minimisers by their digests: text, place, and of the first in a task the digests of its windows."""
+    fields = [pa.field("d1", pa.list_(pa.int64())), pa.field("d2", pa.list_(pa.int64()))]
+    schema = pa.schema([*_schema("s1", "s2", "t1", "t2", "first"), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        told: set[int] = set()
         for batch in batches:
-            for text, t1, t2 in zip(*batch.columns, strict=True):
-                for p in cut.pieces(text.as_py()):
-                    mine = np.flatnonzero(np.isin(p.minis[p.first], hot.value))
-                    if not len(mine):
-                        continue
-                    digests = [divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in cut.strings(p, mine)]
-                    s1, s2 = np.array(digests, dtype=np.uint64).view(np.int64).T
-                    if not with_windows:
-                        n = len(mine)
-                        yield batch_of(schema, s1, s2, np.full(n, t1.as_py()), np.full(n, t2.as_py()), p.first[mine] + p.at)
-                        continue
-                    halves = spans_hash(p.words, cut.window), spans_hash(_mix(p.words + STEP), cut.window, SECOND_STEP)
-                    ranges = list(zip(p.first[mine].tolist(), (p.first + p.size)[mine].tolist(), strict=True))
-                    yield batch_of(schema, s1, s2, *[[h.view(np.int64)[a:b] for a, b in ranges] for h in halves])
+            t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
+            for p in cut.pieces(*batch.columns, met):
+                mine = np.flatnonzero(np.isin(p.mini, hot.value))
+                if not len(mine):
+                    continue
+                digests = [xxhash.xxh3_128_intdigest(x) for x in cut.strings(p, mine)]
+                s1, s2 = np.array([divmod(x, 1 << 64) for x in digests], dtype=np.uint64).view(np.int64).T
+                halves = spans_hash(p.words, cut.window), spans_hash(_mix(p.words + STEP), cut.window, SECOND_STEP)
+                ranges = []
+                for x, a, n in zip(digests, p.first[mine].tolist(), p.size[mine].tolist(), strict=True):
+                    ranges.append(None if x in told else (a, a + n))
+                    told.add(x)
+                if len(told) > MOST_MET:
+                    told.clear()
+                row = p.row[mine]
+                yield batch_of(schema, s1, s2, t1[row], t2[row], p.place[mine], *[[r and h.view(np.int64)[r[0] : r[1]] for r in ranges] for h in halves])
 
     return run
 
@@ -267,16 +305,17 @@ def _tasks(docs: DataFrame, size: int) -> int:
 
 def _hot_windows(texts: DataFrame, cut: Cut, hot: Broadcast) -> DataFrame:
     """t1, t2, first, n of repeated windows whose minimiser is hot."""
-    strings = texts.mapInArrow(_hot_task(cut, hot, True), "s1 long, s2 long, d1 array<long>, d2 array<long>")
-    apart = strings.groupBy("s1", "s2").agg(F.count("*").alias("c"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
-    apart = written(apart, "substring-strings")
+    strings = written(texts.mapInArrow(_hot_task(cut, hot), HOT), "substring-strings")
+    apart = strings.groupBy("s1", "s2").agg(F.count("*").alias("c"), F.first("d1", True).alias("d1"), F.first("d2", True).alias("d2"))
     single = apart.select("s1", "s2", "c", F.posexplode(F.arrays_zip("d1", "d2")).alias("offset", "d")).select("s1", "s2", "c", "offset", "d.d1", "d.d2")
-    again = single.groupBy("d1", "d2").agg(F.sum("c").alias("c")).filter("c > 1").select("d1", "d2")
+    single = written(single, "substring-windows")
+    # Written, so that windows of very many strings can be split over tasks in the join.
+    again = written(single.groupBy("d1", "d2").agg(F.sum("c").alias("c")).filter("c > 1").select("d1", "d2"), "substring-again")
     # Runs of repeated windows inside each different string, then their places in all texts.
     step = F.row_number().over(w.Window.partitionBy("s1", "s2").orderBy("offset"))
     runs = single.drop("c").join(again, ["d1", "d2"]).withColumn("run", F.col("offset") - step)
     runs = written(runs.groupBy("s1", "s2", "run").agg(F.min("offset").alias("offset"), F.count("*").alias("n")), "substring-runs")
-    places = texts.mapInArrow(_hot_task(cut, hot, False), "s1 long, s2 long, t1 long, t2 long, first long").distinct()
+    places = strings.select("s1", "s2", "t1", "t2", "first")
     return places.join(runs, ["s1", "s2"]).select("t1", "t2", (F.col("first") + F.col("offset")).alias("first"), "n")
 
 
@@ -287,10 +326,12 @@ def windows_of_texts(docs: DataFrame, cut: Cut) -> DataFrame:
     context = docs.sparkSession.sparkContext
     size = 3 * (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)  # packed strings overlap
     tasks = _tasks(docs, size)
-    # At most 16 HOT_SHARE tasks minimisers can be hot: a packed string of the default window has 70 bytes at least.
-    counts = texts.select("text").mapInArrow(_count_task(cut), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
+    # Which ones are hot only decides their way, so the strings of one text in ``ONE_IN`` say it. At most 16 HOT_SHARE tasks
+    # minimisers can be hot: a packed string of the default window has 70 bytes at least.
+    some = texts.filter(F.rand(7) * ONE_IN < 1).select("text")
+    counts = some.mapInArrow(_count_task(cut), "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
     bound = max(LEAST_HOT, min(size // (400 * HOT_SHARE * tasks), MOST_HOT))
-    found = counts.filter(F.col("n") > bound).select("mini").toArrow()
+    found = counts.filter(F.col("n") * ONE_IN > bound).select("mini").toArrow()
     hot = context.broadcast(np.sort(found.column(0).to_numpy().astype(np.int64)))
     packed = texts.mapInArrow(_pack_task(cut, hot), PACKED)
     runs = packed.repartition(tasks, "mini").sortWithinPartitions("mini").mapInArrow(_bucket_task(cut.window), FOUND)
