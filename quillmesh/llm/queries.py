@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, spelling, substring_dedup, toxicity, warc
+from quillmesh.llm import chat, decontaminate, html_text, licenses, lm_score, ngram_join, packing, repair, spelling, substring_dedup, toxicity, warc
 from quillmesh.llm import exact_dedup as dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,6 +227,57 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word) WH
 """
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(given), given)
+
+
+def _state_sql(state: int) -> str:
+    """Costs and letters of one row's edits from a state, costs to go and letters of the rest behind them: the best, then with inserts."""
+    fill, word = {0: 2, 1: 2, 2: 3, 3: 2}[state], "assistant" if state == 2 else "user"
+    row = lambda cost, letter, to, line: f"{{'c': g{to}.c + {cost}, 'a': '{letter}' || g{to}.a, 'x': {line} || g{to}.x}}"
+    keep = {0: "CASE r.i WHEN 's' THEN g1 WHEN 'u' THEN g2 END", 1: "CASE r.i WHEN 'u' THEN g2 END", 2: "CASE r.i WHEN 'a' THEN g3 END", 3: "CASE r.i WHEN 'u' THEN g2 END"}[state]
+    kept = f"CASE WHEN NOT gone AND ({keep}) IS NOT NULL THEN {{'c': ({keep}).c + extra, 'a': 'K' || ({keep}).a, 'x': chr(10) || role || ':' || text || ({keep}).x}} END"
+    other = "CASE WHEN NOT gone THEN " + row("1 + extra", "R", fill, f"chr(10) || '{word}:' || text") + " END"
+    return f"list_min(list_filter([{row('2', 'D', state, chr(39) * 2)}, {kept}, {other}], lambda v: v IS NOT NULL))"
+
+
+def op13_sql() -> str:
+    """Rows from the last to the first, with the best (cost, letters, text) from each of the four states of the form."""
+    ins = lambda h, to, word: f"{{'c': {h}{to}.c + 5, 'a': 'I' || {h}{to}.a, 'x': chr(10) || '{word}:' || {h}{to}.x}}"
+    states = ", ".join(f"{_state_sql(q)} AS h{q}" for q in range(4))
+    # An insertion before the row, or two.
+    once = "list_min([h2, " + ins("h", 3, "assistant") + "]) AS k2, list_min([h3, " + ins("h", 2, "user") + "]) AS k3, h0, h1"
+    closed = f"list_min([h0, {ins('k', 2, 'user')}]) AS g0, list_min([h1, {ins('k', 2, 'user')}]) AS g1, list_min([k2, {ins('k', 3, 'assistant')}]) AS g2, list_min([k3, {ins('k', 2, 'user')}]) AS g3"
+    return f"""
+WITH RECURSIVE {CRC_TABLE}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations, tab
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(generate_series(1, CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM given WHERE k <> 0)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS t, left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d
+), r AS (
+  SELECT *, last = '' AS blank, last <> '' AND NOT first AS duplicate, last <> '' AND first AND last NOT IN ('.', '!', '?') AS truncated, last = '' OR NOT first AS gone, CASE WHEN last NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra,
+    lead(i) OVER (PARTITION BY conv_id ORDER BY t) AS then_i
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY t) = 1 AS first FROM n)
+), go AS (
+  SELECT conv_id, max(t) + 1 AS t, {{'c': 0, 'a': '', 'x': ''}} AS g0, {{'c': 10, 'a': 'II', 'x': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS g1, {{'c': 5, 'a': 'I', 'x': chr(10) || 'assistant:'}} AS g2, {{'c': 0, 'a': '', 'x': ''}} AS g3 FROM r GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, t, {closed} FROM (SELECT conv_id, t, {once} FROM (
+    SELECT r.conv_id, r.t, {states} FROM go JOIN r ON r.conv_id IS NOT DISTINCT FROM go.conv_id AND r.t = go.t - 1
+  ))
+), best AS (SELECT conv_id, g0.c AS cost, g0.a AS audit, g0.x AS x FROM go WHERE t = 1
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE then_i IS NOT NULL AND i || then_i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(x[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -239,8 +290,9 @@ def queries() -> dict[str, Query]:
         "op1_html_text": op1_html_text, "op2_ngram_join": op2_ngram_join, "op3_chat_formatting": op3_chat_formatting, "op4_warc": op4_warc, "op5_exact_dedup": op5_exact_dedup, "op6_toxicity": op6_toxicity,
         "op7_lm_score": op7_lm_score, "op8_decontamination": op8_decontamination, "op9_packing": op9_packing, "op10_license_scan": op10_license_scan,
         "op11_substring_dedup": op11_substring_dedup, "op12_spelling_variants": op12_spelling_variants,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql(), "op11_substring_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_license_scan": op10_sql(), "op11_substring_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_structure_repair": op13_sql()}
