@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import exp
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
@@ -49,11 +51,40 @@ def side_by_side(finals: DataFrame, key: str, column: str, values: list) -> Data
     return finals.groupBy(key).agg(*[F.avg(F.when(F.col(column) == v, F.col("accuracy"))).alias(f"{column}_{v}") for v in values])
 
 
-def findings(finals: DataFrame, named: list[tuple[str, str, str, str]]) -> DataFrame:
-    """finding, value of each (name, run, other run, measure): accuracy differences in percentage points, minutes as they are. One pass, no join."""
-    of = lambda run, m: F.max(F.when(F.col("run") == run, F.col(m)))
-    deltas = [F.struct(F.lit(name).alias("finding"), ((of(a, m) - of(b, m)) * (100 if m == "accuracy" else 1)).alias("value")) for name, a, b, m in named]
-    return finals.agg(F.array(*deltas).alias("d")).select(F.inline("d"))
+def findings(rounds: DataFrame, named: list[tuple[str, str, int, str, int, str]]) -> DataFrame:
+    """finding, value of each (name, run, round, other run, its round, measure) over (run, round, accuracy, minutes).
+
+    Accuracy differences are in percentage points, minutes as they are. One pass, no join.
+    """
+    of = lambda run, r, m: F.max(F.when((F.col("run") == run) & (F.col("round") == r), F.col(m)))
+    deltas = [F.struct(F.lit(name).alias("finding"), ((of(a, i, m) - of(b, j, m)) * (100 if m == "accuracy" else 1)).alias("value")) for name, a, i, b, j, m in named]
+    return rounds.agg(F.array(*deltas).alias("d")).select(F.inline("d"))
+
+
+def poisson_weight(key: Column, replicate: Column, largest: int = 8) -> Column:
+    """How often a row is drawn in a replicate: Poisson(1) by inversion of a number from the md5 of (replicate, key)."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    below, term, steps = 0.0, exp(-1), []
+    for k in range(largest):
+        below += term
+        steps.append((u >= below).cast("int"))
+        term /= k + 1
+    return sum(steps[1:], steps[0])
+
+
+def bootstrap(rows: DataFrame, key: str, value: str, *groups: str, replicates: int = 20, level: float = 0.9) -> DataFrame:
+    """groups, n, mean, low, high: the mean of ``value`` with a Poisson bootstrap interval.
+
+    A row's draws depend on its key alone, so one pass with map-side sums gives all replicates: what is shuffled is a row for each
+    group, replicate and task, and any order or partitioning gives the same interval.
+    """
+    drawn = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("_b"))
+    weight = F.when(F.col("_b") == 0, 1).otherwise(poisson_weight(F.col("_k"), F.col("_b")))  # replicate 0 is the sample itself
+    sums = drawn.withColumn("_w", weight).groupBy(*groups, "_b").agg(F.sum("_w").alias("w"), F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("m"))
+    means = F.when(F.col("_b") > 0, F.col("m"))
+    edge = (1 - level) / 2
+    first = lambda c: F.max(F.when(F.col("_b") == 0, F.col(c)))
+    return sums.groupBy(*groups).agg(first("w").alias("n"), first("m").alias("mean"), F.percentile(means, edge).alias("low"), F.percentile(means, 1 - edge).alias("high"))
 
 
 def friedman(runs: DataFrame) -> DataFrame:

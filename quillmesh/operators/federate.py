@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.expr import mu_of, squared_distance
@@ -46,13 +47,26 @@ def as_vectors(model: DataFrame, *keys: str) -> DataFrame:
     return per_label.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("model"))
 
 
-def predict(samples: DataFrame, models: DataFrame) -> DataFrame:
-    """Adds ``pred``, the label of the nearest centroid (the smaller label on ties), for every pair of sample and model row.
+BROADCAST_MODELS = 10_000
 
-    Models are few rows, one for each node or one in all, so the pairing is a broadcast join without a shuffle of samples.
+
+def predict(samples: DataFrame, models: DataFrame, pairs: Column | None = None) -> DataFrame:
+    """Adds ``pred``, the label of the nearest centroid (the smaller label on ties), for every pair of sample and model row that ``pairs`` allows.
+
+    Up to ``BROADCAST_MODELS`` models, a row each, ride in a broadcast; more are dealt to blocks of so many, and a sample meets
+    the blocks one after the other.
     """
     far = F.transform("model", lambda m: F.struct(squared_distance(m["c"], F.col("x")).alias("d"), m["label"].alias("label")))
-    return samples.crossJoin(F.broadcast(models)).withColumn("pred", F.array_min(far)["label"]).drop("model")
+    blocks = max(1, -(-models.count() // BROADCAST_MODELS))
+    names = [c for c in models.columns if c != "model"]
+    models = models.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks)) if names else F.lit(0))
+    out = None
+    for k in range(blocks):
+        block = F.broadcast(models.filter(F.col("_block") == k).drop("_block"))
+        met = samples.crossJoin(block) if pairs is None else samples.join(block, pairs)
+        part = met.withColumn("pred", F.array_min(far)["label"]).drop("model")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 class LocalModel(Protocol):
@@ -105,7 +119,7 @@ class Strategy:
 
     def aggregate(self, local: DataFrame) -> DataFrame:
         """(node, n, layer, w) of all clients -> (node, layer, w) that each starts the next round with."""
-        shared = weights.assemble(weights.fedavg(local)).select("layer", F.col("w").alias("given"))
+        shared = weights.average(local).select("layer", F.col("w").alias("given"))
         own = F.col("layer").isin(list(self.keep_local)) if self.keep_local else F.lit(False)
         return local.join(shared, "layer").select("node", "layer", F.when(own, F.col("w")).otherwise(F.col("given")).alias("w"))
 
@@ -134,24 +148,29 @@ Models = dict[str, list[np.ndarray]]
 
 
 def _partials(work: Callable[[list[np.ndarray], np.ndarray, np.ndarray], tuple], models: Models) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For each node of an Arrow batch: examples, the sum that ``work`` gives, and its arrays' elements one after the other."""
+    """For each node in a task: examples, the sum that ``work`` gives, and its arrays' elements one after the other; one row leaves."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
         for pdf in frames:
             for node, rows in pdf.groupby("node"):
                 total, parts = work(models[node], np.stack(rows["x"].to_numpy()), rows["label"].to_numpy())
-                yield pd.DataFrame({"node": [node], "n": [len(rows)], "total": [total], "parts": [np.concatenate([p.ravel() for p in parts])]})
+                flat = np.concatenate([p.ravel() for p in parts])
+                n, before, sums = held.get(node, (0, 0.0, 0.0))
+                held[node] = [n + len(rows), before + total, sums + flat]
+        if held:
+            n, total, parts = zip(*held.values(), strict=True)
+            yield pd.DataFrame({"node": list(held), "n": n, "total": total, "parts": parts})
 
     return run
 
 
 def _summed(samples: DataFrame, work, models: Models) -> dict[str, tuple[int, float, np.ndarray]]:
-    """Sums over all samples of each node. A row leaves a batch, as wide as the model; what comes back is a model for each node."""
+    """Sums over all samples of each node. A row for each node leaves a task, as wide as the model; what comes back is a model for each node."""
     rows = samples.select("node", "x", "label").mapInPandas(_partials(work, models), "node string, n long, total double, parts array<double>")
-    totals = rows.groupBy("node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    flat = rows.select("node", F.posexplode("parts").alias("pos", "v")).groupBy("node", "pos").agg(F.sum("v").alias("v"))
-    parts = flat.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("parts"))
-    return {r["node"]: (r["n"], r["total"], np.array(r["parts"])) for r in totals.join(parts, "node").collect()}
+    both = F.concat(F.array(F.col("n").cast("double"), "total"), "parts")
+    sums = weights.totals(rows.select("node", F.lit(1).alias("n"), F.lit(0).alias("layer"), both.alias("w")), "node")
+    return {r["node"]: (round(r["sums"][0]), r["sums"][1], np.array(r["sums"][2:])) for r in sums.collect()}
 
 
 def _layers(like: list[np.ndarray], flat: np.ndarray) -> list[np.ndarray]:
@@ -231,6 +250,126 @@ def run_rounds(
     return evaluate_metrics(out) if evaluate_metrics else out
 
 
+@dataclass(frozen=True)
+class LocalConfig:
+    """Local training of a round: passes over the samples, samples of a step, and the optimiser's (Adam's) settings."""
+
+    epochs: int = 5
+    batch: int = 8
+    rate: float = 0.001
+    decay: tuple[float, float] = (0.9, 0.999)
+    epsilon: float = 1e-8
+    seed: int = 42
+    part_rows: int = 50_000  # samples of a node that a task trains on
+
+
+def local_epochs(x: np.ndarray, y: np.ndarray, order: list[str], start: list[np.ndarray], model: LocalModel, config: LocalConfig, mu: float, round_no: int) -> tuple[list[np.ndarray], float, int]:
+    """Trains on one part of a node: weights, loss summed over samples, samples seen.
+
+    Every epoch goes through the samples in an order of its own, by md5 of seed, round, epoch and the sample's order key. The
+    moments start at zero in every round; with ``mu`` each step also pulls towards ``start``, and its loss says so.
+    """
+    now = [w.copy() for w in start]
+    first, second = [np.zeros_like(w) for w in now], [np.zeros_like(w) for w in now]
+    lost, seen, step = 0.0, 0, 0
+    for epoch in range(config.epochs):
+        keys = [md5(f"{config.seed}:{round_no}:{epoch}:{o}".encode()).hexdigest() for o in order]
+        deal = sorted(range(len(keys)), key=keys.__getitem__)
+        for at in range(0, len(deal), config.batch):
+            rows = deal[at : at + config.batch]
+            loss, gradients = model.gradients(now, x[rows], y[rows])
+            far = [w - w0 for w, w0 in zip(now, start, strict=True)]
+            lost += loss + len(rows) * mu / 2 * sum(float((d**2).sum()) for d in far)
+            seen, step = seen + len(rows), step + 1
+            for k, g in enumerate(gradients):
+                g = g / len(rows) + mu * far[k]
+                first[k] = config.decay[0] * first[k] + (1 - config.decay[0]) * g
+                second[k] = config.decay[1] * second[k] + (1 - config.decay[1]) * g * g
+                m, v = first[k] / (1 - config.decay[0] ** step), second[k] / (1 - config.decay[1] ** step)
+                now[k] = now[k] - config.rate * m / (np.sqrt(v) + config.epsilon)
+    return now, lost, seen
+
+
+def _parts(samples: DataFrame, models: DataFrame, part_rows: int):
+    """Samples and models by (node, part): a node's samples are dealt to parts of ``part_rows`` by their order key, each with the node's model."""
+    sizes = samples.groupBy("node").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    dealt = samples.join(sizes, "node").withColumn("part", F.pmod(F.conv(F.substring("ord", 5, 6), 16, 10).cast("int"), F.col("parts")))
+    given = models.join(sizes, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("node", "part", "label", "ord", "x").groupBy("node", "part").cogroup(given.select("node", "part", "layer", "w").groupBy("node", "part"))
+
+
+def _shaped(rows: pd.DataFrame, like: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.array(w, dtype=float).reshape(like[k].shape) for k, w in enumerate(rows.sort_values("layer")["w"])]
+
+
+def fit_locally(train: DataFrame, models: DataFrame, model: LocalModel, config: LocalConfig, mu: float, round_no: int) -> DataFrame:
+    """(node, label, ord, x) and (node, layer, w) -> node, part, n, layer, w, loss, seen: one job, each part trained where its samples are."""
+
+    def work(key, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or given.empty:
+            return pd.DataFrame(columns=["node", "part", "n", "layer", "w", "loss", "seen"])
+        rows = rows.sort_values("ord")
+        start = _shaped(given, model.initial())
+        trained, loss, seen = local_epochs(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(), rows["ord"].tolist(), start, model, config, mu, round_no)
+        n = len(rows)
+        return pd.DataFrame([(key[0], key[1], n, k, w.ravel().tolist(), loss, seen) for k, w in enumerate(trained)], columns=["node", "part", "n", "layer", "w", "loss", "seen"])
+
+    return _parts(train, models, config.part_rows).applyInPandas(work, "node string, part int, n long, layer int, w array<double>, loss double, seen long")
+
+
+def score_locally(samples: DataFrame, models: DataFrame, model: LocalModel, part_rows: int = 50_000) -> DataFrame:
+    """node, num_examples, loss, accuracy of each node's model on its samples."""
+
+    def work(key, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or given.empty:
+            return pd.DataFrame(columns=["node", "n", "loss", "correct"])
+        log_p, y = model.scores(_shaped(given, model.initial()), np.stack(rows["x"].to_numpy())), rows["label"].to_numpy()
+        return pd.DataFrame([(key[0], len(y), -float(log_p[np.arange(len(y)), y].sum()), int((log_p.argmax(axis=1) == y).sum()))], columns=["node", "n", "loss", "correct"])
+
+    sums = _parts(samples, models, part_rows).applyInPandas(work, "node string, n long, loss double, correct long")
+    total = sums.groupBy("node").agg(F.sum("n").alias("num_examples"), F.sum("loss").alias("loss"), F.sum("correct").alias("correct"))
+    return total.select("node", "num_examples", F.try_divide("loss", "num_examples").alias("loss"), F.try_divide("correct", "num_examples").alias("accuracy"))
+
+
+def local_rounds(
+    samples: DataFrame, plan: Strategy, *, written: Callable[[DataFrame], DataFrame], model: LocalModel | None = None, rounds: int = 3, patience: int | None = None,
+    fit_config: Callable[[int], LocalConfig] = lambda r: LocalConfig(), fit_metrics: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rounds of local epochs over (node, split, label, ord, x): (round, node, num_examples, train_loss, loss, accuracy; final node, layer, w).
+
+    Models are a table (node, layer, w), never on the driver. A round is a training job whose parts are merged by their samples, an
+    average, and a scoring job; each is written. With ``patience``, rounds end when the loss over all nodes has not
+    fallen for so many of them. ``fit_metrics`` turns (round, node, n, train_loss) into what is joined to a round's rows by node.
+    A start with fewer than ``min_clients`` nodes raises.
+    """
+    model = model or Softmax()
+    samples = written(samples.select("node", "split", "label", "ord", "x"))
+    train, val = samples.filter("split = 'train'"), samples.filter("split = 'val'")
+    nodes = written(train.select("node").distinct())
+    if (n := nodes.count()) < plan.min_clients:
+        raise ValueError(f"{n} nodes of {plan.min_clients} take part")
+    first = F.array(*[F.struct(F.lit(k).alias("layer"), F.lit(w.ravel().tolist()).cast("array<double>").alias("w")) for k, w in enumerate(model.initial())])
+    models, out, best, waited = written(nodes.select("node", F.inline(first))), None, None, 0
+    for r in range(1, rounds + 1):
+        parts = written(fit_locally(train, models, model, fit_config(r), plan.mu, r))
+        heads = parts.filter("layer = 0").groupBy("node").agg(F.sum("n").alias("n"), F.try_divide(F.sum("loss"), F.sum("seen")).alias("train_loss"))
+        local = weights.average(parts, "node").join(heads.select("node", "n"), "node")
+        models = written(plan.aggregate(local))
+        scored = score_locally(val, models, model).join(heads, "node").withColumn("round", F.lit(r))
+        extra = fit_metrics(heads.withColumn("round", F.lit(r))) if fit_metrics else None
+        if extra is not None:
+            scored = scored.join(extra.drop("round"), "node", "left")
+        more = [c for c in extra.columns if c not in ("round", "node")] if extra is not None else []
+        done = written(scored.select("round", "node", "num_examples", "train_loss", "loss", "accuracy", *more))
+        out = done if out is None else out.unionByName(done)
+        now = done.agg(metrics.weighted(F.col("loss"), F.col("num_examples"))).first()[0]
+        waited = 0 if best is None or (now is not None and now < best) else waited + 1
+        best = now if best is None or (now is not None and now < best) else best
+        if patience is not None and waited >= patience:
+            break
+    return out, models
+
+
 def summary(per_node: DataFrame) -> DataFrame:
     """Round metrics over all nodes, weighted by examples."""
     return metrics.aggregate_round(per_node, "round")

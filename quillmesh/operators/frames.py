@@ -35,3 +35,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     both = both.unionByName(right.select(key, ts, F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
     last = F.last("_v", ignorenulls=True).over(w.Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(w.Window.unboundedPreceding, 0))
     return both.withColumn(value, last).filter("_side = 1").drop("_side", "_v")
+
+
+def as_of_within(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tolerance_s: int) -> DataFrame:
+    """Each left row with the last right value at or before it, no older than the tolerance; null where there is none.
+
+    Time is cut into ranges as long as the tolerance: what a row can meet is in its own range or in the one before, whose
+    last value is carried over. So a key of any number of rows is split by time, and no task sorts it whole.
+    """
+    step = tolerance_s * 1_000_000
+    place = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / step)
+    own = [c for c in left.columns if c not in (key, ts)]
+    seen = right.filter(F.col(ts).isNotNull()).select(key, ts, F.struct(F.col(ts).alias("at"), F.col(value).alias("value")).alias("_v"), place.alias("_p"))
+    last = seen.groupBy(key, "_p").agg(F.max_by("_v", ts).alias("_v")).select(key, F.col("_v.at").alias(ts), "_v", (F.col("_p") + 1).alias("_p"))
+    both = left.select(key, ts, place.alias("_p"), F.lit(1).alias("_side"), F.struct(*own).alias("_row"))
+    both = both.unionByName(seen.unionByName(last).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    by = w.Window.partitionBy(key, "_p").orderBy(ts, "_side").rowsBetween(w.Window.unboundedPreceding, 0)
+    met = both.withColumn("_m", F.last("_v", ignorenulls=True).over(by)).filter("_side = 1")
+    age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_m.at").cast("timestamp"))
+    return met.select(key, ts, "_row.*", F.when(age <= step, F.col("_m.value")).alias(value))

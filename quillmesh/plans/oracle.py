@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 IMG = "img AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 'Fire' ELSE 'No_Fire' END AS class FROM embeddings)"
 TOX = "img AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'Fire' ELSE 'No_Fire' END AS class FROM labels JOIN documents USING (doc_id))"
 IID = "iid AS (SELECT id, class, 'node_' || chr(CAST(96 + ntile(3) OVER (PARTITION BY class ORDER BY md5('42:' || id), id) AS INT)) AS node FROM img)"
@@ -56,7 +58,7 @@ PARSED = f"""{LOG}, p AS (SELECT event_id, ts, value, {field('RAM\\s+(\\d+)/(\\d
   {field('\\bCPU\\s+(\\d+)/(\\d+)\\b', 1, 'INT')} AS power_cpu_mw, {field('\\bSOC\\s+(\\d+)/(\\d+)\\b', 1, 'INT')} AS power_soc_mw, {field('\\bCV\\s+(\\d+)/(\\d+)\\b', 1, 'INT')} AS power_cv_mw,
   {field('cpu@([\\d.]+)C', 1, 'DOUBLE')} AS temp_cpu_c, {field('gpu@([\\d.]+)C', 1, 'DOUBLE')} AS temp_gpu_c, {field('soc2@([\\d.]+)C', 1, 'DOUBLE')} AS temp_soc_c, {field('tj@([\\d.]+)C', 1, 'DOUBLE')} AS temp_tj_c FROM lines),
 tot AS (SELECT *, coalesce(power_gpu_mw, 0) + coalesce(power_cpu_mw, 0) + coalesce(power_soc_mw, 0) AS mw FROM p)"""
-FRAMES = """fe AS (SELECT date_trunc('hour', ts) AS frame, CASE event_type WHEN 'view' THEN 'color' WHEN 'click' THEN 'depth' WHEN 'error' THEN 'ir' END AS stream, ts FROM events),
+FRAMES = """fe AS (SELECT date_trunc('hour', ts) AS frame, CASE WHEN event_type IN ('view', 'purchase') THEN 'color' WHEN event_type IN ('click', 'signup') THEN 'depth' WHEN event_type = 'error' THEN 'ir' END AS stream, ts FROM events),
 fr AS (SELECT frame, min(ts) FILTER (WHERE stream = 'color') AS color_ts, min(ts) FILTER (WHERE stream = 'depth') AS depth_ts, min(ts) FILTER (WHERE stream = 'ir') AS ir_ts, count(*) AS n_events
   FROM fe WHERE stream IS NOT NULL GROUP BY frame HAVING count(DISTINCT stream) = 3)"""
 RUNS = """runs AS (SELECT o_orderpriority AS run, o_custkey % 3 AS seed, (month(o_orderdate) - 1) % 3 + 1 AS round, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS accuracy, avg(o_totalprice) / 60 AS minutes
@@ -69,8 +71,9 @@ def r(x: str, digits: int = 6) -> str:
 
 POWER = f"""count(*) AS num_samples, {r('count(*) * (100 / 1000.0)::DOUBLE', 2)} AS duration_s, {r('max(mw / 1000.0::DOUBLE)', 3)} AS power_max_w, {r('avg(mw / 1000.0::DOUBLE)', 3)} AS power_avg_w"""
 
-#: The watermark of the streams at their end.
-CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+MESSAGES = """vx AS (SELECT vec_id % 3 AS node, vec_id // 3 % 3 + 1 AS round, i - 1 AS place, embedding[i]::DOUBLE AS v FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+msg AS (SELECT node, round, place, avg(v) AS moved, count(*) AS n FROM vx GROUP BY ALL), giv AS (SELECT round, place, avg(v) AS given FROM vx GROUP BY ALL),
+init AS (SELECT vec_id AS node, i - 1 AS place, embedding[i]::DOUBLE AS w FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE vec_id < 3))"""
 
 
 def rounds(mu: float = 0.0, keep: str = "FALSE", node: str = "node", n_rounds: int = 3, epochs: int = 2, batches: int = 2, rate: float = 0.5) -> str:
@@ -111,6 +114,61 @@ def rounds(mu: float = 0.0, keep: str = "FALSE", node: str = "node", n_rounds: i
     return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(out)
 
 
+def poisson(u: str) -> str:
+    """Poisson(1) by inversion, up to 8."""
+    below, term, parts = 0.0, exp(-1), []
+    for k in range(8):
+        below, term = below + term, term / (k + 1)
+        parts.append(f"CASE WHEN {u} >= {below!r}::DOUBLE THEN 1 ELSE 0 END")
+    return "(" + " + ".join(parts) + ")"
+
+
+def field_of(text: str, pattern: str, group: int) -> str:
+    return f"TRY_CAST(regexp_extract({text}, '{pattern}', {group}) AS INT)"
+
+
+def local_epochs(mu: float = 0.1, n_rounds: int = 2, epochs: int = 2, batch: int = 64, steps: int = 8, rate: float = 0.05) -> str:
+    """Local epochs with Adam, written out: each step is a table. For nodes of up to ``batch * steps`` training samples."""
+    step, out, last = 0, [], "w0"
+    ctes = [
+        PLACED,
+        "px AS MATERIALIZED (SELECT id, node, split, label, i - 1 AS pos, CASE WHEN i > 64 THEN 1.0::DOUBLE ELSE x[i] END AS v, i > 64 AS layer FROM (SELECT *, unnest(generate_series(1, 65)) AS i FROM placed))",
+        "w0 AS MATERIALIZED (SELECT node, class, pos, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT DISTINCT node, pos FROM px WHERE split = 'train'), range(10) c(class))",
+        "clients AS MATERIALIZED (SELECT node, count(DISTINCT id) AS n FROM px WHERE split = 'train' GROUP BY node)",
+    ]
+
+    def scored(name: str, model: str, rows: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT *, z - top - ln(sum(exp(z - top)) OVER (PARTITION BY id)) AS lp FROM (
+          SELECT *, max(z) OVER (PARTITION BY id) AS top FROM (SELECT px.id, px.node, px.label, m.class, sum(m.w * px.v) AS z FROM px JOIN {model} m ON m.node = px.node AND m.pos = px.pos WHERE px.id IN ({rows}) GROUP BY ALL)))"""
+
+    for k in range(1, n_rounds + 1):
+        start, losses = last, []
+        for e in range(epochs):
+            deal = f"d{k}_{e}"
+            ctes.append(f"{deal} AS MATERIALIZED (SELECT id, node, (row_number() OVER (PARTITION BY node ORDER BY md5('42:{k}:{e}:' || md5('order:' || id))) - 1) // {batch} AS b FROM placed WHERE split = 'train')")
+            for at in range(steps):
+                step += 1
+                s, before = f"s{step}", last
+                ctes.append(scored(s, before, f"SELECT id FROM {deal} WHERE b = {at}"))
+                ctes.append(f"n{step} AS MATERIALIZED (SELECT c.node, count(DISTINCT id) AS n, any_value({e} * ceil(c.n / {batch}) + {at} + 1) AS t FROM {s} JOIN clients c USING (node) GROUP BY c.node)")
+                ctes.append(f"g{step} AS MATERIALIZED (SELECT px.node, class, pos, sum((exp(lp) - CASE WHEN class = px.label THEN 1 ELSE 0 END) * v) AS g FROM {s} JOIN px USING (id, node) GROUP BY ALL)")
+                ctes.append(f"""l{step} AS MATERIALIZED (SELECT n{step}.node, n, (SELECT sum(-lp) FROM {s} WHERE class = label AND {s}.node = n{step}.node)
+                  + n * {mu / 2}::DOUBLE * (SELECT sum(pow(b.w - a.w, 2)) FROM {before} b JOIN {start} a USING (node, class, pos) WHERE b.node = n{step}.node) AS loss FROM n{step})""")
+                last = f"w{step}"
+                ctes.append(f"""{last} AS MATERIALIZED (SELECT node, class, pos, CASE WHEN n IS NULL THEN w ELSE w - {rate}::DOUBLE * (m2 / (1 - pow(0.9::DOUBLE, t))) / (sqrt(v2 / (1 - pow(0.999::DOUBLE, t))) + 1e-8::DOUBLE) END AS w,
+                  coalesce(m2, m) AS m, coalesce(v2, v) AS v FROM (SELECT *, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * d AS m2, 0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * d * d AS v2 FROM (
+                  SELECT b.*, n, t, g / n + {mu}::DOUBLE * (b.w - a.w) AS d FROM {before} b JOIN {start} a USING (node, class, pos) LEFT JOIN g{step} USING (node, class, pos) LEFT JOIN n{step} ON n{step}.node = b.node)))""")
+                losses.append(f"SELECT * FROM l{step}")
+        ctes.append(f"t{k} AS MATERIALIZED (SELECT node, sum(loss) / sum(n) AS train_loss FROM ({' UNION ALL '.join(losses)}) GROUP BY node)")
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT class, pos, sum(n * w) / sum(n) AS w FROM {last} JOIN clients USING (node) GROUP BY class, pos)")
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT m.node, m.class, m.pos, a{k}.w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM {last} m JOIN a{k} USING (class, pos))")
+        last = f"r{k}"
+        ctes.append(scored(f"v{k}", last, "SELECT id FROM placed WHERE split = 'val'"))
+        out.append(f"""SELECT {k} AS round, node, count(*) AS num_examples, {r('any_value(train_loss)')} AS train_loss, {r('avg(-lp)')} AS loss, {r('avg(CASE WHEN best = label THEN 1.0 ELSE 0.0 END)')} AS accuracy
+          FROM (SELECT id, node, label, max(lp) FILTER (WHERE class = label) AS lp, arg_max(class, z - class * 1e-13) AS best FROM v{k} GROUP BY ALL) JOIN t{k} USING (node) GROUP BY node""")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(out)
+
+
 SQL = {
     "q01_image_inventory": f"WITH {TOX} SELECT c.class, count(id) AS n FROM (VALUES ('Fire'), ('No_Fire')) c(class) LEFT JOIN img USING (class) GROUP BY c.class",
     "q02_iid_partition": f"WITH {IMG}, {IID} SELECT id, class, node FROM iid",
@@ -177,13 +235,12 @@ SQL = {
       SELECT x.run AS run_a, y.run AS run_b, {r('(x.a - y.a) * 100')} AS diff_pp, {r('x.m - y.m')} AS diff_minutes FROM f x JOIN f y ON x.run < y.run""",
     "q40_mean_std_over_seeds": f"""WITH {RUNS} SELECT run, count(*) AS n, {r('avg(accuracy)')} AS mean, {r('stddev_samp(accuracy)')} AS std, {r('4.303::DOUBLE * stddev_samp(accuracy) / sqrt(count(*))')} AS ci95 FROM runs WHERE round = 3 GROUP BY run""",
     "q43_stream_tumbling": f"""WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events)
-      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e WHERE start + INTERVAL 1 HOUR <= {CLOSED} GROUP BY start, event_type""",
+      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY start, event_type""",
     "q44_stream_sliding": f"""WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, event_type, value FROM events)
-      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY ALL HAVING start + INTERVAL 2 HOUR <= {CLOSED}""",
+      SELECT start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM e GROUP BY ALL""",
     "q45_stream_session": f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
       i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
-      SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM i GROUP BY user_id, island
-      HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""",
+      SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM i GROUP BY user_id, island""",
     "q46_stream_stateful": f"SELECT event_type, count(*) AS n, {r('avg(value)')} AS mean FROM events GROUP BY event_type",
     "q47_friedman_ranks": f"""WITH {RUNS}, k AS (SELECT run, rank() OVER (PARTITION BY seed ORDER BY accuracy DESC) AS r FROM runs WHERE round = 3), m AS (SELECT run, avg(r) AS mean_rank, count(*) AS n FROM k GROUP BY run),
       s AS (SELECT count(*) AS k, max(n) AS n, sum(mean_rank * mean_rank) AS q FROM m)
@@ -200,7 +257,7 @@ SQL = {
       SELECT node, round, {r('loss - lag(loss) OVER (PARTITION BY node ORDER BY round)')} AS change, {r('avg(accuracy) OVER (PARTITION BY node ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS moving FROM g""",
     "q54_full_outer_nodes": """WITH c AS (SELECT c_nationkey AS nation, count(*) AS clients FROM customer GROUP BY 1), p AS (SELECT s_nationkey AS nation, count(*) AS servers FROM supplier GROUP BY 1)
       SELECT nation, clients, servers FROM c FULL OUTER JOIN p USING (nation)""",
-    "q46b_stream_frames": f"WITH {FRAMES} SELECT frame AS start, n_events FROM fr WHERE frame + INTERVAL 1 HOUR <= {CLOSED}",
+    "q46b_stream_frames": f"WITH {FRAMES} SELECT frame AS start, n_events FROM fr",
     "q55_normalised_channels": f"""WITH e AS (SELECT vec_id, [0.485, 0.456, 0.406][label % 3 + 1]::DOUBLE AS m, [0.229, 0.224, 0.225][label % 3 + 1]::DOUBLE AS s, unnest(embedding)::DOUBLE AS v FROM embeddings)
       SELECT vec_id, {r('sum((v / 255.0::DOUBLE - m) / s)')} AS total FROM e GROUP BY vec_id""",
     "q56_results_document": f"WITH {RUNS} SELECT run, row_number() OVER (PARTITION BY run ORDER BY round) AS position, {r('avg(minutes)')} AS loss FROM runs GROUP BY run, round",
@@ -213,13 +270,34 @@ SQL = {
     "q58_time_and_accuracy": f"WITH {RUNS} SELECT run, seed, {r('arg_max(accuracy, round)')} AS accuracy, {r('arg_max(minutes, round)')} AS minutes FROM runs GROUP BY run, seed",
     "q59_nodes_side_by_side": f"""WITH {RUNS}, f AS (SELECT run, seed, arg_max(accuracy, round) AS a FROM runs GROUP BY run, seed)
       SELECT run, {r('any_value(a) FILTER (WHERE seed = 0)')} AS seed_0, {r('any_value(a) FILTER (WHERE seed = 1)')} AS seed_1, {r('any_value(a) FILTER (WHERE seed = 2)')} AS seed_2 FROM f GROUP BY run""",
-    "q60_named_findings": f"""WITH {RUNS}, f AS (SELECT run, avg(accuracy) AS a, avg(minutes) AS m FROM runs WHERE round = 3 GROUP BY run),
-      n(finding, x, y, measure) AS (VALUES ('urgent_over_high', '1-URGENT', '2-HIGH', 'a'), ('urgent_over_low', '1-URGENT', '5-LOW', 'a'), ('high_over_medium', '2-HIGH', '3-MEDIUM', 'a'),
-        ('medium_over_low', '3-MEDIUM', '5-LOW', 'a'), ('open_over_low', '4-NOT SPECIFIED', '5-LOW', 'a'), ('urgent_minutes', '1-URGENT', '5-LOW', 'm'), ('high_minutes', '2-HIGH', '5-LOW', 'm'))
-      SELECT finding, {r("CASE measure WHEN 'a' THEN (p.a - q.a) * 100 ELSE p.m - q.m END")} AS value FROM n LEFT JOIN f p ON p.run = x LEFT JOIN f q ON q.run = y""",
+    "q60_named_findings": f"""WITH {RUNS}, f AS (SELECT run, round, avg(accuracy) AS a, avg(minutes) AS m FROM runs GROUP BY run, round),
+      n(finding, x, i, y, j, measure) AS (VALUES ('first_round_gap', '1-URGENT', 1, '2-HIGH', 1, 'a'), ('first_round_gain', '3-MEDIUM', 1, '2-HIGH', 1, 'a'), ('scale_even', '1-URGENT', 1, '5-LOW', 1, 'a'),
+        ('scale_skewed', '2-HIGH', 1, '4-NOT SPECIFIED', 1, 'a'), ('last_round_gap', '1-URGENT', 3, '2-HIGH', 3, 'a'), ('recovered', '2-HIGH', 3, '2-HIGH', 1, 'a'), ('overhead', '3-MEDIUM', 3, '2-HIGH', 3, 'm'))
+      SELECT finding, {r("CASE measure WHEN 'a' THEN (p.a - q.a) * 100 ELSE p.m - q.m END")} AS value FROM n LEFT JOIN f p ON p.run = x AND p.round = i LEFT JOIN f q ON q.run = y AND q.round = j""",
     "q61_unique_names": """WITH p AS (SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) AS host, url FROM pages)
       SELECT host, string_split(url, '/')[-1] AS base_name, max(url) AS url FROM p WHERE host <> '' GROUP BY ALL""",
     "q62_baseline_document": f"""WITH {RUNS}, f AS (SELECT run, seed, arg_max(accuracy, round) AS a, arg_max(minutes, round) AS m FROM runs GROUP BY run, seed)
       SELECT run AS experiment, {r('sum(m) OVER (PARTITION BY run) * 60', 1)} AS total_time_s, {r('avg(a) OVER (PARTITION BY run)')} AS mean_test_accuracy, 'node_' || chr(CAST(97 + seed AS INT)) AS node,
         {r('a')} AS final_test_accuracy, {r('m * 60', 1)} AS node_time_s FROM f""",
+    "q63_stream_client_state": f"""WITH {MESSAGES} SELECT node, CAST(place // 8 AS INT) AS layer, CAST(place % 8 AS INT) AS pos,
+      {r("CASE WHEN place // 8 % 2 = 1 THEN any_value(w) + sum(moved) ELSE arg_max(given + moved, round) END")} AS value FROM msg JOIN giv USING (round, place) JOIN init USING (node, place) GROUP BY node, place""",
+    "q64_stream_rounds": f"""WITH {MESSAGES}, a AS (SELECT round, place, sum(n * moved) / sum(n) AS v FROM msg GROUP BY round, place)
+      SELECT CAST(round AS INT) AS version, CAST(place // 8 AS INT) AS layer, CAST(place % 8 AS INT) AS pos, {r("w + sum(v) OVER (PARTITION BY place ORDER BY round)")} AS value FROM a JOIN init USING (place) WHERE node = 0""",
+    "q65_stream_frame_timeout": f"""WITH {FRAMES}, g AS (SELECT frame, min(ts) AS first, min(ts) FILTER (WHERE stream = 'color') AS c, min(ts) FILTER (WHERE stream = 'depth') AS d, min(ts) FILTER (WHERE stream = 'ir') AS i FROM fe WHERE stream IS NOT NULL GROUP BY frame),
+      t AS (SELECT frame, CASE WHEN c <= first + INTERVAL 10 MINUTE THEN c END AS color_ts, CASE WHEN d <= first + INTERVAL 10 MINUTE THEN d END AS depth_ts, CASE WHEN i <= first + INTERVAL 10 MINUTE THEN i END AS ir_ts FROM g)
+      SELECT frame, CASE WHEN color_ts IS NULL OR depth_ts IS NULL OR ir_ts IS NULL THEN 'dropped' ELSE 'complete' END AS status, color_ts, depth_ts, ir_ts FROM t""",
+    "q66_stream_power_by_round": f"""WITH {PARSED} SELECT CAST(dayofyear(ts) AS INT) AS round, {POWER}, 86400.0::DOUBLE AS wall_s FROM tot GROUP BY dayofyear(ts)""",
+    "q67_local_epochs": local_epochs(),
+    "q68_log_numbers": f"""WITH {LOG}, b AS (SELECT strftime(ts, '%Y-%m-%d') AS log, event_id, 0 AS k, value FROM lines UNION ALL SELECT strftime(ts, '%Y-%m-%d'), event_id, 1, '' FROM lines WHERE event_id % 7 = 0)
+      SELECT log, row_number() OVER (PARTITION BY log ORDER BY event_id, k) - 1 AS line_num, md5(value) AS line_md5 FROM b""",
+    "q69_core_rows": f"""WITH {LOG}, c AS (SELECT event_id, string_split(regexp_extract(value, 'CPU\\s+\\[([^\\]]+)\\]', 1), ',') AS cores FROM lines),
+      u AS (SELECT event_id, CAST(unnest(generate_series(0, len(cores) - 1)) AS INT) AS core, trim(unnest(cores)) AS x FROM c)
+      SELECT event_id, core, coalesce({field_of('x', '^(\\d+)%@(\\d+)', 1)}, 0) AS load_percent, coalesce({field_of('x', '^(\\d+)%@(\\d+)', 2)}, 0) AS freq_mhz FROM u""",
+    "q70_as_of_within": """WITH v AS (SELECT user_id, ts, max(value) AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type IN ('purchase', 'signup', 'error'))
+      SELECT p.event_id, p.user_id, CASE WHEN p.ts - v.ts <= INTERVAL 6 HOUR THEN v.seen END AS seen FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "q71_weight_versions": f"""WITH {PAR}, {AVG} SELECT 1 AS version, layer, pos, {r('value')} AS value FROM avgw UNION ALL SELECT 2, layer, pos, {r('CASE WHEN layer % 2 = 1 THEN arg_min(value, node) ELSE sum(n * value) / sum(n) END')} FROM par GROUP BY layer, pos""",
+    "q72_bootstrap": f"""WITH o AS (SELECT o_orderpriority AS run, o_orderkey AS k, o_totalprice / 1000 AS v, unnest(generate_series(0, 20)) AS b FROM orders),
+      u AS (SELECT *, CAST('0x' || md5(b || ':' || k)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM o),
+      w AS (SELECT run, b, v, CASE WHEN b = 0 THEN 1 ELSE {poisson('u')} END AS w FROM u), m AS (SELECT run, b, sum(w) AS w, sum(w * v) / sum(w) AS m FROM w GROUP BY run, b)
+      SELECT run, CAST(max(w) FILTER (WHERE b = 0) AS BIGINT) AS n, {r('max(m) FILTER (WHERE b = 0)')} AS mean, {r('quantile_cont(m, 0.05) FILTER (WHERE b > 0)')} AS low, {r('quantile_cont(m, 0.95) FILTER (WHERE b > 0)')} AS high FROM m GROUP BY run""",
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as w
 
 from quillmesh.functions.expr import class_of_path, is_image
 
@@ -44,6 +46,21 @@ def logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def numbered_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files of any size: path, line_num (0-based, blank lines count), value.
+
+    Files are read in splits, wherever those cut them. Rows of a split are consecutive, so a line's number is its place in the
+    split plus the lines of the file's splits before, of which there is a count each.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    sizes = rows.groupBy("path", "split").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = w.Window.partitionBy("path").orderBy("split").rowsBetween(w.Window.unboundedPreceding, -1)
+    starts = sizes.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    text = F.regexp_replace("value", "\r$", "")
+    return rows.join(starts, ["path", "split"]).select("path", (F.col("start") + F.col("row") - F.col("first")).alias("line_num"), text.alias("value"))
+
+
 def run_results(spark: SparkSession, path: str) -> DataFrame:
     """Federated results, old files and new: a missing seed is taken from the path, then the default 42."""
     raw = spark.read.schema(RUN).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
@@ -86,13 +103,44 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     return logs(spark, path).mapInPandas(rows, "path string, key string, value string")
 
 
-def save_weights(params: DataFrame, path: str, name: str) -> None:
-    """(node, layer, w) under a name; a later model of that name replaces it."""
-    params.select("node", "layer", "w").write.mode("overwrite").parquet(f"{path}/model={name}")
-
-
-def load_weights(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/model={name}").select("node", "layer", "w")
+def save_weights(params: DataFrame, path: str, name: str) -> int:
+    """(node, layer, w) as a new version of a model; returns its number.
+
+    The version's folder is written whole, then its number is claimed by creating a file that must not exist: readers see a
+    version once that is there, never half a model. Of two writers with one number, one gets the next.
+    """
+    spark = params.sparkSession
+    fresh = f"{path}/model={name}/data/{uuid.uuid4().hex}"
+    params.select("node", "layer", "w").write.parquet(fresh)
+    jvm = spark._jvm
+    number = max(weight_versions(spark, path, name), default=0) + 1
+    while True:
+        commit = jvm.org.apache.hadoop.fs.Path(f"{path}/model={name}/commits/{number:010d}")
+        fs = commit.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        try:
+            out = fs.create(commit, False)
+        except Exception as e:
+            if not fs.exists(commit):
+                raise e
+            number += 1
+            continue
+        out.write(bytearray(fresh.rsplit("/", 1)[1].encode()))
+        out.close()
+        return number
+
+
+def weight_versions(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The committed versions of a model, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model={name}/commits")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def load_weights(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """node, layer, w of a version, the last if none is named."""
+    number = version or max(weight_versions(spark, path, name), default=0)
+    data = spark.read.text(f"{path}/model={name}/commits/{number:010d}").first()[0]
+    return spark.read.parquet(f"{path}/model={name}/data/{data}").select("node", "layer", "w")
 
 
 def write_summary(df: DataFrame, path: str, kind: str = "json") -> None:
