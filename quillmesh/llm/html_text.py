@@ -34,10 +34,11 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 WORDS = {
     "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu",
     "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter",
-    "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "toolbar", "pagination", "pager",
+    "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "toolbar", "pagination", "pager", "adsbygoogle", "feedback",
 }
 HEADER_WORDS = {"header", "topbar", "alert", "side"}
-OTHERS = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended"}  # may be longer than the article
+OTHERS = {"comment", "comments", "disqus", "feedback", "reply", "replies", "respond", "related", "recommended"}  # may be longer than the article
+COMMENTS = {"comment", "comments", "disqus"}  # name what readers say, whatever stands beside them
 # Words that may stand beside a furniture word in a compound ("related-posts"); beside others ("related-work") it says something else.
 BESIDE = {
     "area", "article", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "fixed", "form", "global", "group", "header",
@@ -45,7 +46,7 @@ BESIDE = {
     "site", "slot", "sticky", "stories", "sub", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
 }
 DEEPEST = 64  # elements nested deeper are no template of their own, only parts of one
-LAYOUT, STATES = {"has", "no", "with", "without"}, {"open", "opened", "closed"}  # has-sidebar, menu-open: about the page's layout
+LAYOUT, STATES = {"has", "no", "with", "without", "allow"}, {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off"}  # has-sidebar, menu-open: about the page's layout
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "dl", "figure"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
@@ -66,6 +67,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[a-z]+")
+# Words that are written together with "comment" or "comments", before it or after.
+_TOGETHER = re.compile("(?:user|reader|visitor|guest|blog|post|article|page|site|fb|facebook)?comments?(?:author|body|box|area|block|bubble|content|count|entry|form|item|list|meta|node|section|text|thread|wrap|wrapper|s)?")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -86,7 +89,7 @@ def _is_furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if not attrs or name in ("html", "body"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
     if attrs.get("role", "").strip().lower() in ROLES:
         return True
@@ -96,15 +99,19 @@ def _is_furniture(name: str, attrs: dict[str, str], in_main: bool) -> bool:
 def _parts(attrs: dict[str, str]) -> set[str]:
     """Furniture words of class and id: those of names in which every word of some length is one, or may stand beside one.
 
-    Names that say how the page is laid out ("has-sidebar", "menu-open") have none.
+    A comment word decides alone ("reader-comments", "commentList"). Names that say how the page is laid out ("has-sidebar",
+    "menu-open") have none.
     """
     out: set[str] = set()
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         parts = _PART.findall(_CAMEL.sub(" ", name).lower())
         if not parts or LAYOUT & set(parts) or (len(parts) > 1 and parts[-1] in STATES):
             continue
+        parts = ["comment" if _TOGETHER.fullmatch(x) else x for x in parts]
         known = [x for x in parts if x in WORDS or x in HEADER_WORDS]
-        if all(x in known or x in BESIDE or len(x) <= 3 for x in parts):
+        if COMMENTS & set(parts):
+            out.update(COMMENTS & set(parts))
+        elif all(x in known or x in BESIDE or len(x) <= 3 for x in parts):
             out.update(known)
     return out
 
@@ -119,10 +126,12 @@ def _furniture_words(name: str, attrs: dict[str, str], in_main: bool) -> set[str
 class _Open:
     """An element; what lies in it is added up and hashed from below, so nesting costs nothing."""
 
-    __slots__ = ("name", "dropped", "main", "in_main", "key", "chars", "parent", "words", "named", "kept", "prose", "content", "depth", "near", "level")
+    __slots__ = ("name", "dropped", "main", "in_main", "key", "chars", "parent", "words", "named", "kept", "prose", "content", "depth", "near", "level", "inline")
 
     def __init__(self, name, dropped, main, in_main, parent, words, tag):
         self.name, self.dropped, self.main, self.in_main, self.parent = name, dropped, main, in_main, parent
+        outer = parent is not None and parent.dropped
+        self.inline = dropped and (parent.inline if outer else name not in BLOCK)  # what goes lies inside a line of the page
         self.key, self.chars, self.words, self.kept, self.prose, self.level = None, 0, words, 0, False, None
         self.named = bool(words) or (parent is not None and parent.named)
         self.content = xxhash.xxh64(tag)
@@ -132,7 +141,7 @@ class _Open:
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Blocks of the main part in page order, each with the keys of possible template around it; keys of all possible template subtrees."""
-    blocks: list[tuple[str, _Open | None, bool]] = []
+    pieces: list[tuple[str, _Open | None, bool, int, int]] = []  # text as it stands, where, in the main part, block, characters
     stack: list[_Open] = []
     closed: list[_Open] = []
     opened: Counter = Counter()  # open elements of each name
@@ -140,22 +149,35 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     html = html or ""
     at, size = 0, len(html)
 
-    def flush() -> None:
+    line = [0]  # number of the block
+
+    def cut() -> None:
+        """What has been read belongs to the innermost element; the block goes on."""
         if buf:
-            text = " ".join(unescape("".join(buf)).split())
+            raw = unescape("".join(buf))
+            text = " ".join(raw.split())
             buf.clear()
-            if text:
-                top = stack[-1] if stack else None
-                if top is not None:
-                    top.content.update("\x1f" + text)
-                    top.chars += len(text)
-                    top.kept += 0 if top.dropped else len(text)
-                if top is None or not top.dropped:
-                    blocks.append((text, top, top is not None and top.in_main))
+            top = stack[-1] if stack else None
+            if top is not None and text:
+                top.content.update("\x1f" + text)
+                top.chars += len(text)
+                top.kept += 0 if top.dropped else len(text)
+            if top is None or not top.dropped:
+                pieces.append((raw, top, top is not None and top.in_main, line[0], len(text)))
+
+    def flush() -> None:
+        """The block ends, unless we are inside something inline that goes."""
+        cut()
+        if not (stack and stack[-1].inline):
+            line[0] += 1
 
     def close(n: int) -> None:
         """Closes all but the first n open elements."""
         while len(stack) > n:
+            if stack[-1].name not in BLOCK or stack[-1].inline:
+                cut()
+            else:
+                flush()
             e = stack.pop()
             opened[e.name] -= 1
             digest = e.content.intdigest()
@@ -231,12 +253,14 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             e = top
             while e is not None and not e.prose:
                 e.prose, e = True, e.parent
+        if name not in BLOCK:
+            cut()
         opened[name] += 1
         words = set() if dropped else _furniture_words(name, attrs, inside)
         stack.append(_Open(name, dropped, main, inside or main, top, words, f"<{name} {attrs.get('class', '')}"))
     flush()
     close(0)
-    whole = sum(len(x[0]) for x in blocks)
+    whole = sum(x[4] for x in pieces)
 
     def depth(e: _Open | None) -> int:
         """Elements named as furniture around a block; one with prose and over half of the page's text is none, unless the article is elsewhere."""
@@ -251,11 +275,11 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         return n
 
     # Whether an article stands outside all elements named as furniture.
-    clear = any(in_main and not top.named for _, top, in_main in blocks)
-    depths = [depth(x[1]) for x in blocks]
-    least = min((d for x, d in zip(blocks, depths, strict=True) if x[2]), default=None)
-    bare = [x for x, d in zip(blocks, depths, strict=True) if not d]
-    main = [x for x, d in zip(blocks, depths, strict=True) if x[2] and d == least]
+    clear = any(in_main and not top.named for _, top, in_main, _, _ in pieces)
+    depths = [depth(x[1]) for x in pieces]
+    least = min((d for x, d in zip(pieces, depths, strict=True) if x[2] and x[4]), default=None)
+    bare = _blocks(x for x, d in zip(pieces, depths, strict=True) if not d)
+    main = _blocks(x for x, d in zip(pieces, depths, strict=True) if x[2] and d == least)
     # A wrapper named as furniture may hold the page's article, or the teasers beside a longer text.
     if main and (not least or sum(len(x[0]) for x in main) >= sum(len(x[0]) for x in bare)):
         blocks = _titles(bare, main) + main
@@ -273,6 +297,18 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     return out, list({e.key for e in closed if 2 * e.chars <= total or e.dropped or depth(e)})
 
 
+def _blocks(pieces: Iterator[tuple]) -> list[tuple[str, _Open | None, bool]]:
+    """Pieces of one block put together, white space as one space; blocks without text go."""
+    out: list[list] = []
+    for raw, top, in_main, line, _ in pieces:
+        if out and out[-1][3] == line:
+            out[-1][0].append(raw)
+        else:
+            out.append([[raw], top, in_main, line])
+    texts = [(" ".join("".join(raws).split()), top, in_main) for raws, top, in_main, _ in out]
+    return [x for x in texts if x[0]]
+
+
 def _within(e: _Open | None, name: str) -> bool:
     while e is not None and e.name not in BLOCK:
         e = e.parent
@@ -324,6 +360,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     seen = parsed.select("host", "main", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     seen = seen.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "host", "left")
     template = seen.filter(F.col("n") >= F.coalesce(F.col("pages") * min_share, F.lit(0.0))).select("host", "key")
+    # Written, so that pages around one site's footer can be split over tasks in the join.
+    template = written(template, "html-template")
+    template = F.broadcast(template) if template.count() <= BROADCAST_ROWS else template
     around = parsed.filter("NOT plain").select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.keys"))).alias("key"))
     gone = around.join(template, ["host", "key"]).groupBy("row").agg(F.collect_set("key").alias("gone"))
     text = lambda b: F.array_join(F.transform(b, lambda x: x["text"]), "\n")

@@ -518,3 +518,60 @@ def test_packing_of_ties_repeated_rows_and_null_ids(spark):
 def test_words_are_those_of_the_contract():
     text = "Ab1-É,ß\u00a0x_y\x00Z"
     assert [w.decode() for w in decontaminate.words(text)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p>Hello <button>Share</button> world.</p></article>", "Hello world."),
+        ("<p>A <span hidden>secret</span> B</p>", "A B"),
+        ('<p>A <span style="display:none">x</span>B</p>', "A B"),
+        ('<p>A<span class="ad">buy</span> B</p>', "A B"),
+        ('<p>A <a class="share">s</a> B</p>', "A B"),
+        ("<p>A <svg><text>q</text></svg> B</p>", "A B"),
+        ("<p>A <audio>x</audio> <object>y</object> B</p>", "A B"),
+        ("<p>A <select><option>o1</option><option>o2</option></select> B</p>", "A B"),
+        ("<p>Hello <span hidden>secret</p><p>more</p>", "Hello\nmore"),
+        ("<ul><li>a<li>b <button><div>no</div></button> c</ul>", "a\nb c"),
+        ('<p>The <span class="commentary">commentary</span> stays.</p>', "The commentary stays."),
+        ('<div class="post comments-enabled"><p>Text.</p></div>', "Text."),
+        *[(f'<p>Text of the page.</p><div class="{c}">Nice one!</div>', "Text of the page.") for c in ("reader-comments", "user-comments", "comments-wrapper-dark", "comment-body", "commentText", "commentlist", "UserComments", "feedback", "adsbygoogle")],
+    ],
+)
+def test_furniture_inside_a_line(html, want):
+    assert "\n".join(t for t, _ in html_text.parse(html)[0]) == want
+
+
+def test_extraction_of_random_trees():
+    """Elements that stay and go, blocks and inline ones, nested at random, against the rules read off the tree."""
+    rng = random.Random(4)
+    stay = [("div", True), ("section", True), ("span", False), ("b", False), ('a href="x"', False), ('span class="big"', False)]
+    go = [("nav", True), ("aside", True), ("form", True), ("div hidden", True), ('div role="search"', True), ("button", False), ("span hidden", False), ('i style="display: none"', False), ("select", False), ("svg", False)]
+
+    def tree(depth, dropped, inline, lines):
+        """HTML of a tree; ``lines`` gets the text of each block as it goes on."""
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            if depth == 0 or rng.random() < 0.4:
+                text = rng.choice(["word", " two words ", "&amp;", "\n", "x  y", " "])
+                out.append(text)
+                if not dropped:
+                    lines[-1] += text.replace("&amp;", "&")
+                continue
+            gone = rng.random() < 0.3
+            tag, block = rng.choice(go if gone else stay)
+            within = inline or (dropped is False and gone and not block)
+            breaks = block and not (inline and dropped)
+            if breaks:
+                lines.append("")
+            inner = tree(depth - 1, dropped or gone, within, lines)
+            if breaks:
+                lines.append("")
+            out.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        return "".join(out)
+
+    for _ in range(400):
+        lines = [""]
+        html = tree(4, False, False, lines)
+        want = [x for x in (" ".join(line.split()) for line in lines) if x]
+        assert [t for t, _ in html_text.parse(html)[0]] == want, html
