@@ -53,8 +53,9 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever else the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """The named columns, whatever else the table carries, names that differ in case too."""
+    plain, at = positional(df, *names)
+    return plain.select(*at).toDF(*names)
 
 
 def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import written
+from quillmesh.llm.common import only, positional, written
 
 BROADCAST_ROWS = 100_000
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,6 +105,7 @@ class Automaton:
             else:
                 spans.append([start, i + 1])
 
+        met: set[int] = set()  # states of windows; a passage that many items share is looked up once
         s = n = 0
         for i, t in enumerate(map(self.vocab.get, ws)):
             if t is None:
@@ -121,7 +122,7 @@ class Automaton:
                 p = s
                 while length[link[p]] >= window:
                     p = link[p]
-                items |= self.windows.get(p, set())
+                met.add(p)
                 mark(i, window)
             if has_short[s]:
                 p = s
@@ -131,6 +132,8 @@ class Automaton:
                             items.add(item)
                             mark(i, size)
                     p = link[p]
+        for p in met:
+            items |= self.windows.get(p, set())
         return [(a, b) for a, b in spans], items
 
 
@@ -139,6 +142,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def build(items: DataFrame, *, id_col: str, text_col: str, window: int, block_words: int) -> tuple[DataFrame, int]:
     """(block, automaton) with one pickled automaton of about ``block_words`` words in each row, and the number of blocks."""
+    items = only(items, id_col, text_col)
     rows = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
     n = rows.agg(F.sum(F.size(F.split("text", NOT_WORD)))).first()[0] or 0
     blocks = max(1, -(-n // block_words))
@@ -247,6 +251,7 @@ def matches(
     of a null id are searched for too, and not listed.
     """
     automata, blocks = build(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)
+    docs = only(docs, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if blocks == 1:
         return rows.mapInArrow(_scan_task(_load(automata, 0, window), True), "doc_id long, " + FOUND)
@@ -310,8 +315,13 @@ def decontaminate(
 
     Cutting goes on until nothing is hit; the limit holds for the first cut, and a text never ends without words that way.
     Clean rows stay as they are, null and empty texts too; repeated rows are treated alike; empty tables give no rows or
-    change nothing. ``length_col`` names a column with the text's length in code points, which follows where a text was cut.
+    change nothing. Other columns stay, whatever their names. ``length_col`` names a column with the text's length in code points, which follows where a text was cut.
     """
+    plain, (text, *length) = positional(docs, text_col, *([length_col] if length_col else []))
+    return _decontaminated(plain, items, text, *(length or [None]), item_id, item_text, window, max_coverage, block_words).toDF(*docs.columns)
+
+
+def _decontaminated(docs: DataFrame, items: DataFrame, text_col: str, length_col: str | None, item_id: str, item_text: str, window: int, max_coverage: float, block_words: int) -> DataFrame:
     automata, blocks = build(items, id_col=item_id, text_col=item_text, window=window, block_words=block_words)
     if blocks == 1:
         shared = _load(automata, 0, window)

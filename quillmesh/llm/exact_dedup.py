@@ -7,7 +7,7 @@
    buckets. There the texts of a key are told apart by their bytes: each different text is one entry, and the entries of
    one key form a chain. Copies of very frequent keys collapse before they are dealt, so that no owner gets them all.
 4. The index, one row for each entry in the order of buckets, is written to the shared folder. A row finds its entry by
-   bucket and key, and in a chain by its bytes.
+   its key, in a join, and in a chain by its bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from quillmesh.llm.common import ascii_lower, written
+from quillmesh.llm.common import ascii_lower, only, positional, written
 
 BROADCAST_ROWS = 1 << 21
 OWNER_BYTES, MOST_BYTES, MANY_TASKS = 8 << 20, 256 << 20, 20_000  # text of a task: small while tasks are few
@@ -123,6 +123,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other; in a group of null ids only, keep_id is null and every row is kept. An empty table gives an empty result; other
     columns are ignored. ``options`` are those of ``build_index``.
     """
+    docs = only(docs, id_col, text_col)
     keys, index = build_index(docs, id_col=id_col, text_col=text_col, hash_bits=hash_bits, **options)
     found = _lookup(docs, keys, index, id_col, text_col, hash_bits)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -131,27 +132,23 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64, **options) -> DataFrame:
     """The documents that stay, with all their columns: one row for each distinct normalised text, that with the largest id.
 
-    Null counts as empty; a null id loses against any other; of rows that repeat an id and its text, one stays. An empty
-    table gives an empty result.
+    Null counts as empty; a null id loses against any other; of rows that repeat an id and its text, one stays. Texts of any
+    length are compared whole. An empty table gives an empty result. Other columns stay, whatever their names.
     """
-    keys, index = build_index(docs, id_col=id_col, text_col=text_col, hash_bits=hash_bits, **options)
-    found = _lookup(docs, keys, index, id_col, text_col, hash_bits)
-    same = (F.col("__k") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-    named = lambda df: df.select(F.col("h").alias("__h"), F.col("id").alias("__id"))
+    plain, (id_, text) = positional(docs, id_col, text_col)
+    keys, index = build_index(plain, id_col=id_, text_col=text, hash_bits=hash_bits, **options)
+    found = _lookup(plain, keys, index, id_, text, hash_bits)
+    same = (F.col("key") == F.col("h")) & F.col(id_).eqNullSafe(F.col("id"))
     clash = written(index.filter("chained").select("h").distinct(), "dedup-clash")
     clash = _checked(clash, clash.count())
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id")))
-    gone = written(named(gone.join(clash, "h", "left_anti")).distinct(), "dedup-gone")
-    n_gone = gone.count()
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select("h", "id")
+    gone = written(gone.join(clash, "h", "left_anti").distinct(), "dedup-gone")
     twice = keys.groupBy("h", "id").count().filter("count > 1").select("h", "id")
     # Keys with a chain, and ids that repeat within a key, need a look at the texts.
-    twice = written(named(twice.unionByName(keys.join(clash, "h", "left_semi").select("h", "id"))).distinct(), "dedup-twice")
-    n_twice = twice.count()
-    rows = docs.withColumn("__k", _key(_norm(text_col), hash_bits))
-    kept = rows.join(_checked(gone, n_gone), same, "left_anti")
-    if not n_twice:
-        return kept.drop("__k")
-    apart = kept.join(_checked(twice, n_twice), same, "left_semi").withColumn("__t", _norm(text_col))
-    one = w.Window.partitionBy("__k", "__t").orderBy(F.desc_nulls_last(f"`{id_col}`"))
-    apart = apart.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n", "__t")
-    return kept.join(_checked(twice, n_twice), same, "left_anti").unionByName(apart).drop("__k")
+    twice = written(twice.unionByName(keys.join(clash, "h", "left_semi").select("h", "id")).distinct(), "dedup-twice")
+    gone, twice = _checked(gone, gone.count()), _checked(twice, twice.count())
+    kept = plain.withColumn("key", _key(_norm(text), hash_bits)).join(gone, same, "left_anti")
+    apart = kept.join(twice, same, "left_semi").withColumn("norm", _norm(text))
+    one = w.Window.partitionBy("key", "norm").orderBy(F.desc_nulls_last(id_))
+    apart = apart.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n", "norm")
+    return kept.join(twice, same, "left_anti").unionByName(apart).drop("key").toDF(*docs.columns)

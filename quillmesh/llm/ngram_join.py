@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from quillmesh.llm.common import written
+from quillmesh.llm.common import only, positional, written
 from quillmesh.llm.components import components
 
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -36,6 +36,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICE_OF, SLICE = 32, 12  # shingles whose hash modulo 32 is below 12 come first in the order
 FANOUT, LEAF = 8, 16
 BROADCAST_ROWS = 1_000_000
+MOST_CHUNK = 8  # times the tokens of a small block that a chunk of a large one may have, and four times as many sets
 SAMPLE, COMMON, MOST_COMMON = 64, 16, 1 << 20  # a shingle in 16 of the texts of every 64th is common; at most 2**20 are
 
 
@@ -326,7 +327,9 @@ def _tiles(held: DataFrame, percent: int, chunk_docs: int, chunk_tokens: int) ->
     # Sizes that can link differ by at most one band; bands are a trifle wider than that, beyond any rounding.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
     split = written(held.join(_checked(large, n_large), "root", "left_semi").withColumn("band", band.cast("long")), "ngram-bands")
-    chunks = written(split.groupBy("root", "band").agg(F.ceil(load()).cast("int").alias("k")), "ngram-chunks")
+    # A set is in as many tiles as there are chunks: chunks grow with the root of the load, up to what a task can hold.
+    most = F.greatest(F.sqrt(load()), F.sum("n") / (MOST_CHUNK * chunk_tokens), F.count("*") / (4 * MOST_CHUNK * chunk_docs))
+    chunks = written(split.groupBy("root", "band").agg(F.ceil(most).cast("int").alias("k")), "ngram-chunks")
     n_bands = chunks.count()
     beside = lambda d, name: _checked(chunks.select("root", (F.col("band") - d).alias("band"), F.col("k").alias(name)), n_bands)
     split = split.join(beside(0, "k"), ["root", "band"]).join(beside(1, "above"), ["root", "band"], "left").join(beside(-1, "below"), ["root", "band"], "left")
@@ -354,6 +357,7 @@ def classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, chunk_docs: int = 128, chunk_tokens: int = 1_000_000
 ) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, text_key, n, row, rep; links: row, links, lead: the documents of linked classes and a class of the component)."""
+    docs = only(docs, id_col, text_col)
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), text.alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, size))
@@ -368,9 +372,11 @@ def classes(
     copies = members.filter("row <> rep").select("row")
     sets = sketch.filter("n > 0").join(_checked(copies, copies.count()), "row", "left_anti")
     # A shingle of a single class meets nobody and only fills up the prefix.
-    df = F.count("*").over(w.Window.partitionBy("token"))
     room = F.col("prefix") - F.size("first") - F.size("common")
-    early = sets.select("row", room.alias("room"), F.explode("first").alias("token")).withColumn("df", df).filter("df > 1")
+    early = sets.select("row", room.alias("room"), F.explode("first").alias("token"))
+    # Counted with map-side sums and written, so that rows of one token can be split over tasks in the join.
+    shared = written(early.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "ngram-shared")
+    early = early.join(shared, "token")
     late = F.col("token").bitwiseAND(SLICE_OF - 1) >= SLICE
     key = F.struct(late.cast("int").alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), "token")
     ranked = early.select("row", "room", key.alias("k")).groupBy("row", "room").agg(F.array_sort(F.collect_list("k")).alias("ks"))
@@ -433,18 +439,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group, one with the smallest id, with all its columns.
 
     Texts without words are a group each. Of rows that repeat this id and its text, one stays; null ids come after all
-    others. An empty table gives an empty result.
+    others. An empty table gives an empty result. Other columns stay, whatever their names.
     """
-    whole = written(_grouped(docs, id_col=id_col, text_col=text_col, **options), "ngram-groups")
+    plain, (id_, text) = positional(docs, id_col, text_col)
+    whole = written(_grouped(plain, id_col=id_, text_col=text, **options), "ngram-groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     # Rows without shingles have a root of their own, so each stays.
-    stay = whole.groupBy("root").agg(first.alias("s"), F.max("n").alias("n"))
-    stay = stay.select(F.col("s.doc_id").alias("__id"), F.col("s.text_key").alias("__key"), (F.col("n") == 0).alias("__all")).distinct()
-    stay = written(stay, "ngram-stay")
-    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key"))
-    twice = whole.filter("n > 0").groupBy("doc_id", "text_key").count().filter("count > 1")
-    if twice.isEmpty():
-        return docs.join(stay, own, "left_semi")
-    kept = docs.join(stay, own).drop("__id")
-    one = w.Window.partitionBy(F.col(f"`{id_col}`"), "__key").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__all OR __n = 1").drop("__n", "__key", "__all")
+    stay = written(whole.groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.text_key").distinct(), "ngram-stay")
+    twice = written(whole.filter("n > 0").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "ngram-twice")
+    twice = _checked(twice, twice.count())
+    own = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    kept = plain.withColumns({"id": F.col(id_).cast("long"), "key": text_key(text)}).join(stay, own, "left_semi")
+    # Only repeated rows are numbered.
+    one = w.Window.partitionBy("id", "key").orderBy(F.lit(0))
+    apart = kept.join(twice, own, "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n")
+    return kept.join(twice, own, "left_anti").unionByName(apart).drop("id", "key").toDF(*docs.columns)

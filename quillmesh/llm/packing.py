@@ -180,6 +180,7 @@ def pack(
     """
     kind = PIECE + ", ids array<int>"
     task = _pack_task(tokenizer_path, window, open_windows, min_cut, end_id, with_ids)
+    docs = only(docs, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     pieces = written(rows.mapInArrow(task, kind), "packing-pieces")
     left = pieces.filter("leftover")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import batch_of, fold, written
+from quillmesh.llm.common import batch_of, fold, only, positional, written
 from quillmesh.llm.decontaminate import words
 
 START, STOP = "\x02", "\x03"
@@ -186,6 +186,7 @@ def fit(
     max_per_class: int = 10_000, order: int = 5,
 ) -> Model:
     """A model from the labelled rows outside the held-out fold. Two halves of the sample score each other for noise and calibration."""
+    docs, labels = only(docs, id_col, text_col), only(labels, id_col, label_col)
     known = written(labelled(docs, labels, id_col=id_col, label_col=label_col, folds=folds, held_out=held_out), "toxicity-labelled")
     ids, weights = sample(known, max_per_class)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -231,19 +232,21 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield batch_of(schema, batch.column(0), batch.column(1), got, [int(p >= threshold) for p in got])
 
     part = F.coalesce(fold(F.col(f"`{id_col}`"), folds) == held_out, F.lit(True))
+    docs = only(docs, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), part.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows whose score is below ``threshold``, as they are. Null and empty texts have nothing to reject and stay."""
+    plain, (text,) = positional(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(batch.schema.get_field_index(text))
             stay = [not ws or own.probability(own.mean(ws)) < threshold for ws in (words(t.as_py()) for t in texts)]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
