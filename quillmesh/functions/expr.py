@@ -51,6 +51,24 @@ def widen_channels(w: Column, known: int, channels: int) -> Column:
     return F.concat(head, F.array_repeat(mean_of(head), channels - known))
 
 
+def widen_kernel(w: Column, known: int, channels: int, area: int = 1) -> Column:
+    """A flat kernel (filter, channel, place) for more channels: the further ones are the mean of the known ones, place by place."""
+
+    def wider(f: Column) -> Column:
+        at = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(known - 1)), F.lit(0.0), lambda s, c: s + F.get(f, c * area + p)) / known
+        extra = F.flatten(F.array_repeat(F.transform(F.sequence(F.lit(0), F.lit(area - 1)), at), channels - known))
+        return F.concat(f, extra)
+
+    size = known * area
+    filters = F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / size).cast("int") - 1), lambda i: wider(F.slice(w, i * size + 1, F.lit(size))))
+    return F.flatten(filters)
+
+
+def seeded_uniform(seed: int | str, key: Column, bound: float) -> Column:
+    """A number in [-bound, bound) that is a pure function of (seed, key)."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 31) - 1) * bound
+
+
 def parent_layer(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 

@@ -12,7 +12,7 @@ from pyspark.sql import window as w
 
 from quillmesh.functions.expr import base_name, half_even, order_key
 
-PREFIX = 3  # hex digits: 4096 ranges of each group
+PREFIX = 5  # hex digits: a million ranges of each group at most, so a range of 1e12 rows has a million
 
 
 def ranked(df: DataFrame, groups: list[str], key: Column, id_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from quillmesh.functions.expr import squared_distance
+from quillmesh.functions.expr import seeded_uniform, squared_distance, widen_kernel
 
 BLOCK = 1024  # elements of a block
 HELD = 64 << 20  # bytes of sums that a task holds before it lets them go
@@ -172,3 +172,15 @@ def proximal(local: DataFrame, shared: DataFrame, mu: float) -> DataFrame:
 
 def footprint(params: DataFrame, bytes_each: int = 4) -> DataFrame:
     return params.agg(F.sum(F.size("w")).cast("long").alias("n_params"), (F.sum(F.size("w")) * bytes_each / 1e6).alias("size_mb"))
+
+
+def build_model(pretrained: DataFrame, *, first: int, known: int, channels: int, head: int, inputs: int, classes: int, area: int = 1, seed: int = 42) -> DataFrame:
+    """(layer, w) of a pretrained model -> (layer, w) of one for other channels and classes.
+
+    The first layer's kernels get further channels, the mean of the known ones. The head is new: ``classes`` times ``inputs``
+    seeded numbers within 1 / sqrt(inputs); all other layers are kept.
+    """
+    fresh = F.transform(F.sequence(F.lit(0), F.lit(classes * inputs - 1)), lambda k: seeded_uniform(seed, k, inputs**-0.5))
+    w = F.col("w").cast("array<double>")
+    wider = widen_kernel(w, known, channels, area) if channels > known else w
+    return pretrained.select("layer", F.when(F.col("layer") == first, wider).when(F.col("layer") == head, fresh).otherwise(w).alias("w"))

@@ -494,6 +494,13 @@ def q71_weight_versions(s, d):
     return out[0].unionByName(out[1]).select("version", "layer", "pos", r6(F.col("v")).alias("value"))
 
 
+@query
+def q73_model_factory(s, d):
+    """Every client's vector as a pretrained model: its first layer (4 filters of 2 channels) for 3 channels, its last for 2 classes."""
+    built = weights.build_model(data.params(s, d), first=0, known=2, channels=3, head=7, inputs=8, classes=2)
+    return built.groupBy("layer").agg(F.sum(F.size("w")).alias("n_params"), r6(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x))).alias("total"))
+
+
 @query
 def q72_bootstrap(s, d):
     o = table(s, d, "orders").select(F.col("o_orderpriority").alias("run"), "o_orderkey", (F.col("o_totalprice") / 1000).alias("v"))

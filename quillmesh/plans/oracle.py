@@ -296,6 +296,9 @@ SQL = {
     "q70_as_of_within": """WITH v AS (SELECT user_id, ts, max(value) AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type IN ('purchase', 'signup', 'error'))
       SELECT p.event_id, p.user_id, CASE WHEN p.ts - v.ts <= INTERVAL 6 HOUR THEN v.seen END AS seen FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
     "q71_weight_versions": f"""WITH {PAR}, {AVG} SELECT 1 AS version, layer, pos, {r('value')} AS value FROM avgw UNION ALL SELECT 2, layer, pos, {r('CASE WHEN layer % 2 = 1 THEN arg_min(value, node) ELSE sum(n * value) / sum(n) END')} FROM par GROUP BY layer, pos""",
+    "q73_model_factory": f"""WITH {PAR}, k AS (SELECT i, (CAST('0x' || md5('42:' || i)[1:8] AS BIGINT) / 2147483648.0::DOUBLE - 1) / sqrt(8.0::DOUBLE) AS v FROM range(16) t(i)),
+      g AS (SELECT layer, count(*) AS n, sum(value) AS t, count(DISTINCT node) AS c FROM par GROUP BY layer)
+      SELECT layer, CAST(CASE layer WHEN 0 THEN c * 12 WHEN 7 THEN c * 16 ELSE n END AS BIGINT) AS n_params, {r('CASE layer WHEN 0 THEN t * 1.5 WHEN 7 THEN c * (SELECT sum(v) FROM k) ELSE t END')} AS total FROM g""",
     "q72_bootstrap": f"""WITH o AS (SELECT o_orderpriority AS run, o_orderkey AS k, o_totalprice / 1000 AS v, unnest(generate_series(0, 20)) AS b FROM orders),
       u AS (SELECT *, CAST('0x' || md5(b || ':' || k)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM o),
       w AS (SELECT run, b, v, CASE WHEN b = 0 THEN 1 ELSE {poisson('u')} END AS w FROM u), m AS (SELECT run, b, sum(w) AS w, sum(w * v) / sum(w) AS m FROM w GROUP BY run, b)

@@ -43,6 +43,16 @@ def test_integers_average_as_floats_and_nothing_as_nothing(spark):
     assert weights.average(p.limit(0)).count() == 0
 
 
+def test_a_model_for_more_channels_and_other_classes(spark):
+    kernel = np.arange(2 * 3 * 4, dtype=float)  # two filters, three channels, four places
+    p = spark.createDataFrame([(0, kernel.tolist()), (1, [1.0, 2.0]), (2, [9.0] * 50)], "layer int, w array<double>")
+    got = {r["layer"]: r["w"] for r in weights.build_model(p, first=0, known=3, channels=5, head=2, inputs=4, classes=2, area=4).collect()}
+    cube = kernel.reshape(2, 3, 4)
+    want = np.concatenate([cube, np.repeat(cube.mean(axis=1, keepdims=True), 2, axis=1)], axis=1)
+    np.testing.assert_allclose(got[0], want.ravel())
+    assert got[1] == [1.0, 2.0] and len(got[2]) == 8 and len(set(got[2])) == 8 and all(abs(x) <= 0.5 for x in got[2])
+
+
 def samples(spark, n=60):
     rng = np.random.default_rng(1)
     rows = [("ab"[k % 2], ("train", "train", "val")[k % 3], int(k % 4), hashlib.md5(str(k).encode()).hexdigest(), rng.normal(size=4).tolist()) for k in range(n)]
