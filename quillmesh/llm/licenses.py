@@ -150,24 +150,42 @@ def known_rules() -> list[tuple[str, str, bool, list[str]]]:
 BREAK, NOT_WORD = r"[.!?]+[ \t\r\n]", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _tree(sentences: list[str]) -> str:
+    """A regular expression of the sentences as a tree of words: what begins alike is tried once, and longer ones before shorter."""
+    tree: dict = {}
+    for s in sentences:
+        node = tree
+        for word in s.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        said = "|".join(word + after(child) for word, child in node.items() if word)
+        return f"(?:{said})"
+
+    def after(node: dict) -> str:
+        if not any(node):
+            return ""
+        # A newline stands for one space of a sentence; the words are ASCII letters and digits.
+        return f"(?:[ \n]{pattern(node)})" + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
 def sentence_ids(text: Column, sentences: list[tuple[str, str]]) -> Column:
     """The identifiers of a text's known sentences, in order; of sentences that overlap, the first, and of these the longest."""
     # A blank line and the end of a sentence are two newlines, which no sentence runs over.
     lines = F.regexp_replace(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, "\n\n"), NOT_WORD, " ")
     lines = F.trim(F.regexp_replace(lines, " ?\n ?", "\n"))
-    longest_first = sorted((s for _, s in sentences), key=len, reverse=True)
-    # A newline stands for one space of a sentence; the words are ASCII letters and digits.
-    known = "(?<![^\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest_first) + ")(?![^\n])"
+    known = "(?<![^\n])" + _tree([s for _, s in sentences]) + "(?![^\n])"
     names = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
     found = F.transform(F.regexp_extract_all(lines, F.lit(known), F.lit(0)), lambda x: F.split(F.try_element_at(names, F.translate(x, "\n", " ")), "\\|"))
     return F.flatten(found)
 
 
-def in_order(ids: Column, wanted: list[str]) -> Column:
+def in_order(ids: Column, wanted: Column) -> Column:
     """Whether ``wanted`` are among the identifiers in this order; others may lie between. One walk, counting how many are met."""
-    steps = F.array(*[F.lit(x) for x in wanted])
-    met = F.aggregate(ids, F.lit(0), lambda n, x: F.when(F.get(steps, n) == x, n + 1).otherwise(n))
-    return met == len(wanted)
+    return F.aggregate(ids, F.lit(0), lambda n, x: F.when(F.get(wanted, n) == x, n + 1).otherwise(n)) == F.size(wanted)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences=None, rules=None) -> DataFrame:
@@ -179,8 +197,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
     """
     sentences, rules = sentences or known_sentences(), rules or known_rules()
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), sentence_ids(F.col(f"`{text_col}`"), sentences).alias("ids"))
-    hits = F.filter(F.array(*[F.when(in_order(F.col("ids"), ids), F.lit(name)) for name, _, _, ids in rules]), lambda x: x.isNotNull())
-    # Most documents have no known sentence, and no rule to walk.
+    # The rules are one constant, so the plan stays small; most documents have no known sentence, and no rule to walk.
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, ids)).alias("ids")) for name, _, _, ids in rules])
+    hits = F.transform(F.filter(known, lambda rule: in_order(F.col("ids"), rule["ids"])), lambda rule: rule["name"])
     found = found.withColumn("hits", F.when(F.size("ids") > 0, hits).otherwise(F.array().cast("array<string>")))
     longer = F.create_map(*[F.lit(x) for pair in WITHIN.items() for x in pair])
     inside = lambda x: F.coalesce(F.array_contains("hits", F.try_element_at(longer, x)), F.lit(False))
